@@ -24,5 +24,27 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP4 = """
+WITH polynomial AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, list_transform(range(8), lambda z: CAST(0 AS BIGINT))), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+bytes AS (
+  SELECT doc_id, text, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (
+  SELECT doc_id, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc
+  FROM bytes, polynomial),
+cost AS (
+  SELECT doc_id, s, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) AS c
+  FROM documents, (SELECT unnest(range(25)) AS s)),
+best AS (
+  SELECT doc_id, CAST(arg_min(s, c) FILTER (WHERE s < 24) AS INTEGER) AS shard, CAST(arg_min(s, c) AS INTEGER) AS grown_shard FROM cost GROUP BY doc_id)
+SELECT doc_id, CAST(n + 8 AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+FROM sums JOIN best USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1}
+    return {"op1_decontaminate": OP1, "op4_sharding": OP4}

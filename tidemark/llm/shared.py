@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,31 +32,30 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def numbered(df: DataFrame, group: Column, order: Column, name: str, per_task: int = 200_000) -> DataFrame:
-    """Add `name`: gapless row numbers from 0 inside each group.
+def numbered(df: DataFrame, group: str, order: list[str], name: str, per_task: int = 100_000) -> DataFrame:
+    """Add `name`: gapless row numbers from 0 inside each group, in the order given.
 
-    A group may hold any share of the rows: rows are first dealt by (group, bucket of
-    `order`), numbered inside each such part, then shifted by the sizes of the parts
-    before it.  Only the table of part sizes (groups x buckets) is broadcast, and only
-    its fixed number of buckets per group makes it grow.
+    A group may hold any share of the rows: rows are dealt by ranges of (group, order), so
+    that a large group spans many parts; each part is numbered alone and shifted by the
+    sizes of its group's earlier parts.  `df` should be narrow: it is written once to the
+    shared folder, which also keeps the parts the same if a task runs again.
     """
-    total = df.count()
-    buckets = max(32, -(-total // per_task))
-    keyed = df.withColumns({"__tm_group": group, "__tm_bucket": F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int")})
-    sizes = keyed.groupBy("__tm_group", "__tm_bucket").agg(F.count("*").alias("__tm_n"))
-    before = Window.partitionBy("__tm_group").orderBy("__tm_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = max(32, -(-df.count() // per_task))
+    dealt = materialise(df.repartitionByRange(parts, group, *order).withColumn("__tm_part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy(group, "__tm_part").agg(F.count("*").alias("__tm_n"))
+    before = Window.partitionBy(group).orderBy("__tm_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
-        F.col("__tm_group").alias("__tm_g"),
-        F.col("__tm_bucket").alias("__tm_b"),
+        F.col(group).alias("__tm_g"),
+        F.col("__tm_part").alias("__tm_p"),
         F.coalesce(F.sum("__tm_n").over(before), F.lit(0)).alias("__tm_shift"),
     )
-    inside = Window.partitionBy("__tm_group", "__tm_bucket").orderBy(order)
-    ranked = keyed.withColumn("__tm_rank", F.row_number().over(inside) - 1)
-    match = F.col("__tm_group").eqNullSafe(F.col("__tm_g")) & (F.col("__tm_bucket") == F.col("__tm_b"))
+    rank = F.row_number().over(Window.partitionBy(group, "__tm_part").orderBy(*order)) - 1
+    match = F.col(group).eqNullSafe(F.col("__tm_g")) & (F.col("__tm_part") == F.col("__tm_p"))
     return (
-        ranked.join(shifts, match)
+        dealt.withColumn("__tm_rank", rank)
+        .join(shifts, match)
         .withColumn(name, (F.col("__tm_rank") + F.col("__tm_shift")).cast("long"))
-        .drop("__tm_group", "__tm_bucket", "__tm_rank", "__tm_shift", "__tm_g", "__tm_b")
+        .drop("__tm_part", "__tm_rank", "__tm_shift", "__tm_g", "__tm_p")
     )
 
 
