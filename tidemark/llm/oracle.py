@@ -46,5 +46,22 @@ FROM sums JOIN best USING (doc_id)
 """
 
 
+OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS v, a AS r FROM edge UNION SELECT edge.b, reach.r FROM reach JOIN edge ON edge.a = reach.v WHERE reach.r < edge.b),
+root AS (SELECT v, min(r) AS r FROM reach GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(least(root.r, d.doc_id), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN root ON root.v = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op4_sharding": OP4}
+    return {"op1_decontaminate": OP1, "op3_jaccard_join": OP3, "op4_sharding": OP4}

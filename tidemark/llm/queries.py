@@ -37,6 +37,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join_components
+
+    return join_components(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_language": op2_language,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_sharding": op4_sharding,
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
