@@ -63,5 +63,26 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN root ON root.v = d.doc_id
 """
 
 
+OP10 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+w AS (
+  SELECT doc_id, k, hash(s) AS h, s FROM (
+    SELECT doc_id, k, array_to_string(list_slice(b, k, k + 49), '') AS s
+    FROM (SELECT doc_id, b, unnest(range(1, len(b) - 48)) AS k FROM d WHERE len(b) >= 50))),
+first AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT w.doc_id, w.k FROM w JOIN first USING (s) WHERE w.doc_id > first.f),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM starts),
+counts AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE fresh) AS n_spans
+  FROM (SELECT doc_id, p - 1 IS DISTINCT FROM lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS fresh FROM gone) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(x, '' ORDER BY p) AS h
+  FROM (SELECT doc_id, unnest(b) AS x, unnest(range(1, len(b) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_jaccard_join": OP3, "op4_sharding": OP4}
+    return {"op1_decontaminate": OP1, "op3_jaccard_join": OP3, "op4_sharding": OP4, "op10_substrings": OP10}

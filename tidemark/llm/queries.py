@@ -87,6 +87,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -98,4 +105,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_licenses": op7_licenses,
         "op8_mixing": op8_mixing,
         "op9_pii": op9_pii,
+        "op10_substrings": op10_substrings,
     }
