@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from fractions import Fraction
 from math import floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise, numbered
@@ -129,3 +129,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, rest
     out = joined.withColumns({"slot": (at + F.col("at")).cast("long"), "release_slot": (at + F.col("release")).cast("long"), "deadline_slot": (at + F.col("deadline")).cast("long")})
     out = out.withColumn("position", (F.col("slot") * block_rows + F.col("source_row") % block_rows - cases).cast("long"))
     return out.select("doc_id", "source", "source_row", "block", "phase", "slot", "release_slot", "deadline_slot", "position", "tie")
+
+
+def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, rest: float = 1.0, rows_per_part: int = 5000) -> DataFrame:
+    """The rows of `docs`, all columns as they are, in the order of the mixture: part k of the result holds
+    the k-th run of positions, sorted.  Texts move twice, to meet their position and to go to their part."""
+    places = mix(docs, weights, rest)
+    nth = Window.partitionBy("__tm_id", "__tm_tie").orderBy("__tm_one")
+    spots = places.select(F.col("doc_id").alias("__tm_id"), F.col("tie").alias("__tm_tie"), "position", F.lit(1).alias("__tm_one"))
+    spots = materialise(spots.withColumn("__tm_nth", F.row_number().over(nth)).drop("__tm_one"), "spots")
+    total = spots.count()
+    parts = max(1, -(-total // rows_per_part))
+    rows = docs.withColumns({"__tm_id": F.col("doc_id"), "__tm_tie": F.crc32(F.coalesce("text", F.lit(""))), "__tm_one": F.lit(1)})
+    rows = rows.withColumn("__tm_nth", F.row_number().over(nth)).drop("__tm_one")
+    mine, there = rows.alias("mine"), spots.withColumnsRenamed({"position": "__tm_position", "__tm_id": "__tm_id2", "__tm_tie": "__tm_tie2", "__tm_nth": "__tm_nth2"})
+    match = F.col("__tm_id").eqNullSafe(F.col("__tm_id2")) & (F.col("__tm_tie") == F.col("__tm_tie2")) & (F.col("__tm_nth") == F.col("__tm_nth2"))
+    placed = mine.join(there, match)
+    part = F.floor(F.col("__tm_position") * parts / F.lit(max(1, total))).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions("__tm_position").select(*docs.columns)
