@@ -37,11 +37,10 @@ from . import text as T
 from .shared import components, materialise, release
 
 SHINGLE = 5
-BAND_RATIO = 4
+BAND_RATIO = 2
 #: Segments of a band for each segment that a set has to index.
-SPREAD = 3
+SPREAD = 1.5
 SLOT_BITS = 20
-WORDS64 = 16
 #: Ids in a broadcast set; beyond it the ids are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -68,7 +67,7 @@ class Band:
 def band(low: int, high: int) -> Band:
     """The cheaper of the two allocations for sets of low to high shingles."""
     worst = int(most_different(high, largest_partner(high)))
-    exact, deleted = SPREAD * (worst + 1), worst // 2 + 1
+    exact, deleted = int(SPREAD * (worst + 1)) + 1, worst // 2 + 1
     # expected cost of a set of middle size: signatures to move, and much more for those that tell
     # little, of which there are as many as the set has too few filled segments
     size = (low + high) / 2
@@ -121,12 +120,15 @@ def identity(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def parity(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A bitmap of each set: bit b is the parity of the number of its hashes that fall on b."""
-    docs, width = len(first) - 1, WORDS64 * 64
-    at = np.repeat(np.arange(docs), np.diff(first)) * width + (h & np.uint64(width - 1)).astype(np.int64)
-    odd = (np.bincount(at, minlength=docs * width) & 1).astype(bool)
-    return np.packbits(odd, bitorder="little").view(np.int64).reshape(docs, WORDS64)
+def parity(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each set as 64-bit words, with the offsets of each: bit b is the parity of the number of its
+    hashes that fall on b.  The width is a power of two, at least twice the set's size."""
+    n = np.diff(first)
+    width = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(2 * n, 64) / 64))).astype(np.int64)
+    begin = np.cumsum(width) - width
+    at = np.repeat(begin, n) + (h & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(width.sum())) & 1).astype(bool)
+    return np.packbits(odd, bitorder="little").view(np.int64), np.append(begin, width.sum()) // 64
 
 
 FACTS = "doc_id long, n long, c1 long, c2 long, bits array<long>, slot int"
@@ -143,8 +145,8 @@ def describe(docs: DataFrame) -> DataFrame:
             h, first = shingles(*T.flatten(batch.column(1)))
             sketch += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(sketch))
             c1, c2 = identity(h, first)
-            bits = parity(h, first)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * WORDS64), pa.array(bits.ravel()))
+            bits, begin = parity(h, first)
+            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(bits))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(c1), pa.array(c2), lists, pa.nulls(len(c1), pa.int32())], names)
         heavy = np.flatnonzero(sketch > 8 + 4 * sketch.mean())
         if len(heavy):
@@ -260,7 +262,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c1), pa.array(items, pa.binary())], ["id", "c1", "items"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return picked.mapInArrow(run, "id long, c1 long, items binary").dropDuplicates(["id", "c1"])
+    return picked.mapInArrow(run, "id long, c1 long, items binary")
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -280,16 +282,22 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long").distinct()
 
 
 def _may_link(p: str, q: str) -> Column:
-    """Sizes and parity bitmaps allow similarity 3/4: the bitmaps differ in no more bits than the sets in shingles."""
+    """Sizes and parity bitmaps allow similarity 3/4: the bitmaps differ in no more bits than the sets in shingles.
+
+    Sizes that pass are so close that the wider bitmap, if any, is folded once."""
     sizes = (F.col(f"{p}n") * 4 >= F.col(f"{q}n") * 3) & (F.col(f"{q}n") * 4 >= F.col(f"{p}n") * 3)
-    bits = F.lit(0)
-    for k in range(WORDS64):
-        bits = bits + F.bit_count(F.get(f"{p}bits", F.lit(k)).bitwiseXOR(F.get(f"{q}bits", F.lit(k))))
-    return sizes & (bits * 7 <= F.col(f"{p}n") + F.col(f"{q}n"))
+    x, y = F.col(f"{p}bits"), F.col(f"{q}bits")
+    xor = lambda a, b: a.bitwiseXOR(b)
+    half = lambda a: (F.size(a) / 2).cast("int")
+    fold = lambda a: F.zip_with(F.slice(a, F.lit(1), half(a)), F.slice(a, half(a) + 1, half(a)), xor)
+    left = F.when(F.size(x) > F.size(y), fold(x)).otherwise(x)
+    right = F.when(F.size(y) > F.size(x), fold(y)).otherwise(y)
+    bits = F.aggregate(F.zip_with(left, right, xor), F.lit(0), lambda acc, w: acc + F.bit_count(w))
+    return F.when(sizes, bits * 7 <= F.col(f"{p}n") + F.col(f"{q}n")).otherwise(F.lit(False))
 
 
 def frequent_slots(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -314,9 +322,10 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     member = F.shiftright(F.xxhash64("c1"), 16)
     shared = signed.select("sig", "c1", F.count("*").over(group).alias("k"), F.try_sum(member).over(group).alias("sum"), F.min("c1").over(group).alias("lo"), F.max("c1").over(group).alias("hi"))
     # signatures with the same members are one block
-    blocks = materialise(shared.filter("lo < hi").select(F.coalesce(F.xxhash64("k", "sum"), "sig").alias("block"), "c1", "lo").distinct(), "blocks")
+    blocks = materialise(shared.filter("lo < hi").select(F.coalesce(F.xxhash64("k", "sum"), "sig").alias("block"), "c1", "lo").groupBy("block", "c1", "lo").agg(F.count("*").alias("m")), "blocks")
     release(spark)
-    hubs = blocks.groupBy("c1").agg(F.min("lo").alias("hub")).filter("hub < c1")
+    # the hub of a set is the one it shares most signatures with
+    hubs = blocks.filter("lo < c1").groupBy("c1", "lo").agg(F.sum("m").alias("m")).groupBy("c1").agg(F.max_by("lo", F.struct("m", "lo")).alias("hub"))
     facts_of = lambda p, key: classes.select(F.col("c1").alias(key), F.col("id").alias(p), F.col("n").alias(f"{p}n"), F.col("bits").alias(f"{p}bits"))
     paired = hubs.select(F.col("c1").alias("a1"), F.col("hub").alias("b1")).join(facts_of("a", "a1"), "a1").join(facts_of("b", "b1"), "b1")
     tried = materialise(paired.filter(_may_link("a", "b")).select("a", "a1", "b", "b1"), "tried")
