@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,8 +29,10 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver's references go first, then what they held in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str, per_task: int = 100_000) -> DataFrame:

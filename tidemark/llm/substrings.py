@@ -41,8 +41,9 @@ STRIDE = LENGTH - GRAM + 1
 SMALL = GRAM % STRIDE
 SIDE = LENGTH - GRAM
 #: Suffix tuples of one anchor that are induced in memory.
-MEMORY_ROWS = 200_000
-BATCH_ROWS = 100_000
+MEMORY_ROWS = 400_000
+BATCH_ROWS = 200_000
+CHUNK_BYTES = 1 << 19
 
 
 def _rolling(raw: np.ndarray, size: int) -> np.ndarray:
@@ -87,7 +88,7 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in T.chunks(batches):
+        for batch in T.chunks(batches, limit=CHUNK_BYTES):
             cls = np.array(batch.column(1).to_pylist(), np.int64)
             fresh = np.zeros(len(cls), bool)
             for k, c in enumerate(cls.tolist()):
@@ -110,7 +111,7 @@ def suffix_tuples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(gram, doc, place, left, right): shared anchors with SIDE bytes to each side, fewer at the ends of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.chunks(batches):
+        for batch in T.chunks(batches, limit=CHUNK_BYTES):
             raw, offs = T.flatten(batch.column(1))
             place, doc, gram = anchors(raw, offs)
             lists = batch.column(2)
@@ -128,7 +129,7 @@ def suffix_tuples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["gram", "doc", "place", "left", "right"])
 
     texts = docs.select("doc_id", text_class().alias("cls"), F.coalesce("text", F.lit("")).alias("text"))
-    met = texts.join(wanted, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]).select("doc_id", "text", "grams")
+    met = texts.join(wanted, ["doc_id", "cls"]).select("doc_id", "text", "grams")
     return met.mapInArrow(run, "gram long, doc long, place int, left binary, right binary")
 
 
@@ -247,7 +248,15 @@ def induce_on_disk(rows: Iterable[tuple[int, int, bytes, bytes]]) -> Iterator[tu
 
 
 def repeats(tuples: DataFrame) -> DataFrame:
-    """(doc, place, mask) of the suffix tuples with a window that is a repeat."""
+    """(doc, places) of the suffix tuples with a window that is a repeat; a row for each document in a block of tuples."""
+
+    def packed(doc: np.ndarray, place: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+        by = np.lexsort((place, doc))
+        doc, place, mask = doc[by], place[by], mask[by]
+        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        items = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(mask.astype(np.int32))], ["place", "mask"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), items)
+        return pa.RecordBatch.from_arrays([pa.array(doc[head]), lists], ["doc", "places"])
 
     def padded(values: pa.Array, reverse: bool) -> tuple[np.ndarray, np.ndarray]:
         raw, offs = np.frombuffer(values.buffers()[2] or b"", np.uint8), np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
@@ -266,8 +275,7 @@ def repeats(tuples: DataFrame) -> DataFrame:
         right, n_right = padded(column(4), False)
         group = np.cumsum(np.append(0, gram[1:] != gram[:-1]))
         mask = induce(doc, left, right, n_left, n_right, group)
-        keep = pa.array(mask > 0)
-        return pa.RecordBatch.from_arrays([column(1).filter(keep), column(2).filter(keep), pa.array(mask[mask > 0].astype(np.int32))], ["doc", "place", "mask"])
+        return packed(doc[mask > 0], column(2).to_numpy()[mask > 0], mask[mask > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -314,12 +322,11 @@ def repeats(tuples: DataFrame) -> DataFrame:
             yield whole(pa.Table.from_batches(held))
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        doc, place, mask = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(mask, pa.int32())], ["doc", "place", "mask"])
+        return packed(*map(np.array, zip(*out, strict=True)))
 
     spark = tuples.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return tuples.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, place int, mask int")
+    return tuples.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, places array<struct<place:int,mask:int>>")
 
 
 def removal_marks(docs: DataFrame) -> DataFrame:
@@ -333,7 +340,7 @@ def removal_marks(docs: DataFrame) -> DataFrame:
     found = materialise(repeats(suffix_tuples(docs, wanted)), "repeats")
     release(spark)
     # a text's places are as many as its length allows
-    by_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("place", "mask")).alias("places"))
+    by_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.flatten(F.collect_list("places")).alias("places"))
     inner = firsts.select(F.col("first").alias("doc_id"), "cls").join(by_doc, "doc_id").select("doc_id", "cls", F.lit(False).alias("whole"), "places")
     copies = named.filter(F.col("n") >= LENGTH).join(firsts, ["cls", "n"]).filter("doc_id > first").select("doc_id", "cls", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<place:int,mask:int>>").alias("places")).distinct()
     return materialise(inner.unionByName(copies), "marks")
