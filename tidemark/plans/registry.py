@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import features, panel
+
+GROUPS = [panel, features]
+
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    return panel.daily_gap_losses(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for group in GROUPS:
+        out |= group.Q
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for group in GROUPS:
+        out |= group.SQL
+    return out
