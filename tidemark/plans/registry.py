@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features, panel
+from . import evaluation, features, models, panel
 
-GROUPS = [panel, features]
+GROUPS = [panel, features, evaluation, models]
 
 
 def entry(spark: SparkSession) -> DataFrame:
