@@ -92,7 +92,7 @@ def dm_block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 def murphy_curves(spark: SparkSession, sf: str) -> DataFrame:
     m = E.murphy(V.forecasts(spark, sf), KEY, 50, V.LEVEL)
-    return m.select(*KEY, S("point").cast("long").alias("point"), r("theta").alias("theta"), r("score").alias("score"))
+    return m.select(*KEY, S("point").cast("long").alias("point"), r("theta").alias("theta"), (r("score") + 0.0).alias("score"))
 
 
 def stress_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,7 +297,7 @@ SQL = {
     "joint_exceptions": f"WITH {V.SCORED} SELECT {D}, count(*) FILTER (WHERE hit) AS hits FROM scored GROUP BY scored.d HAVING bool_or(hit)",
     "incremental_information": f"WITH {V.SCORED}, {PAIRS} SELECT side, model, count(*) AS pairs, round(avg(-diff), 6) AS gain, count(*) FILTER (WHERE diff < -1e-9) AS wins FROM pairs GROUP BY 1, 2",
     "murphy_curves": f"""WITH {V.FORECASTS}, e AS (SELECT quantile_cont(loss, 0.01) AS lo, quantile_cont(loss, 0.99) AS hi FROM forecasts), g AS (SELECT k AS point, lo + (hi - lo) * k / 49 AS theta FROM e, (SELECT unnest(range(50)) AS k))
-      SELECT side, model, point, round(theta, 6) AS theta, round(avg(CASE WHEN var > theta THEN (CASE WHEN loss > theta THEN 1.0 ELSE 0.0 END - 0.05) * (var - theta) ELSE 0 END), 6) AS score FROM forecasts, g GROUP BY side, model, point, theta""",
+      SELECT side, model, point, round(theta, 6) AS theta, round(avg(CASE WHEN var > theta THEN (CASE WHEN loss > theta THEN 1.0 ELSE 0.0 END - 0.05) * (var - theta) ELSE 0 END), 6) + 0 AS score FROM forecasts, g GROUP BY side, model, point, theta""",
     "stress_windows": f"""WITH {V.SCORED}, c AS (SELECT side, quantile_cont(loss, 0.9) AS cut FROM scored WHERE model = 'historical' GROUP BY 1)
       SELECT side, model, count(*) AS rows, count(*) FILTER (WHERE hit) AS hits, round(avg(q_loss), 6) AS mean_q, round(avg(fz_loss), 5) AS mean_fz FROM scored JOIN c USING (side) WHERE loss >= cut GROUP BY 1, 2""",
     "admissibility_screen": f"""WITH {HALVES}, {_metric_sql('halves', 'half, side, model', 'm')} SELECT model, count(*) AS scenarios,

@@ -12,7 +12,8 @@ GROUPS = [panel, features, evaluation, models]
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return panel.daily_gap_losses(spark, "/root/testdata/sf0.001")
+    """Coverage and losses of three forecast models over both tails, from orders to metrics."""
+    return evaluation.forecast_metrics(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
