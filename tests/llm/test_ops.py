@@ -1,0 +1,501 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, fingerprints, jaccard, language, licenses, mixing, pii, shared, sharding, substrings, toxicity
+from tidemark.llm import text as T
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, position int, words string"
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def rows(texts, langs=None, sources=None, ids=None):
+    """Documents with extra columns whose names clash with what operators use."""
+    return [(ids[k] if ids else k, t, langs[k] if langs else "en", sources[k] if sources else "s", len(t or ""), 7, "w") for k, t in enumerate(texts)]
+
+
+def frame(spark, *a, **b):
+    return spark.createDataFrame(rows(*a, **b), SCHEMA).repartition(3)
+
+
+def vocabulary(rng, n=60, size=5):
+    return ["".join(rng.choice("abcdeé") for _ in range(size)) for _ in range(n)]
+
+
+def messy(seed=0, n=40):
+    """Random texts with copies, near copies, shared passages, nulls, blanks, junk and one long text."""
+    rng = random.Random(seed)
+    v = vocabulary(rng)
+    texts = [" ".join(rng.choice(v) for _ in range(rng.randint(1, 80))) for _ in range(n)]
+    passage = " ".join(rng.choice(v) for _ in range(20))
+    texts += [texts[3], texts[3], texts[5] + " " + texts[6], passage + " " + texts[7], texts[8] + ". " + passage]
+    words = texts[9].split()
+    for k in range(6):
+        w = list(words)
+        w[k * len(w) // 6] = "changed"
+        texts.append(" ".join(w))
+    return [*texts, None, "", "   ", "...", None, "!!! ??", "A", "x" * 3000, "a b c", " ".join(rng.choice(v) for _ in range(3000)), "é" * 70]
+
+
+def words_of(t):
+    return WORD.findall((t or "").translate(LOWER))
+
+
+# decontamination
+
+
+def contamination(text, items, window=10):
+    w = words_of(text)
+    hit, found = set(), set()
+    for item, body in items:
+        b = words_of(body)
+        n = min(window, len(b))
+        wins = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if n else set()
+        for k in range(len(w) - n + 1 if n else 0):
+            if tuple(w[k : k + n]) in wins:
+                hit |= set(range(k, k + n))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.fixture(scope="module")
+def contaminated(spark):
+    texts = messy(1)
+    items = [(1, texts[2] + " tail"), (20, texts[45]), (3, "A"), (4, None), (5, "zz yy"), (20, texts[10]), (6, " ".join(words_of(texts[11])[:12]))]
+    return texts, items, frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_decontamination_matches_brute_force(contaminated, block):
+    texts, items, docs, bench = contaminated
+    got = {r.doc_id: r for r in decontaminate.find_contamination(docs, bench, shard_bytes=4000, block_bytes=block).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        n, h, found = contamination(t, items)
+        assert (got[k].n_words, got[k].n_hit, got[k].item_ids) == (n, h, found)
+        spans = [(t or "").encode()[s.start : s.stop].decode() for s in got[k].spans]
+        assert sum(len(words_of(s)) for s in spans) == h
+
+
+def test_excision_leaves_no_window(contaminated):
+    texts, items, docs, bench = contaminated
+    out = decontaminate.excise(docs, bench)
+    assert out.columns == docs.columns
+    left = {r.doc_id: r for r in out.collect()}
+    for k, t in enumerate(texts):
+        n, h, _ = contamination(t, items)
+        if h == 0:
+            assert left[k].text == t
+        elif k in left:
+            assert contamination(left[k].text, items)[1] == 0 and left[k].n_chars == len(left[k].text)
+
+
+def test_empty_tables(spark):
+    docs, bench = frame(spark, []), spark.createDataFrame([], "item_id long, text string")
+    full = frame(spark, ["a b", None])
+    assert decontaminate.find_contamination(docs, bench).count() == 0
+    assert [r.n_hit for r in decontaminate.find_contamination(full, bench).collect()] == [0, 0]
+    for out in (jaccard.join_components(docs), substrings.remove_repeats(docs), fingerprints.fingerprint(docs), licenses.scan_licenses(docs), pii.find_pii(docs), sharding.assign(docs), mixing.mix(docs), language.identify(docs)):
+        assert out.count() == 0
+    assert toxicity.score(full, spark.createDataFrame([], "doc_id long, quality int, toxic int")).select("score").collect() == [(0.0,), (0.0,)]
+
+
+def test_fm_index_counts_and_locates():
+    rng = np.random.default_rng(0)
+    s = np.append(rng.integers(1, 5, 400), 0)
+    index = decontaminate.FMIndex(s, 5, 8)
+    for size in (1, 2, 5):
+        pats = np.array([s[k : k + size] for k in range(0, 390, 13)] + [np.full(size, 4)])
+        low, high = index.search(pats)
+        for p, a, b in zip(pats, low, high, strict=True):
+            want = [k for k in range(len(s) - size + 1) if (s[k : k + size] == p).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+# language
+
+
+def test_kneser_ney_matches_definition():
+    texts = ["the cat sat", "the hat", "cat the"]
+    raw, offs = T.flatten(pa.array(texts))
+    code, _ = language.letters(raw, offs)
+    keys, n = np.unique(code, return_counts=True)
+    model = language.build({"en": (keys, n.astype(np.int64))})
+    grams = {tuple((int(k) >> (15 * j)) & 0x7FFF for j in (3, 2, 1, 0)): int(c) for k, c in zip(keys, n, strict=True)}
+    alphabet = {g[-1] for g in grams}
+
+    def prob(ctx, w, counts, order):
+        ones, twos = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        if order == 1:
+            lower = 1 / (len(alphabet) + 1)
+        else:
+            shorter = {}
+            for g in counts:
+                shorter[g[1:]] = shorter.get(g[1:], 0) + 1
+            lower = prob(ctx[1:], w, shorter, order - 1)
+        total = sum(c for g, c in counts.items() if g[:-1] == ctx)
+        if not total:
+            return lower
+        kinds = sum(g[:-1] == ctx for g in counts)
+        return max(counts.get((*ctx, w), 0) - d, 0) / total + d * kinds / total * lower
+
+    for text in ("the", "zap the hat"):
+        q, _ = language.letters(*T.flatten(pa.array([text])))
+        for c in q:
+            g = tuple((int(c) >> (15 * j)) & 0x7FFF for j in (3, 2, 1, 0))
+            assert model.probability(np.array([c], np.uint64))[0, 0] == pytest.approx(prob(g[:-1], g[-1], grams, 4))
+
+
+def test_language_learns_only_from_its_fold(spark):
+    rng = random.Random(4)
+    words = {"aa": ["lamo", "leno", "pira"], "bb": ["krath", "smudg", "wolft"]}
+    texts, langs = [], []
+    for k in range(160):
+        lang = "aa" if k % 2 else "bb"
+        texts.append(" ".join(rng.choice(words[lang]) for _ in range(12)))
+        langs.append(None if k % 9 == 0 else lang)
+    texts += [None, "", "123 !!"]
+    langs += ["aa", "bb", "aa"]
+    out = {r.doc_id: r for r in language.identify(frame(spark, texts, langs)).collect()}
+    assert all(out[k].lang_pred == ("aa" if k % 2 else "bb") for k in range(160))
+    assert all(out[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in range(163))
+    assert [(out[k].lang_pred, out[k].score, out[k].rejected) for k in (160, 161, 162)] == [("und", 0.0, True)] * 3
+    assert all(0 <= r.score <= 1 for r in out.values())
+    docs = frame(spark, texts, langs)
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(160))
+
+
+# near duplicates
+
+
+def shingle_set(t):
+    w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_components(docs):
+    sets = [(d, shingle_set(t)) for d, t in docs]
+    root = {d: d for d, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {d: (len(s), find(d)) for d, s in sets}
+
+
+def near_copies(seed, n):
+    rng = random.Random(seed)
+    v = vocabulary(rng, 300)
+    out = []
+    for _ in range(n):
+        base = [rng.choice(v) for _ in range(rng.choice([1, 3, 6, 7, 8, 10, 14, 25, 60, 200, 700]))]
+        for _ in range(rng.randint(1, 4)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 25))):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = [rng.choice(v)] * rng.randint(0, 1)
+            out.append(" ".join(w))
+    passage = " ".join(rng.choice(v) for _ in range(40))
+    out += [passage + " " + " ".join(rng.choice(v) for _ in range(rng.randint(3, 60))) for _ in range(30)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_jaccard_join_matches_brute_force(spark, seed):
+    texts = near_copies(seed, 60) + messy(seed, 12)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(frame(spark, texts)).collect()}
+    want = brute_components(list(enumerate(texts)))
+    assert got == want
+    assert sum(c != d for d, (_, c) in want.items()) > 20
+
+
+def test_bands_guarantee_a_shared_signature():
+    """Every linked pair shares a signature, whatever the frequencies are."""
+    rng = np.random.default_rng(0)
+    plan = jaccard.bands(400)
+    slots = np.arange(0, 1 << jaccard.SLOT_BITS, 3)
+    signer = jaccard.Signer(plan, slots, rng.integers(1, 1000, len(slots)))
+    for _ in range(400):
+        n = int(rng.integers(3, 300))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64))
+        drop = int(rng.integers(0, n // 4 + 1))
+        add = int(rng.integers(0, n // 4 + 1))
+        y = np.unique(np.concatenate([rng.permutation(x)[drop:], rng.integers(0, 1 << 63, add, dtype=np.int64).view(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(y) >= 3 and 100 * both >= 75 * (len(x) + len(y) - both):
+            sx = set(signer.sign(x, np.array([0, len(x)]))[0].tolist())
+            sy = set(signer.sign(y, np.array([0, len(y)]))[0].tolist())
+            assert sx & sy
+
+
+def test_one_of_each_group_stays(spark):
+    texts = ["a b c d e f g"] * 3 + ["other words entirely here now then", None, None, ""]
+    docs = frame(spark, texts, ids=[4, 2, 9, 5, None, 6, 7]).union(frame(spark, ["a b c d e f g"], ids=[2]))
+    out = jaccard.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 2), (False, 5), (False, 6), (False, 7), (True, 0)]
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(k, k + 1) for k in range(10, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (3, 2)]
+    got = {r.v: r.root for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 10 for k in range(10, 41)} | {k: 100 for k in range(100, 130)} | {2: 2, 3: 2}
+
+
+# sharding and mixing
+
+
+def test_rendezvous_moves_rows_only_into_the_new_shard(spark):
+    texts = messy(2)
+    docs = frame(spark, texts * 20)
+    out = sharding.assign(docs).collect()
+    assert len(out) == 20 * len(texts)
+    assert all(r.grown_shard in (r.shard, 24) for r in out)
+    for s in range(24):
+        slots = sorted(r.slot for r in out if r.shard == s)
+        assert slots == list(range(len(slots)))
+    by = {r.doc_id: r for r in out}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert (by[k].size, by[k].text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+    weighted = [r.shard for r in sharding.with_shards(spark.range(4000).withColumnRenamed("id", "doc_id"), 2, [3.0, 1.0]).collect()]
+    assert 0.7 < weighted.count(0) / 4000 < 0.8
+
+
+def test_pfair_stays_within_a_block():
+    rng = random.Random(0)
+    for _ in range(40):
+        weights = {f"s{k}": rng.random() + 0.01 for k in range(rng.randint(1, 8))}
+        slots = mixing.shares(weights, rng.choice([10, 97, 500]))
+        got = dict.fromkeys(slots, 0)
+        for t, (s, _, release, deadline) in enumerate(mixing.one_period(slots)):
+            assert release <= t < deadline
+            got[s] += 1
+            for k, n in slots.items():
+                assert abs(Fraction(got[k]) - Fraction((t + 1) * n, sum(slots.values()))) < 1
+        assert got == slots
+
+
+def test_mixture_holds_every_row_once(spark):
+    rng = random.Random(1)
+    sources = [rng.choice(["hot"] * 6 + ["a", "b", None]) for _ in range(300)]
+    texts = [f"t{k % 50}" if k % 7 else None for k in range(300)]
+    docs = frame(spark, texts, sources=sources)
+    out = mixing.mix(docs, {"hot": 1.0, "a": 2.0}, block_rows=4, period=50).collect()
+    assert sorted(r.position for r in out) == list(range(300))
+    assert all(r.release_slot <= r.slot < r.deadline_slot for r in out)
+    ordered = [r.slot for r in sorted(out, key=lambda r: r.position)]
+    assert ordered == sorted(ordered)
+    twice = docs.unionByName(docs.filter("doc_id < 5")).unionByName(frame(spark, ["n", "n"], ids=[None, None]))
+    again = mixing.in_order(twice, {"hot": 1.0}, rows_per_part=50)
+    assert again.columns == docs.columns
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(again) == key(twice)
+
+
+# fingerprints
+
+
+def test_fingerprints(spark):
+    texts = [t for t in messy(3, 12)]
+    out = {r.doc_id: r for r in fingerprints.fingerprint(frame(spark, texts)).collect()}
+    assert len(out) == len(texts)
+    for k, t in enumerate(texts):
+        t, nxt = t or "", texts[(k - 1) % len(texts)] or ""
+        third = len(t) // 3
+        edited = t[: len(t) - third] + nxt[:third]
+        assert out[k].n_chars == len(t)
+        assert out[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= out[k].near_edited <= 1 and 0 <= out[k].near_next <= 1
+        for j, u in enumerate(texts):
+            if (u or "") == t:
+                assert out[j].fingerprint == out[k].fingerprint
+
+
+def test_collision_rate_is_generalised_jaccard(spark):
+    rng = random.Random(5)
+    v = vocabulary(rng, 400, 8)
+    pairs, texts = [], []
+    for _ in range(60):
+        base = [rng.choice(v) for _ in range(150)]
+        other = base[: rng.randint(20, 150)] + [rng.choice(v) for _ in range(40)]
+        texts += [" ".join(base), " ".join(other)]
+        a, b = ({w: x.count(w) for w in set(x)} for x in (base, other))
+        pairs.append(sum(min(a.get(w, 0), b.get(w, 0)) for w in v) / sum(max(a.get(w, 0), b.get(w, 0)) for w in v))
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(frame(spark, texts)).collect()}
+    like = [sum(got[2 * k][8 * i : 8 * i + 8] == got[2 * k + 1][8 * i : 8 * i + 8] for i in range(32)) / 32 for k in range(60)]
+    assert abs(np.mean(np.array(like) - np.array(pairs))) < 0.04
+    assert np.corrcoef(like, pairs)[0, 1] > 0.8
+
+
+# toxicity
+
+
+def test_toxicity_is_learned_and_fair(spark):
+    rng = random.Random(6)
+    v = vocabulary(rng, 80)
+    texts, labels = [], []
+    for k in range(600):
+        w = [rng.choice(v) for _ in range(30)]
+        toxic = rng.random() < 0.3
+        if toxic:
+            w[rng.randrange(30)] = rng.choice(["idiot", "scum"])
+        if rng.random() < (0.6 if toxic else 0.1):
+            w[rng.randrange(30)] = "muslim"  # named more often in toxic texts
+        texts.append(" ".join(w))
+        labels.append((k, 0, int(toxic)))
+    probe = ["nice words", "nice muslim words", "nice christian words", "you idiot", None, ""]
+    docs = frame(spark, texts + probe)
+    marks = spark.createDataFrame([*labels, (5000, 0, 1), (3, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, marks).collect()}
+    held = [k for k in range(600) if got[k].held_out]
+    assert np.mean([got[k].predicted == labels[k][2] for k in held]) > 0.95
+    clean, muslim, christian, idiot = (got[600 + k].score for k in range(4))
+    assert idiot > 0.5 and max(clean, muslim, christian) < 0.3
+    assert abs(muslim - christian) < 0.1 and muslim - clean < 0.15
+    assert got[604].score == got[605].score
+
+
+# licences
+
+
+def test_license_scan_matches_brute_force(spark):
+    texts = messy(7, 10) + [
+        "All rights reserved. all RIGHTS reserved cc by", "cc-by CC BY 4.0", "general public\nlicense general public", "Licensed under the Apache License, Version 2.0.",
+        "Permission is hereby granted, free of charge, to anyone obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        w = words_of(t)
+        found = [(i, label) for label, p in licenses.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        starts = [i for i, _ in found]
+        assert (got[k].n_words, got[k].n_base, got[k].first_word, got[k].last_word) == (len(w), len(found), min(starts, default=None), max(starts, default=None))
+        assert got[k].base_labels == sorted({x for _, x in found}) and set(got[k].base_labels) <= set(got[k].labels)
+    assert "apache-2.0" in got[len(texts) - 2].labels and "mit" in got[len(texts) - 1].labels
+    assert got[0].labels == [] and got[0].score == 0
+
+
+def test_suffix_automaton_statistics():
+    rng = random.Random(0)
+    seqs = [[rng.randint(0, 2) for _ in range(12)] for _ in range(3)]
+    a = licenses.SuffixAutomaton(seqs)
+    text = [rng.randint(0, 3) for _ in range(60)]
+    inside = {tuple(s[i:j]) for s in seqs for i in range(12) for j in range(i + 1, 13)}
+    state = length = 0
+    for k, c in enumerate(text):
+        state, length = a.walk(state, length, c)
+        assert length == max((n for n in range(k + 2) if n == 0 or tuple(text[k + 1 - n : k + 1]) in inside), default=0)
+
+
+# personal data
+
+
+def luhn(d):
+    return sum(n if i % 2 == 0 else 2 * n - 9 * (n > 4) for i, n in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_pii(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_pii_base_matches_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("019 .-+@a(é)") for _ in range(120)) for _ in range(150)]
+    texts += ["x@y.zz%foo@b.c a..b@c.d", "1.2.3.4.5.6.7.8 256.1.1.1 00001.2.3.4", "4111 1111-1111 1111 4111111111111112 4111-1111--1111 1111", "+1 (555) 010-5050 日本 +44.20.7946.0958", None, "", "1" * 20000, "1 " * 9000, "a" * 30000, "😀 a@b.cd 😀 1.2.3.4"]
+    got = {r.doc_id: r for r in pii.find_pii(frame(spark, texts)).select("doc_id", "base", "spans").collect()}
+    for k, t in enumerate(texts):
+        assert [(s.start, s.rank, s.stop) for s in got[k].base] == base_pii(t or "")
+        assert set(got[k].base) <= set(got[k].spans)
+
+
+def test_pii_wider_spans_and_trees(spark):
+    texts = ["call me on (555) 123-4567 now", "my ssn is 123-45-6789", "write an email to john at gmail dot com", "order 123-45-6789 was sent", "plain words only", "token = 0a1b2c3d4e5f60718293"]
+    got = {r.doc_id: [pii.ALL_KINDS[s.rank] for s in r.spans] for r in pii.find_pii(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(6)] == [["phone"], ["ssn"], ["email"], [], [], ["secret"]]
+    rows = pii.training_rows(50, 1)
+    trees, _ = pii.model()
+    columns = spark.createDataFrame([x for x, _ in rows], ", ".join(f"{f} double" for f in pii.FEATURES))
+    for t in trees[:3]:
+        out = [r[0] for r in columns.select(pii.compiled(t, {f: F.col(f) for f in pii.FEATURES})).collect()]
+        assert out == pytest.approx([pii._value(t, x) for x, _ in rows])
+
+
+# repeated substrings
+
+
+def brute_repeats(docs):
+    first = {}
+    for d, t in docs:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(first.get(b[i : i + 50], d), d)
+    out = {}
+    for d, t in docs:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        out[d] = (len(b), sum(gone), sum(gone[i] and not (i and gone[i - 1]) for i in range(len(b))), bytes(x for x, g in zip(b, gone, strict=True) if not g))
+    return out
+
+
+def test_repeats_match_brute_force(spark):
+    texts = messy(9, 25) + ["ab" * 60, "y" + "ab" * 60, "é" * 40, "zz" + "é" * 40, "q" * 49, "q" * 50, "q" * 51]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(frame(spark, texts)).collect()}
+    assert got == brute_repeats(list(enumerate(texts)))
+
+
+def test_repeated_ids_and_null_ids_do_not_remove_each_other(spark):
+    t = "word " * 30
+    docs = frame(spark, [t, t, t, t], ids=[5, 5, None, 8])
+    got = sorted((r.doc_id or -1, r.n_removed) for r in substrings.remove_repeats(docs).collect())
+    assert got == [(-1, 0), (5, 0), (5, 0), (8, 150)]
+
+
+def test_induction_on_disk_equals_memory(monkeypatch):
+    monkeypatch.setattr(substrings, "MEMORY_ROWS", 50)
+    rng = np.random.default_rng(0)
+    side = lambda: bytes(rng.integers(97, 99, int(rng.integers(10, 19))).astype(np.uint8))
+    rows = [(int(rng.integers(0, 30)), k, side(), side()) for k in range(1500)]
+    pad = lambda b: np.frombuffer(b.ljust(substrings.SIDE, b"\0"), np.uint8)
+    mask = substrings.induce(np.array([r[0] for r in rows]), np.stack([pad(r[2][::-1]) for r in rows]), np.stack([pad(r[3]) for r in rows]), np.array([len(r[2]) for r in rows]), np.array([len(r[3]) for r in rows]), np.zeros(len(rows), np.int64))
+    disk = np.zeros(len(rows), np.int64)
+    for _, place, bit in substrings.induce_on_disk(iter(rows)):
+        disk[place] |= bit
+    assert (mask == disk).all() and (mask > 0).any()
+
+
+def test_numbering_is_gapless(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 9 == 0, F.lit(None)).otherwise("b").alias("g"), (F.col("id") % 700).alias("o"))
+    out = shared.numbered(df, "g", ["o"], "n", per_task=10).collect()
+    for g in ("hot", "b", None):
+        mine = sorted((r.n, r.o) for r in out if r.g == g)
+        assert [n for n, _ in mine] == list(range(len(mine))) and [o for _, o in mine] == sorted(o for _, o in mine)

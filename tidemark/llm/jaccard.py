@@ -41,6 +41,8 @@ BAND_RATIO = 2
 #: Segments of a band for each segment that a set has to index.
 SPREAD = 1.5
 SLOT_BITS = 20
+#: Rounds in which neighbours in a block are held against each other before all pairs are.
+CHAINS = 2
 #: Ids in a broadcast set; beyond it the ids are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -331,21 +333,41 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     tried = materialise(paired.filter(_may_link("a", "b")).select("a", "a1", "b", "b1"), "tried")
     links = materialise(verify(docs, tried), "links")
     release(spark)
-    # the rest: pairs in a block that are not connected yet
-    known = components(links)
-    placed = materialise(
-        blocks.select("block", "c1").join(classes.select("c1", "id", "n", "bits"), "c1").join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed"
-    )
+    # most of a large group is connected by holding neighbours in a random order against each other
+    for turn in range(CHAINS):
+        pairs = materialise(_neighbours(_placed(blocks, classes, links), turn), "pairs")
+        more = materialise(verify(docs, pairs), "links")
+        tried, links = tried.unionByName(pairs), links.unionByName(more)
+        release(spark)
+    # the rest: every pair in a block that is not connected yet
+    placed = materialise(_placed(blocks, classes, links), "placed")
     span = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("block")
     open_blocks = placed.join(span, "block", "left_semi")
     side = lambda p: open_blocks.select(*[F.col(c).alias(f"{p}{s}") for c, s in (("block", "block"), ("id", ""), ("c1", "1"), ("n", "n"), ("bits", "bits"), ("root", "root"))])
     rest = side("a").join(side("b"), (F.col("ablock") == F.col("bblock")) & (F.col("aroot") < F.col("broot")) & _may_link("a", "b"))
-    rest = rest.select("a", "a1", "b", "b1").distinct().join(tried.select(F.col("a").alias("b"), F.col("a1").alias("b1"), F.col("b").alias("a"), F.col("b1").alias("a1")).unionByName(tried), ["a", "a1", "b", "b1"], "left_anti")
-    rest = materialise(rest, "rest")
+    done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("b1").alias("a1"), F.col("a").alias("b"), F.col("a1").alias("b1")))
+    rest = materialise(rest.select("a", "a1", "b", "b1").distinct().join(done, ["a", "a1", "b", "b1"], "left_anti"), "rest")
     more = materialise(verify(docs, rest), "links") if rest.limit(1).count() else links.limit(0)
     return rows, classes, links.unionByName(more)
 
 
+def _placed(blocks: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of blocks with their facts and the root that `links` give them."""
+    known = components(links).withColumnRenamed("v", "id")
+    members = blocks.select("block", "c1").join(classes.select("c1", "id", "n", "bits"), "c1")
+    return members.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs that follow each other in a block, in a random order of the turn, and are not connected yet."""
+    names = {"id": "", "c1": "1", "n": "n", "bits": "bits", "root": "root"}
+    w = Window.partitionBy("block").orderBy(F.xxhash64("id", F.lit(turn)), "id", "c1")
+    row = F.struct(*names)
+    both = placed.select(row.alias("p"), F.lag(row).over(w).alias("q")).filter("q is not null and p.root <> q.root")
+    flat = both.select(*[F.col(f"p.{k}").alias(f"a{v}") for k, v in names.items()], *[F.col(f"q.{k}").alias(f"b{v}") for k, v in names.items()])
+    return flat.filter(_may_link("a", "b")).select("a", "a1", "b", "b1").distinct()
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document: the smallest doc_id that links reach."""
     rows, classes, links = link(docs)
