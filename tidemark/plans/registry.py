@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, features, models, panel
+from . import evaluation, extras, features, models, panel
 
-GROUPS = [panel, features, evaluation, models]
+GROUPS = [panel, features, evaluation, models, extras]
 
 
 def entry(spark: SparkSession) -> DataFrame:
