@@ -42,7 +42,7 @@ BAND_RATIO = 2
 SPREAD = 1.5
 SLOT_BITS = 20
 #: Rounds in which neighbours in a block are held against each other before all pairs are.
-CHAINS = 2
+CHAINS = 3
 #: Ids in a broadcast set; beyond it the ids are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -249,7 +249,7 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with each span's characters replaced by its kind in brackets; overlapping spans merge."""
+    """A column `text`: the texts of `docs` with each span's characters replaced by its kind in brackets; overlapping spans merge."""
     names = F.array(*[F.lit(k) for k in ALL_KINDS])
     found = find_pii(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")).select("text", "spans")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
