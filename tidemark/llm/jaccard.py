@@ -41,8 +41,10 @@ BAND_RATIO = 2
 #: Segments of a band for each segment that a set has to index.
 SPREAD = 1.5
 SLOT_BITS = 20
-#: Rounds in which neighbours in a block are held against each other before all pairs are.
-CHAINS = 3
+#: Rounds, at most, in which neighbours in a block are held against each other before all pairs are;
+#: they end when the pairs not connected yet are few for each member.
+CHAINS = 6
+PAIRS_PER_MEMBER = 4
 #: Ids in a broadcast set; beyond it the ids are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -328,22 +330,29 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     release(spark)
     # the hub of a set is the one it shares most signatures with
     hubs = blocks.filter("lo < c1").groupBy("c1", "lo").agg(F.sum("m").alias("m")).groupBy("c1").agg(F.max_by("lo", F.struct("m", "lo")).alias("hub"))
-    facts_of = lambda p, key: classes.select(F.col("c1").alias(key), F.col("id").alias(p), F.col("n").alias(f"{p}n"), F.col("bits").alias(f"{p}bits"))
-    paired = hubs.select(F.col("c1").alias("a1"), F.col("hub").alias("b1")).join(facts_of("a", "a1"), "a1").join(facts_of("b", "b1"), "b1")
-    tried = materialise(paired.filter(_may_link("a", "b")).select("a", "a1", "b", "b1"), "tried")
+    # sizes and bitmaps are wide: they are joined to pairs, not to the members of blocks
+    live = materialise(classes.join(blocks.select("c1").distinct(), "c1", "left_semi"), "live")
+    members = materialise(blocks.select("block", "c1").join(live.select("c1", "id"), "c1"), "members")
+    tried = materialise(_possible(hubs.select(F.col("c1").alias("a1"), F.col("hub").alias("b1")), live), "tried")
     links = materialise(verify(docs, tried), "links")
     release(spark)
     # most of a large group is connected by holding neighbours in a random order against each other
-    for turn in range(CHAINS):
-        pairs = materialise(_neighbours(_placed(blocks, classes, links), turn), "pairs")
+    turn = 0
+    while True:
+        members = materialise(_open(members, links), "open")
+        rows_left, pairs_left = _left(members)
+        if turn == CHAINS or pairs_left <= PAIRS_PER_MEMBER * rows_left:
+            break
+        pairs = materialise(_possible(_neighbours(members, turn), live), "pairs")
         more = materialise(verify(docs, pairs), "links")
         tried, links = tried.unionByName(pairs), links.unionByName(more)
         release(spark)
+        turn += 1
+    if not rows_left:
+        return rows, classes, links
     # the rest: every pair in a block that is not connected yet
-    placed = materialise(_placed(blocks, classes, links), "placed")
-    span = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("block")
-    open_blocks = placed.join(span, "block", "left_semi")
-    side = lambda p: open_blocks.select(*[F.col(c).alias(f"{p}{s}") for c, s in (("block", "block"), ("id", ""), ("c1", "1"), ("n", "n"), ("bits", "bits"), ("root", "root"))])
+    known = members.join(live.select("c1", "n", "bits"), "c1")
+    side = lambda p: known.select(*[F.col(c).alias(f"{p}{s}") for c, s in (("block", "block"), ("id", ""), ("c1", "1"), ("n", "n"), ("bits", "bits"), ("root", "root"))])
     rest = side("a").join(side("b"), (F.col("ablock") == F.col("bblock")) & (F.col("aroot") < F.col("broot")) & _may_link("a", "b"))
     done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("b1").alias("a1"), F.col("a").alias("b"), F.col("a1").alias("b1")))
     rest = materialise(rest.select("a", "a1", "b", "b1").distinct().join(done, ["a", "a1", "b", "b1"], "left_anti"), "rest")
@@ -351,21 +360,34 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, classes, links.unionByName(more)
 
 
-def _placed(blocks: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of blocks with their facts and the root that `links` give them."""
+def _possible(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """(a, a1, b, b1) of the pairs (a1, b1) of classes that sizes and bitmaps allow to be linked."""
+    facts_of = lambda p: live.select(F.col("c1").alias(f"{p}1"), F.col("id").alias(p), F.col("n").alias(f"{p}n"), F.col("bits").alias(f"{p}bits"))
+    return pairs.join(facts_of("a"), "a1").join(facts_of("b"), "b1").filter(_may_link("a", "b")).select("a", "a1", "b", "b1")
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of blocks with the root that `links` give them, where a block has more than one root."""
     known = components(links).withColumnRenamed("v", "id")
-    members = blocks.select("block", "c1").join(classes.select("c1", "id", "n", "bits"), "c1")
-    return members.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = members.select("block", "c1", "id").join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    block = Window.partitionBy("block")
+    return placed.withColumn("lo", F.min("root").over(block)).withColumn("hi", F.max("root").over(block)).filter("lo < hi").drop("lo", "hi")
+
+
+def _left(members: DataFrame) -> tuple[int, float]:
+    """Members of open blocks, and pairs of them in a block with different roots."""
+    of_root = members.groupBy("block", "root").agg(F.count("*").cast("double").alias("k"))
+    of_block = of_root.groupBy("block").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    rows, pairs = of_block.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()
+    return int(rows or 0), pairs or 0.0
 
 
-def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs that follow each other in a block, in a random order of the turn, and are not connected yet."""
-    names = {"id": "", "c1": "1", "n": "n", "bits": "bits", "root": "root"}
+def _neighbours(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a1, b1) that follow each other in a block, in a random order of the turn, and are not connected yet."""
     w = Window.partitionBy("block").orderBy(F.xxhash64("id", F.lit(turn)), "id", "c1")
-    row = F.struct(*names)
-    both = placed.select(row.alias("p"), F.lag(row).over(w).alias("q")).filter("q is not null and p.root <> q.root")
-    flat = both.select(*[F.col(f"p.{k}").alias(f"a{v}") for k, v in names.items()], *[F.col(f"q.{k}").alias(f"b{v}") for k, v in names.items()])
-    return flat.filter(_may_link("a", "b")).select("a", "a1", "b", "b1").distinct()
+    before = F.lag(F.struct("c1", "root")).over(w)
+    both = members.select("c1", "root", before.alias("q")).filter("q is not null and root <> q.root")
+    return both.select(F.least("c1", "q.c1").alias("a1"), F.greatest("c1", "q.c1").alias("b1")).distinct()
 
 
 def join_components(docs: DataFrame) -> DataFrame:
