@@ -296,6 +296,48 @@ def test_pfair_stays_within_a_block():
         assert got == slots
 
 
+def test_mixture_follows_the_target_weights():
+    twenty = {f"src{k}": {0: 4.0, 1: 2.0, 2: 2.0, 3: 1.5}.get(k, 1.0) for k in range(20)}
+    uneven = {"big": 10, **{f"s{k}": 0.01 for k in range(500)}}
+    odd = {"a": 0.1234567, None: 0.7654321, "c": 0.3333333, "zero": 0.0}
+    for weights, each in ((twenty, 2000), ({f"s{k:03d}": 4.0 if k == 0 else 1.0 for k in range(200)}, 40), (uneven, 9000), (odd, 500)):
+        blocks = {k: each if k in ("big", None) or weights is not uneven else 3 for k in weights}
+        spans, turns = mixing.plan(blocks, weights)
+        target = {k: Fraction(str(w)) / sum(Fraction(str(v)) for v in weights.values()) for k, w in weights.items()}
+        by = {}
+        for source, phase, j, *rest in turns:
+            by[source, phase, j] = rest
+        slots = {}
+        for s in spans:
+            for b in range(s["first"], s["stop"]):
+                at, release, deadline = by[s["source"], s["phase"], (b - s["first"]) % s["per"]]
+                slot = s["start"] + (b - s["first"]) // s["per"] * s["period"] + at
+                assert slot not in slots and release <= at < deadline
+                slots[slot] = s["source"], b
+        assert sorted(slots) == list(range(sum(blocks.values())))
+        got = dict.fromkeys(weights, 0)
+        first = max(s["start"] for s in spans if s["phase"] == 1)
+        for t in range(first):
+            k, b = slots[t]
+            assert b == got[k]
+            got[k] += 1
+            assert abs(got[k] - target[k] * (t + 1)) < 1
+            if t % 100 == 0 or t == first - 1:
+                assert all(abs(got[k] - target[k] * (t + 1)) < 1 for k in weights)
+
+
+def test_mixed_rows_follow_the_target_weights(spark):
+    weights = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 1.5}
+    sources = [f"src{k}" for k in range(20) for _ in range(int(60 * weights.get(f"src{k}", 1.0)))]
+    out = mixing.mix(frame(spark, ["t"] * len(sources), sources=sources), weights, block_rows=1)
+    got = 0
+    for t, r in enumerate(out.filter("phase = 0").orderBy("position").collect()):
+        got += r.source == "src0"
+        assert abs(got - Fraction(8, 51) * (t + 1)) < 1
+    assert t > 1000
+    assert mixing.mix(frame(spark, ["t"]).limit(0), weights).count() == 0
+
+
 def test_mixture_holds_every_row_once(spark):
     rng = random.Random(1)
     sources = [rng.choice(["hot"] * 6 + ["a", "b", None]) for _ in range(300)]

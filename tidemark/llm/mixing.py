@@ -1,38 +1,59 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source form blocks.  With weight w (a multiple of 1/period), its j-th block
-of a phase has release time floor(j / w) and deadline ceil((j + 1) / w); each time slot
-takes, among the released blocks, the one with the earliest deadline.  All weights sum to
-one, so after any number of slots each source is less than one block away from its share.
-When a source has no blocks left, a new phase begins with the weights of the others
-scaled to sum to one; no row is dropped or repeated.
-
-A schedule repeats after `period` slots, so the driver works out one period for each
-phase, and at most one phase for each source; block numbers map to slots in closed form.
-Everything else is distributed: rows are numbered inside their source however large it is.
+The rows of a source form blocks.  With weight w, an exact fraction of the sum of all, its
+j-th block of a phase has release time floor(j / w) and deadline ceil((j + 1) / w); each
+time slot takes, among the released blocks, the one with the earliest deadline.  All
+weights sum to one, so after any number of slots each source is less than one block away
+from its target share.  When a source has no blocks left, a new phase begins with the
+weights of the others scaled to sum to one; no row is dropped or repeated.
+
+A schedule repeats after as many slots as the weights' common denominator.  The driver
+works out one period for each phase, or the phase's own slots where they are fewer, and
+at most one phase for each source; block numbers map to slots in closed form.  Weights
+without a small common denominator cost it a step for each block.  Everything else is
+distributed: rows are numbered inside their source however large it is.
 
 Cases: a null source is a source of its own; null texts are rows like any others;
 repeated rows take a place each; sources without a stated weight get the weight stated
-for `rest`; an empty table gives no rows.
+for `rest`; sources of weight 0 come, evenly, when no other is left; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from fractions import Fraction
-from math import floor
+from heapq import heappop, heappush
+from math import floor, gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise, numbered
 
 BLOCK_ROWS = 16
-PERIOD = 1000
+#: Schedules up to this many rows are broadcast; longer ones are shuffled.
+BROADCAST_TURNS = 100_000
+#: Release and deadline slots that do not fit a long.
+FAR = 1 << 61
+
+
+def exact(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in the proportion of the weights as they are stated in decimal; they add up to the period."""
+    stated = {k: Fraction(str(w)) for k, w in weights.items()}
+    if any(w < 0 for w in stated.values()):
+        raise ValueError("weights must not be negative")
+    if not any(stated.values()):
+        return dict.fromkeys(stated, 1)
+    whole = lcm(*[w.denominator for w in stated.values()])
+    out = {k: int(w * whole) for k, w in stated.items()}
+    common = gcd(*out.values())
+    return {k: n // common for k, n in out.items()}
 
 
 def shares(weights: Mapping[str | None, float], period: int) -> dict[str | None, int]:
-    """Whole numbers of slots per period for each source, at least 1, by largest remainders."""
+    """Rounded weights: whole numbers of slots per period for each source, at least 1, by largest remainders."""
     period = max(period, len(weights))
     total = sum(map(Fraction, weights.values()))
     exact = {k: Fraction(v) / total * (period - len(weights)) for k, v in weights.items()}
@@ -43,60 +64,84 @@ def shares(weights: Mapping[str | None, float], period: int) -> dict[str | None,
     return out
 
 
-def one_period(slots: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int]]:
-    """(source, number in the period, release, deadline) for each slot of a period, earliest deadline first."""
+def one_period(slots: Mapping[str | None, int], blocks: Mapping[str | None, int] | None = None) -> list[tuple[str | None, int, int, int]]:
+    """(source, number in the period, release, deadline) for each slot of a period, earliest deadline first.
+
+    With `blocks` it ends at the slot that takes the last block of any source.
+    """
     period = sum(slots.values())
+    waiting = [(0, str(k), k is None, k) for k, n in slots.items() if n]
+    ready: list[tuple] = []
     taken = dict.fromkeys(slots, 0)
     out = []
+    waiting.sort(key=lambda x: x[:3])
     for now in range(period):
-        ready = []
-        for source, n in slots.items():
-            j = taken[source]
-            if j < n and j * period // n <= now:
-                ready.append((-(-(j + 1) * period // n), str(source), source))
-        deadline, _, source = min(ready, key=lambda x: x[:2])
-        j = taken[source]
-        out.append((source, j, j * period // slots[source], deadline))
-        taken[source] += 1
+        while waiting and waiting[0][0] <= now:
+            _, name, null, source = heappop(waiting)
+            heappush(ready, (-(-(taken[source] + 1) * period // slots[source]), name, null, source))
+        deadline, name, null, source = heappop(ready)
+        j, n = taken[source], slots[source]
+        out.append((source, j, j * period // n, deadline))
+        taken[source] = j + 1
+        if blocks is not None and j + 1 == blocks[source]:
+            break
+        if j + 1 < n:
+            heappush(waiting, ((j + 1) * period // n, name, null, source))
     return out
 
 
-def plan(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int) -> list[dict]:
-    """A row for each (phase, source, number in the period), from the numbers of blocks.
+def plan(blocks: Mapping[str | None, int], weights: Mapping[str | None, float], period: int | None = None) -> tuple[list[dict], list[tuple]]:
+    """(spans, turns) from the numbers of blocks: a span for each phase and source, a turn for each block of a period.
 
-    Block b of the source, when first <= b < stop and (b - first) % per == number, has
-    slot, release and deadline equal to start + (b - first) // per * period + the row's.
+    Block b of a span's source, when first <= b < stop, has slot, release and deadline equal to
+    start + (b - first) // per * period + those of the turn (source, phase, (b - first) % per, at,
+    release, deadline).  With `period` the weights are first rounded to its parts.
     """
-    left, done, start, phase, rows = dict(blocks), dict.fromkeys(blocks, 0), 0, 0, []
+    left, done, start, phase, spans, turns = dict(blocks), dict.fromkeys(blocks, 0), 0, 0, [], []
     while left := {k: n for k, n in left.items() if n > 0}:
-        slots = shares({k: weights[k] for k in left}, period)
-        size = sum(slots.values())
-        order = one_period(slots)
-        last = {}  # the slot of each source's last block, if the phase went on until then
-        where = {(s, j): t for t, (s, j, _, _) in enumerate(order)}
-        for k, n in left.items():
-            rounds, j = divmod(n - 1, slots[k])
-            last[k] = rounds * size + where[k, j]
-        stop = min(last.values()) + 1
+        wanted = {k: weights[k] for k in left}
+        slots = {k: n for k, n in (shares(wanted, period) if period else exact(wanted)).items() if n}
+        order = one_period(slots, left)
+        size, stop = len(order), len(order)
+        per = dict.fromkeys(slots, 0)
+        where = {}
+        for t, (source, j, _, _) in enumerate(order):
+            where[source, j] = t
+            per[source] += 1
+        if size == sum(slots.values()):  # a whole period: the slot of each source's last block, if the phase went on until then
+            stop = 1 + min((n - 1) // per[k] * size + where[k, (n - 1) % per[k]] for k, n in left.items() if k in slots)
         full, part = divmod(stop, size)
-        used = {k: full * slots[k] for k in left}
+        used = {k: full * n for k, n in per.items()}
         for source, *_ in order[:part]:
             used[source] += 1
-        for t, (source, j, release, deadline) in enumerate(order):
-            rows.append({"source": source, "phase": phase, "number": j, "per": slots[source], "period": size, "start": start, "first": done[source], "stop": done[source] + used[source], "at": t, "release": release, "deadline": deadline})
+        spans += [{"source": k, "phase": phase, "per": per[k], "period": size, "start": start, "first": done[k], "stop": done[k] + used[k]} for k in slots if used[k]]
+        turns += [(source, phase, j, t, min(release, FAR), min(deadline, FAR)) for t, (source, j, release, deadline) in enumerate(order)]
         for k, n in used.items():
             left[k] -= n
             done[k] += n
         start += stop
         phase += 1
-    return rows
+    return spans, turns
+
+
+def short_blocks(rows: Mapping[str | None, int], block_rows: int, spans: list[dict], turns: list[tuple]) -> list[tuple[int, int]]:
+    """(slot, rows that it lacks) of the sources' last blocks that are not full."""
+    ends = {k: -(-n // block_rows) for k, n in rows.items()}
+    last = {s["source"]: s for s in spans if s["stop"] == ends[s["source"]]}
+    keys = {(k, s["phase"], (ends[k] - 1 - s["first"]) % s["per"]): k for k, s in last.items()}
+    out = []
+    for source, phase, j, t, _, _ in turns:
+        if (k := (source, phase, j)) in keys and (lack := ends[source] * block_rows - rows[source]):
+            s = last[source]
+            out.append((s["start"] + (ends[source] - 1 - s["first"]) // s["per"] * s["period"] + t, lack))
+    return sorted(out)
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, rest: float = 1.0, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, rest: float = 1.0, block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
     """doc_id, source, source_row, block, phase, slot, release_slot, deadline_slot, position of each document.
 
     `position` is the row's place in the mixture, gapless from 0.  Sources, which have stated
-    weights, are few; only their counts and the schedule of one period come to the driver.
+    weights, are few; only their counts and the schedule come to the driver.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.crc32(F.coalesce("text", F.lit(""))).alias("tie"))
@@ -104,27 +149,20 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, rest
     rows = {r["source"]: r["n"] for r in ranked.groupBy("source").agg(F.count("*").alias("n")).toLocalIterator()}
     blocks = {k: -(-n // block_rows) for k, n in rows.items()}
     wanted = {k: (weights or {}).get(k, rest) for k in rows}
-    table = plan(blocks, wanted, period)
+    phases, order = plan(blocks, wanted, period)
     # the last block of a source may be short; later slots start that much earlier
-    short = []
-    for k, n in rows.items():
-        if lack := blocks[k] * block_rows - n:
-            b = blocks[k] - 1
-            r = next(r for r in table if r["source"] == k and r["first"] <= b < r["stop"] and (b - r["first"]) % r["per"] == r["number"])
-            short.append((r["start"] + (b - r["first"]) // r["per"] * r["period"] + r["at"], lack))
-    short.sort()
     total, cases = 0, F.lit(0)
-    for slot, lack in short:
+    for slot, lack in short_blocks(rows, block_rows, phases, order):
         total += lack
         cases = F.when(F.col("slot") > slot, F.lit(total)).otherwise(cases)
-    phases = {(r["source"], r["phase"]): tuple(r[k] for k in ("source", "phase", "per", "period", "start", "first", "stop")) for r in table}
-    spans = spark.createDataFrame(list(phases.values()), "p_source string, phase int, per long, period long, start long, first long, stop long")
-    turns = spark.createDataFrame([(r["source"], r["phase"], r["number"], r["at"], r["release"], r["deadline"]) for r in table], "t_source string, t_phase int, t_number long, at long, release long, deadline long")
+    spans = spark.createDataFrame([tuple(s.values()) for s in phases], "p_source string, phase int, per long, period long, start long, first long, stop long")
+    kinds = [("t_source", pa.string()), ("t_phase", pa.int32()), ("t_number", pa.int64()), ("at", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())]
+    turns = spark.createDataFrame(pa.table({name: pa.array([t[k] for t in order], kind) for k, (name, kind) in enumerate(kinds)}))
     numbers = ranked.withColumn("block", F.floor(F.col("source_row") / block_rows).cast("long"))
     inside = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("stop"))
     placed = numbers.join(F.broadcast(spans), inside).withColumns({"number": (F.col("block") - F.col("first")) % F.col("per"), "round": F.floor((F.col("block") - F.col("first")) / F.col("per"))})
     match = F.col("source").eqNullSafe(F.col("t_source")) & (F.col("phase") == F.col("t_phase")) & (F.col("number") == F.col("t_number"))
-    joined = placed.join(F.broadcast(turns), match)
+    joined = placed.join(F.broadcast(turns) if len(order) <= BROADCAST_TURNS else turns, match)
     at = F.col("start") + F.col("round") * F.col("period")
     out = joined.withColumns({"slot": (at + F.col("at")).cast("long"), "release_slot": (at + F.col("release")).cast("long"), "deadline_slot": (at + F.col("deadline")).cast("long")})
     out = out.withColumn("position", (F.col("slot") * block_rows + F.col("source_row") % block_rows - cases).cast("long"))
