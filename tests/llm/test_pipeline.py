@@ -46,6 +46,35 @@ def test_all_but_the_last_stage_return_the_columns(spark, tables):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).columns == [*COLUMNS, "shard"]
 
 
+def test_shards_keep_the_order_of_the_mixture(spark, tmp_path):
+    """Part files of very different sizes, which Spark does not read in their order."""
+    import corpus_pipeline
+    from tidemark.llm import mixing, sharding
+    from tidemark.llm.queries import SOURCE_WEIGHTS
+
+    docs = [(k, "word " * (1 + 400 * (k % 700 > 600)), "en", f"src{k * k % 7}", 1) for k in range(1500)]
+    docs = spark.createDataFrame([*docs, docs[3], docs[3], (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = f"file://{tmp_path}/mixed"
+    mixing.in_order(docs, SOURCE_WEIGHTS, rows_per_part=200).write.parquet(path)
+    mixed = spark.read.parquet(path)
+    position = {}
+    for r in mixing.mix(docs, SOURCE_WEIGHTS).orderBy("position").collect():
+        position.setdefault(r.doc_id, []).append(r.position)
+    out = sharding.in_shards(mixed, SOURCE_WEIGHTS, rows_per_part=200)
+    assert out.columns == [*COLUMNS, "shard", "slot"]
+    out.write.parquet(f"file://{tmp_path}/out")
+    for rows in (corpus_pipeline.STAGES[-1][1](spark, mixed, "").collect(), spark.read.parquet(f"file://{tmp_path}/out").orderBy("shard", "slot").collect()):
+        assert len(rows) == 1503
+        left = {k: list(v) for k, v in position.items()}
+        got = [(r.shard, left[r.doc_id].pop(0)) for r in rows]
+        assert got == sorted(got)
+    assert len({r.shard for r in rows}) == 24
+    slots = {}
+    for r in rows:
+        assert r.slot == slots.get(r.shard, 0)
+        slots[r.shard] = r.slot + 1
+
+
 @pytest.mark.skipif(not SF.exists(), reason="test tables are not here")
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op3_jaccard_join", "op4_sharding"])
 def test_queries_match_sql(spark, name):

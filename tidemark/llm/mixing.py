@@ -169,19 +169,25 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, rest
     return out.select("doc_id", "source", "source_row", "block", "phase", "slot", "release_slot", "deadline_slot", "position", "tie")
 
 
-def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, rest: float = 1.0, rows_per_part: int = 5000) -> DataFrame:
-    """The rows of `docs`, all columns as they are, in the order of the mixture: part k of the result holds
-    the k-th run of positions, sorted.  Texts move twice, to meet their position and to go to their part."""
-    places = mix(docs, weights, rest)
-    nth = Window.partitionBy("__tm_id", "__tm_tie").orderBy("__tm_one")
-    spots = places.select(F.col("doc_id").alias("__tm_id"), F.col("tie").alias("__tm_tie"), "position", F.lit(1).alias("__tm_one"))
-    spots = materialise(spots.withColumn("__tm_nth", F.row_number().over(nth)).drop("__tm_one"), "spots")
-    total = spots.count()
+def arranged(docs: DataFrame, spots: DataFrame, added: list[str], rows_per_part: int = 5000) -> DataFrame:
+    """The rows of `docs` in the order of `place`, with the columns `added`: part k of the result holds the k-th run
+    of places, sorted.  `spots` has doc_id, tie, place (gapless from 0) and `added` of each row, as mix() gives them.
+    Texts move twice, to meet their place and to go to their part."""
+    nth = Window.partitionBy("__tm_id", "__tm_tie").orderBy("__tm_order")
+    narrow = spots.select(F.col("doc_id").alias("__tm_id"), F.col("tie").alias("__tm_tie"), F.col("place").alias("__tm_place"), *[F.col(c).alias(f"__tm_add_{c}") for c in added], F.col("place").alias("__tm_order"))
+    narrow = materialise(narrow.withColumn("__tm_nth", F.row_number().over(nth)).drop("__tm_order"), "spots")
+    total = narrow.count()
     parts = max(1, -(-total // rows_per_part))
-    rows = docs.withColumns({"__tm_id": F.col("doc_id"), "__tm_tie": F.crc32(F.coalesce("text", F.lit(""))), "__tm_one": F.lit(1)})
-    rows = rows.withColumn("__tm_nth", F.row_number().over(nth)).drop("__tm_one")
-    mine, there = rows.alias("mine"), spots.withColumnsRenamed({"position": "__tm_position", "__tm_id": "__tm_id2", "__tm_tie": "__tm_tie2", "__tm_nth": "__tm_nth2"})
+    rows = docs.withColumns({"__tm_id": F.col("doc_id"), "__tm_tie": F.crc32(F.coalesce("text", F.lit(""))), "__tm_order": F.lit(1)})
+    rows = rows.withColumn("__tm_nth", F.row_number().over(nth)).drop("__tm_order")
+    there = narrow.withColumnsRenamed({"__tm_id": "__tm_id2", "__tm_tie": "__tm_tie2", "__tm_nth": "__tm_nth2"})
     match = F.col("__tm_id").eqNullSafe(F.col("__tm_id2")) & (F.col("__tm_tie") == F.col("__tm_tie2")) & (F.col("__tm_nth") == F.col("__tm_nth2"))
-    placed = mine.join(there, match)
-    part = F.floor(F.col("__tm_position") * parts / F.lit(max(1, total))).cast("int")
-    return placed.repartitionById(parts, part).sortWithinPartitions("__tm_position").select(*docs.columns)
+    placed = rows.join(there, match)
+    part = F.floor(F.col("__tm_place") * parts / F.lit(max(1, total))).cast("int")
+    kept = [c for c in docs.columns if c not in added]
+    return placed.repartitionById(parts, part).sortWithinPartitions("__tm_place").select(*kept, *[F.col(f"__tm_add_{c}").alias(c) for c in added])
+
+
+def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, rest: float = 1.0, rows_per_part: int = 5000) -> DataFrame:
+    """The rows of `docs`, all columns as they are, in the order of the mixture."""
+    return arranged(docs, mix(docs, weights, rest).withColumnRenamed("position", "place"), [], rows_per_part)

@@ -11,11 +11,12 @@ repeated rows go to the same shard and take a slot each; an empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .mixing import arranged, mix
 from .shared import materialise, numbered
 
 SHARDS = 24
@@ -57,6 +58,16 @@ def assign(docs: DataFrame, n: int = SHARDS, weights: Sequence[float] | None = N
     return numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot").withColumn("law", F.lit("key"))
 
 
+def in_shards(docs: DataFrame, mixture: Mapping[str | None, float] | None = None, rest: float = 1.0, n: int = SHARDS, weights: Sequence[float] | None = None, slot: bool = True, rows_per_part: int = 5000) -> DataFrame:
+    """`docs` with columns shard and, if asked, slot, sorted by both; slot is the row's place in its shard, gapless from 0,
+    in the order of the mixture of the sources, which is worked out here and not taken from the order of the input."""
+    places = materialise(with_shards(mix(docs, mixture, rest).select("doc_id", "tie", "position"), n, weights, grown=False), "places")
+    sizes = {r["shard"]: r["n"] for r in places.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    before = F.array(*[F.lit(sum(sizes.get(j, 0) for j in range(k))).cast("long") for k in range(n)])
+    slots = numbered(places, "shard", ["position"], "slot").withColumn("place", F.get(before, F.col("shard")) + F.col("slot"))
+    return arranged(docs, slots, ["shard", "slot"] if slot else ["shard"], rows_per_part)
+
+
 def write_shards(docs: DataFrame, path: str, n: int = SHARDS, weights: Sequence[float] | None = None) -> None:
     """Write documents below path/shard=k/, every task straight to the shards of its rows."""
     with_shards(docs, n, weights, grown=False).write.partitionBy("shard").parquet(path)
