@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -157,6 +158,22 @@ def test_kneser_ney_matches_definition():
             assert model.probability(np.array([c], np.uint64))[0, 0] == pytest.approx(prob(g[:-1], g[-1], grams, 4))
 
 
+def test_language_model_holds_every_gram(spark):
+    rng = np.random.default_rng(0)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 270_000))) for _ in range(9)]
+    docs = frame(spark, texts, ["zh"] * 9, ids=[9 * k for k in range(9)])
+    model = language.train(docs)
+    aside = {r.doc_id for r in docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(8)) == 0).collect()}
+    codes = np.concatenate([np.unique(language.letters(*T.flatten(pa.array([t])))[0]) for k, t in enumerate(texts) if 9 * k not in aside])
+    want, n = np.unique(codes, return_counts=True)
+    assert len(want) > 2_000_000
+    top = model.levels[0][-1]
+    assert np.array_equal(top.grams, want) and np.array_equal(model.known, want)
+    again = pickle.loads(pickle.dumps(model))
+    assert np.array_equal(again.levels[0][0].share, model.levels[0][0].share)
+    assert len(pickle.dumps(model)) < 10_000
+
+
 def test_language_learns_only_from_its_fold(spark):
     rng = random.Random(4)
     words = {"aa": ["lamo", "leno", "pira"], "bb": ["krath", "smudg", "wolft"]}

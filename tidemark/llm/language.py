@@ -3,7 +3,8 @@
 Texts are read as lower-cased letters with single boundaries between runs of letters.
 Character 4-grams are counted for each language over all training rows; the counts of
 lower orders are the numbers of distinct continuations, as Kneser-Ney asks for.  A model
-is a set of sorted code arrays with one column for each language.  The language of a text
+is a set of sorted code arrays, which holds every 4-gram that was counted; they lie in the
+shared folder and executors map them into memory.  The language of a text
 is the one with the least cross-entropy per character.  The temperature of the score and
 the limit on the cross-entropy, above which a text is rejected, are calibrated on
 training rows that the counts leave out.
@@ -15,21 +16,25 @@ count each; very long texts are scored whole.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
+from .shared import materialise, scratch
 
 ORDER = 4
 BITS = 15
 CHUNK_BYTES = 2 << 20
-#: Most 4-grams of a language that its model holds; beyond it the rarest go.
-MAX_GRAMS = 2_000_000
+#: 4-grams that come to the driver, or are settled, at once.
+PIECE = 2_000_000
 #: One training row in so many is kept for calibration, up to CALIBRATION_ROWS rows.
 CALIBRATION_PART = 8
 CALIBRATION_ROWS = 4000
@@ -98,8 +103,27 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
 
 
+def stored(values: np.ndarray, folder: str | None) -> np.ndarray:
+    """The array, mapped from a new file of the folder if there is one."""
+    if folder is None or not len(values):
+        return values
+    path = f"{folder}/{uuid.uuid4().hex}.npy"
+    np.save(path, values)
+    return np.load(path, mmap_mode="r")
+
+
+class Mapped:
+    """Arrays that are mapped from files are pickled as the paths of these."""
+
+    def __getstate__(self) -> dict:
+        return {k: Path(v.filename) if isinstance(v, np.memmap) else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update({k: np.load(v, mmap_mode="r") if isinstance(v, Path) else v for k, v in state.items()})
+
+
 @dataclass
-class Level:
+class Level(Mapped):
     """One order: n-grams with their discounted probabilities, contexts with what they leave to lower orders."""
 
     grams: np.ndarray
@@ -109,7 +133,7 @@ class Level:
 
 
 @dataclass
-class Model:
+class Model(Mapped):
     langs: list[str] = field(default_factory=list)
     levels: list[list[Level]] = field(default_factory=list)
     uniform: float = 1.0
@@ -134,9 +158,12 @@ class Model:
             out[:, k] = p
         return out
 
-    def settle(self) -> None:
-        self.known = np.unique(np.concatenate([levels[-1].grams for levels in self.levels])) if self.levels else self.known
-        self.logs = np.log(self.probability(self.known)).astype(np.float32)
+    def settle(self, folder: str | None) -> None:
+        known = np.unique(np.concatenate([levels[-1].grams for levels in self.levels])) if self.levels else self.known
+        logs = np.empty((len(known), len(self.langs)), np.float32)
+        for at in range(0, len(known), PIECE):
+            logs[at : at + PIECE] = np.log(self.probability(known[at : at + PIECE]))
+        self.known, self.logs = stored(known, folder), stored(logs, folder)
 
     def entropies(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each document under each language, and its number of characters."""
@@ -168,11 +195,11 @@ class Model:
         return (best - self.mean) / self.spread * np.sqrt(np.minimum(n, EVIDENCE))
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """A model from the sorted 4-gram codes and counts of each language."""
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], folder: str | None = None) -> Model:
+    """A model from the sorted 4-gram codes and counts of each language; its arrays go to the folder."""
     model = Model(langs=sorted(counts))
     low = np.uint64(BITS)
-    alphabet = np.unique(np.concatenate([c[0] & np.uint64((1 << BITS) - 1) for c in counts.values()])) if counts else []
+    alphabet = np.unique(np.concatenate([np.unique(c[0] & np.uint64((1 << BITS) - 1)) for c in counts.values()])) if counts else []
     model.uniform = 1.0 / (len(alphabet) + 1)
     for lang in model.langs:
         grams, n = counts[lang]
@@ -185,12 +212,13 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             sizes = np.diff(np.append(first, len(grams)))
             total = np.add.reduceat(n, first) if len(first) else n
             share = np.maximum(n - discount, 0) / np.repeat(total, sizes)
-            levels.append(Level(grams, share, context[first], discount * sizes / np.maximum(total, 1)))
+            rest = discount * sizes / np.maximum(total, 1)
+            levels.append(Level(stored(grams, folder), stored(share, folder), stored(context[first], folder), stored(rest, folder)))
             if order > 1:
                 shorter = grams & np.uint64((1 << (BITS * (order - 1))) - 1)
                 grams, n = merged([(shorter, np.ones(len(shorter), np.int64))])
         model.levels.append(levels[::-1])
-    model.settle()
+    model.settle(folder)
     return model
 
 
@@ -229,27 +257,41 @@ def count_grams(train: DataFrame) -> DataFrame:
     return train.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
-    """A calibrated model from the rows of `docs` (text, lang, doc_id)."""
-    from .shared import materialise
+def local_folder(spark: SparkSession) -> str | None:
+    """A new folder of the shared place, if that is mounted as a path."""
+    path = scratch(spark)
+    path = path.removeprefix("file:") if path.startswith("file:") else path
+    if ":" in path.split("/")[0]:
+        return None
+    path = "/" + path.lstrip("/")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def gathered(grams: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n rows (code, n), sorted, a piece at a time."""
+    pieces = max(1, -(-n // PIECE))
+    keys, counts, at = np.empty(n, np.uint64), np.empty(n, np.int64), 0
+    for k in range(pieces):
+        part = grams.filter(F.pmod(F.xxhash64("code"), F.lit(pieces)) == k).select("code", "n").toArrow()
+        keys[at : at + len(part)] = part.column(0).to_numpy()
+        counts[at : at + len(part)] = part.column(1).to_numpy()
+        at += len(part)
+    by = np.argsort(keys)
+    return keys[by], counts[by]
 
+
+def train(docs: DataFrame) -> Model:
+    """A calibrated model from the rows of `docs` (text, lang, doc_id)."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     aside = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(CALIBRATION_PART)) == 0
     table = materialise(count_grams(rows.filter(~aside)), "grams")
-    least: dict[str, int] = {}
-    held: dict[str, int] = {}
-    sizes = table.groupBy("lang", F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("k"))
-    for r in sorted(sizes.toLocalIterator(), key=lambda r: -r["n"]):
-        held[r["lang"]] = held.get(r["lang"], 0) + r["k"]
-        if held[r["lang"]] <= max_grams:
-            least[r["lang"]] = r["n"]
+    folder = local_folder(docs.sparkSession)
     counts = {}
-    for lang, n in least.items():
-        part = table.filter((F.col("lang") == lang) & (F.col("n") >= n)).select("code", "n").toArrow()
-        keys = part.column(0).to_numpy().astype(np.uint64)
-        by = np.argsort(keys)
-        counts[lang] = keys[by], part.column(1).to_numpy()[by]
-    model = build(counts)
+    for r in table.groupBy("lang").agg(F.count("*").alias("k")).collect():
+        keys, n = gathered(table.filter(F.col("lang") == r["lang"]), r["k"])
+        counts[r["lang"]] = stored(keys, folder), stored(n, folder)
+    model = build(counts, folder)
     if model.langs:
         calibrate(model, rows.filter(aside))
     return model
