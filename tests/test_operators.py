@@ -211,3 +211,17 @@ def test_garch_and_boosting():
 def test_nelder_mead():
     best, value = numerics.nelder_mead(lambda p: float(((p - [1, 2, 3]) ** 2).sum()), np.zeros(3), 500)
     assert value < 1e-6 and best == pytest.approx([1, 2, 3], abs=1e-2)
+
+
+def test_tail_fits_use_the_whole_series(spark):
+    from tidemark.operators import numerics
+    from tidemark.plans import models, views
+
+    sf = "/root/testdata/sf0.001"
+    days = views.losses(spark, sf).toPandas().sort_values("d")
+    series = {side: g.loss.to_numpy(float) for side, g in days.groupby("side")}
+    assert all(len(x) > 600 for x in series.values())
+    for r in models.gas_t_fit(spark, sf).collect():
+        assert r["loss"] == pytest.approx(numerics.gas_t_fit(series[r.side], views.LEVEL)["loss"])
+    for r in models.garch_t_tail(spark, sf).collect():
+        assert r["loss"] == pytest.approx(numerics.garch_t(series[r.side], views.LEVEL, r.model == "gjr_garch_t")["loss"])

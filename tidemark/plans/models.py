@@ -83,7 +83,6 @@ def garch_t_tail(spark: SparkSession, sf: str) -> DataFrame:
     def fit(side, x, _):
         from ..operators.numerics import garch_t
 
-        x = x[-600:]
         return [{"side": side, "model": m, **garch_t(x, V.LEVEL, m == "gjr_garch_t")} for m in ("garch_t", "gjr_garch_t")]
 
     return _fit(spark, sf, "side string, model string, var double, es double, nu double, persistence double, loss double", fit)
@@ -110,7 +109,7 @@ def gas_t_fit(spark: SparkSession, sf: str) -> DataFrame:
     def fit(side, x, _):
         from ..operators.numerics import gas_t_fit as solve
 
-        return [{"side": side, **solve(x[-600:], V.LEVEL)}]
+        return [{"side": side, **solve(x, V.LEVEL)}]
 
     return _fit(spark, sf, "side string, var double, es double, nu double, loss double", fit)
 
