@@ -158,6 +158,25 @@ def test_kneser_ney_matches_definition():
             assert model.probability(np.array([c], np.uint64))[0, 0] == pytest.approx(prob(g[:-1], g[-1], grams, 4))
 
 
+@pytest.mark.parametrize("n", [60, 600])
+def test_language_rejects_unlike_texts_with_letters(spark, n):
+    """Few calibration rows, and many of which one is gibberish."""
+    rng = random.Random(4)
+    v = vocabulary(rng)
+    cyrillic = "".join(chr(0x430 + rng.randrange(32)) for _ in range(500))
+    noise = "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(500))
+    texts = [" ".join(rng.choice(v) for _ in range(60)) for _ in range(n)]
+    ids = list(range(n))
+    if n == 600:  # a labelled outlier among the rows that are set aside, and in the fold that is learned from
+        aside = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(8)) == 0
+        at = spark.range(n).withColumnRenamed("id", "doc_id").filter(aside & (language.fold(F.col("doc_id")) != 2)).first().doc_id
+        texts[at] = "".join(chr(0xAC00 + rng.randrange(10000)) for _ in range(3000))
+    fresh = [k for k in range(n, n + 400) if zlib.crc32(str(k).encode()) % 4 == 2][:2]
+    out = {r.doc_id: r for r in language.identify(frame(spark, [*texts, cyrillic, noise], ids=[*ids, *fresh])).collect()}
+    assert out[fresh[0]].rejected and out[fresh[1]].rejected
+    assert [k for k in range(n) if out[k].rejected] == ([at] if n == 600 else [])
+
+
 def test_language_model_holds_every_gram(spark):
     rng = np.random.default_rng(0)
     texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 270_000))) for _ in range(9)]

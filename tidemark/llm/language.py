@@ -7,7 +7,9 @@ is a set of sorted code arrays, which holds every 4-gram that was counted; they
 shared folder and executors map them into memory.  The language of a text
 is the one with the least cross-entropy per character.  The temperature of the score and
 the limit on the cross-entropy, above which a text is rejected, are calibrated on
-training rows that the counts leave out.
+all training rows that the counts leave out; the limit comes from quantiles, which single
+odd rows do not move.  Where such rows are few, a text is rejected that its best model
+predicts clearly worse than a guess among all letters would.
 
 Cases: null texts and texts without a letter get 'und' and score 0; rows with a null lang
 are not learned from; without any training row all predictions are 'und'; repeated rows
@@ -35,9 +37,12 @@ BITS = 15
 CHUNK_BYTES = 2 << 20
 #: 4-grams that come to the driver, or are settled, at once.
 PIECE = 2_000_000
-#: One training row in so many is kept for calibration, up to CALIBRATION_ROWS rows.
+#: One training row in so many is kept for calibration.
 CALIBRATION_PART = 8
-CALIBRATION_ROWS = 4000
+#: Fewer calibration rows than this leave the temperature at 1 and the limit at its fallback.
+CALIBRATION_LEAST = 20
+#: The limit is this much strangeness at least, and twice this quantile of the calibration rows.
+LIMIT, LIMIT_QUANTILE = 10.0, 0.99
 #: Letters that count as evidence for the rejection limit.
 EVIDENCE = 400
 
@@ -298,34 +303,37 @@ def train(docs: DataFrame) -> Model:
 
 
 def calibrate(model: Model, rows: DataFrame) -> None:
-    """Fit the temperature and the rejection limit on a bounded sample of rows with known language."""
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(CALIBRATION_ROWS).select("doc_id").distinct()
-    picked = rows.join(F.broadcast(sample), "doc_id", "left_semi")
-    shipped = picked.sparkSession.sparkContext.broadcast(model)
+    """Fit the temperature and the rejection limit on rows with known language."""
+    model.mean, model.spread, model.limit = -float(np.log(model.uniform)), 1.0, LIMIT
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    grid = np.geomspace(1e-3, 1, 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        place = {lang: k for k, lang in enumerate(model.langs)}
         for batch in T.chunks(batches, "text", CHUNK_BYTES):
-            entropy, n = shipped.value.entropies(*T.flatten(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n.astype(np.int64)), pa.array(entropy.tolist(), pa.list_(pa.float64()))], ["lang", "n", "entropy"])
-
-    found = picked.select("text", "lang").mapInArrow(run, "lang string, n long, entropy array<double>").toArrow()
-    keep = [k for k, (lang, n) in enumerate(zip(found["lang"].to_pylist(), found["n"].to_pylist(), strict=True)) if n and lang in model.langs]
-    if len(keep) < 20:
+            entropy, n = model.entropies(*T.flatten(batch.column(0)))
+            truth = np.array([place.get(lang, -1) for lang in batch.column(1).to_pylist()], int)
+            keep = np.flatnonzero((n > 0) & (truth >= 0))
+            entropy, n, truth = entropy[keep], n[keep], truth[keep]
+            best = entropy.min(1)
+            losses = np.empty((len(keep), len(grid)))
+            for k, t in enumerate(grid):
+                p = np.exp(-(entropy - best[:, None]) * n[:, None] * t)
+                p = p[np.arange(len(n)), truth] / p.sum(1)
+                losses[:, k] = -np.log(np.maximum(p, 1e-9))
+            yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(best), pa.array(losses.tolist(), pa.list_(pa.float64()))], ["n", "best", "losses"])
+
+    found = materialise(rows.select("text", "lang").mapInArrow(run, "n long, best double, losses array<double>"), "calibration")
+    first = found.agg(F.count("*").alias("rows"), F.percentile("best", F.lit(0.5)).alias("mean"), *[F.avg(F.get("losses", F.lit(k))).alias(f"loss{k}") for k in range(len(grid))]).first()
+    if first["rows"] < CALIBRATION_LEAST:
         return
-    entropy = np.array([found["entropy"][k].as_py() for k in keep])
-    n = np.array([found["n"][k].as_py() for k in keep])
-    truth = np.array([model.langs.index(found["lang"][k].as_py()) for k in keep])
-    losses = []
-    for t in np.geomspace(1e-3, 1, 16):
-        z = -(entropy - entropy.min(1, keepdims=True)) * n[:, None] * t
-        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-        losses.append((-np.log(np.maximum(p[np.arange(len(n)), truth], 1e-9)).mean(), t))
-    model.temperature = float(min(losses)[1])
-    best = entropy.min(1)
-    model.mean = float(np.median(best))
-    model.spread = float(max(1e-3, np.median(np.abs(best - model.mean) * np.sqrt(np.minimum(n, EVIDENCE)))))
-    # no calibration row comes near the limit
-    model.limit = float(max(10.0, 2 * model.strangeness(best, n).max()))
+    model.temperature = float(min((first[f"loss{k}"], t) for k, t in enumerate(grid))[1])
+    model.mean = float(first["mean"])
+    away = (F.col("best") - F.lit(model.mean)) * F.sqrt(F.least("n", F.lit(EVIDENCE)))
+    spread, far = found.agg(F.percentile(F.abs(away), F.lit(0.5)), F.percentile(away, F.lit(LIMIT_QUANTILE))).first()
+    model.spread = float(max(1e-3, spread))
+    model.limit = float(max(LIMIT, 2 * far / model.spread))
 
 
 OUT = "lang_pred string, score double, rejected boolean"
