@@ -225,3 +225,17 @@ def test_tail_fits_use_the_whole_series(spark):
         assert r["loss"] == pytest.approx(numerics.gas_t_fit(series[r.side], views.LEVEL)["loss"])
     for r in models.garch_t_tail(spark, sf).collect():
         assert r["loss"] == pytest.approx(numerics.garch_t(series[r.side], views.LEVEL, r.model == "gjr_garch_t")["loss"])
+
+
+def test_boosted_tails_are_refitted_each_month(spark):
+    from tidemark.plans import models, views
+
+    losses = views.losses(spark, "/root/testdata/sf0.001").filter("side = 'left'").toPandas().sort_values("d")
+    x, days = losses.loss.to_numpy(float), losses.d.astype(str).to_numpy()
+    out = {r.d: r["var"] for r in models.gbm_quantile_tail(spark, "/root/testdata/sf0.001").filter("side = 'left'").collect()}
+    assert sorted(out) == list(days[views.MIN_TRAIN :])
+    f = models._features(x)
+    months = [k for k in range(views.MIN_TRAIN + 1, len(x)) if days[k][:7] != days[k - 1][:7]]
+    for at in (months[0], months[len(months) // 2]):
+        fitted = numerics.QuantileBoost(views.LEVEL).fit(f[:at], x[:at])
+        assert out[days[at]] == pytest.approx(fitted.predict(f[at : at + 1])[0])

@@ -132,15 +132,20 @@ def _features(x: np.ndarray) -> np.ndarray:
     return np.nan_to_num(np.column_stack(cols))
 
 
+def _refits(days: np.ndarray) -> list[tuple[int, int]]:
+    """(first, stop) of the days that one fit forecasts: from each month's first day on, after MIN_TRAIN days."""
+    at = [k for k in range(V.MIN_TRAIN, len(days)) if k == V.MIN_TRAIN or days[k][:7] != days[k - 1][:7]]
+    return list(zip(at, [*at[1:], len(days)], strict=True))
+
+
 def gbm_quantile_tail(spark: SparkSession, sf: str) -> DataFrame:
-    """Direct quantile boosting, refitted at the start of each fold of 200 days on all days before it."""
+    """Direct quantile boosting, refitted at the start of each month on all days before it."""
 
     def fit(side, x, days):
         from ..operators.numerics import QuantileBoost
 
         f, rows = _features(x), []
-        for at in range(V.MIN_TRAIN, len(x), 200):
-            to = min(at + 200, len(x))
+        for at, to in _refits(days):
             v = QuantileBoost(V.LEVEL).fit(f[:at], x[:at]).predict(f[at:to])
             above = x[:at][x[:at] > np.quantile(x[:at], V.LEVEL)]
             ratio = above.mean() / np.quantile(x[:at], V.LEVEL)
@@ -157,8 +162,7 @@ def gbm_location_scale(spark: SparkSession, sf: str) -> DataFrame:
         from ..operators.numerics import QuantileBoost
 
         f, rows = _features(x), []
-        for at in range(V.MIN_TRAIN, len(x), 400):
-            to = min(at + 400, len(x))
+        for at, to in _refits(days):
             mean = QuantileBoost(None, 40).fit(f[:at], x[:at])
             resid = x[:at] - mean.predict(f[:at])
             log_scale = QuantileBoost(None, 40).fit(f[:at], np.log(np.abs(resid) + 1e-6))
