@@ -5,17 +5,24 @@ Jaccard similarity 3/4, they differ in at most H = floor((|x| + |y|) / 7) shingl
 are handled by size band; a band cuts the hash range into m segments.
 
 * Exact allocation: two linked sets agree on at least m - H segments.  Every set leaves
-  out its m - H - 1 costliest segments, in one order of (frequency, signature) that all
-  sets share, and indexes the subsets in the H + 1 others; some agreeing segment is then
-  indexed by both sides, whatever each leaves out.
+  out its m - H - SHARED costliest segments, in one order of (frequency, signature) that all
+  sets share, and indexes the subsets in the H + SHARED others; SHARED agreeing segments are
+  then indexed by both sides, whatever each leaves out.
 * One-deletion allocation: with m = floor(H / 2) + 1 segments, some segment differs by at
   most one shingle; a set indexes each segment's subset and each subset less one shingle.
 
 The cheaper allocation by expected cost is taken for each band; frequencies come from a
-sketch counted over all documents.  Sets that share a signature are candidates and are
-verified exactly.  Equal sets are one class, which takes part once.  Within a block of
-sets that share a signature, first each set is held against one hub; pairs are made only
-between sets that are not connected yet, and only if sizes and parity bitmaps allow a link.
+sketch counted over all documents.  Equal sets are one class, which takes part once.  Sets
+that share a signature form a block; signatures with the same members are one block.
+
+* In blocks of at most SMALL_BLOCK sets all pairs are counted; one that shares fewer than
+  SHARED signatures there is not linked, or meets again in a larger block.
+* In a larger block each set is first held against a hub, the member whose signatures are the
+  most common; then neighbours are.  What is left outside a block's main component is then held
+  against every set of that component once, or only against those in the same blocks, whichever
+  are fewer, and against the others that are left.
+
+Candidates whose sizes and parity bitmaps allow a link are verified exactly.
 
 Cases: null, empty and wordless texts have size 0 and no links; a text of fewer than five
 words is one shingle; rows with equal doc_id are one document with the links of all its
@@ -41,8 +48,12 @@ BAND_RATIO = 2
 #: Segments of a band for each segment that a set has to index.
 SPREAD = 1.5
 SLOT_BITS = 20
+#: Signatures that two linked sets share at least; one of the one-deletion allocation counts for all of them.
+SHARED = 3
+#: Members of a block in which all pairs are counted.
+SMALL_BLOCK = 4
 #: Rounds in which neighbours in a block are held against each other before all pairs are.
-CHAINS = 3
+CHAINS = 1
 #: Ids in a broadcast set; beyond it the ids are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -124,9 +135,9 @@ def identity(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def parity(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A bitmap of each set as 64-bit words, with the offsets of each: bit b is the parity of the number of its
-    hashes that fall on b.  The width is a power of two, at least twice the set's size."""
+    hashes that fall on b.  The width is a power of two, at least four times the set's size."""
     n = np.diff(first)
-    width = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(2 * n, 64) / 64))).astype(np.int64)
+    width = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(4 * n, 64) / 64))).astype(np.int64)
     begin = np.cumsum(width) - width
     at = np.repeat(begin, n) + (h & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
     odd = (np.bincount(at, minlength=int(width.sum())) & 1).astype(bool)
@@ -168,7 +179,7 @@ class Signer:
         self.lows = np.array([b.low for b in plan])
 
     def sign(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, number of the set) of everything the sets index."""
+        """(signature, number of the set) of everything the sets index; odd signatures are of one-deletion bands."""
         n = np.diff(first)
         own = np.searchsorted(self.lows, n, "right") - 1
         parts = []
@@ -204,7 +215,7 @@ class Signer:
             row, col = np.nonzero(blank)
             everything = np.concatenate([everything, T.mix(T.mix((col + (k << 32)).astype(np.uint64)))])
             owner = np.concatenate([owner, row])
-            pair = np.unique(np.stack([owner.astype(np.uint64), everything], 1), axis=0)
+            pair = np.unique(np.stack([owner.astype(np.uint64), everything | np.uint64(1)], 1), axis=0)
             return pair[:, 1], sets[pair[:, 0].astype(np.int64)]
         signature = T.mix(sums + salt)
         slot = (mine >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -214,9 +225,9 @@ class Signer:
         owner = owner[by]
         start = T.segment_ids(owner, len(sets))
         rank = np.arange(len(owner)) - start[owner]
-        keep = rank <= most[owner]
+        keep = rank < most[owner] + SHARED
         signature, owner = signature[by][keep], owner[keep]
-        short = np.maximum(most + 1 - np.diff(start), 0)
+        short = np.maximum(most + SHARED - np.diff(start), 0)
         if short.any():  # empty segments are the costliest; take as many as are still needed
             blank = np.ones((len(sets), b.segments), bool)
             blank[who[head], segment[head]] = False
@@ -225,7 +236,7 @@ class Signer:
             row, col = row[order < short[row]], col[order < short[row]]
             signature = np.concatenate([signature, T.mix(T.mix((col + (k << 32)).astype(np.uint64)))])
             owner = np.concatenate([owner, row])
-        return signature, sets[owner]
+        return signature & ~np.uint64(1), sets[owner]
 
 
 def signatures(docs: DataFrame, signer: Signer) -> DataFrame:
@@ -319,53 +330,106 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "classes",
     )
     largest = rows.agg(F.max("n")).first()[0] or 0
-    signed = signatures(docs, Signer(bands(largest), *frequent_slots(facts)))
-    group = Window.partitionBy("sig")
-    member = F.shiftright(F.xxhash64("c1"), 16)
-    shared = signed.select("sig", "c1", F.count("*").over(group).alias("k"), F.try_sum(member).over(group).alias("sum"), F.min("c1").over(group).alias("lo"), F.max("c1").over(group).alias("hi"))
-    # signatures with the same members are one block
-    blocks = materialise(shared.filter("lo < hi").select(F.coalesce(F.xxhash64("k", "sum"), "sig").alias("block"), "c1", "lo").groupBy("block", "c1", "lo").agg(F.count("*").alias("m")), "blocks")
+    blocks = materialise(shared_blocks(signatures(docs, Signer(bands(largest), *frequent_slots(facts)))), "blocks")
     release(spark)
-    # the hub of a set is the one it shares most signatures with
-    hubs = blocks.filter("lo < c1").groupBy("c1", "lo").agg(F.sum("m").alias("m")).groupBy("c1").agg(F.max_by("lo", F.struct("m", "lo")).alias("hub"))
-    facts_of = lambda p, key: classes.select(F.col("c1").alias(key), F.col("id").alias(p), F.col("n").alias(f"{p}n"), F.col("bits").alias(f"{p}bits"))
-    paired = hubs.select(F.col("c1").alias("a1"), F.col("hub").alias("b1")).join(facts_of("a", "a1"), "a1").join(facts_of("b", "b1"), "b1")
-    tried = materialise(paired.filter(_may_link("a", "b")).select("a", "a1", "b", "b1"), "tried")
-    links = materialise(verify(docs, tried), "links")
+    large = blocks.filter(F.col("k") > SMALL_BLOCK)
+    first = small_pairs(blocks.filter(F.col("k") <= SMALL_BLOCK)).unionByName(hub_pairs(large)).distinct()
+    asked = materialise(first, "asked")
+    links = materialise(verify(docs, _probable(asked, classes)), "links")
     release(spark)
     # most of a large group is connected by holding neighbours in a random order against each other
     for turn in range(CHAINS):
-        pairs = materialise(_neighbours(_placed(blocks, classes, links), turn), "pairs")
-        more = materialise(verify(docs, pairs), "links")
-        tried, links = tried.unionByName(pairs), links.unionByName(more)
+        more = materialise(_neighbours(_placed(large, classes, links), turn).join(asked, ["a1", "b1"], "left_anti"), "asked")
+        links = links.unionByName(materialise(verify(docs, _probable(more, classes)), "links"))
+        asked = asked.unionByName(more)
         release(spark)
     # the rest: every pair in a block that is not connected yet
     placed = materialise(_placed(blocks, classes, links), "placed")
-    span = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("block")
-    open_blocks = placed.join(span, "block", "left_semi")
-    side = lambda p: open_blocks.select(*[F.col(c).alias(f"{p}{s}") for c, s in (("block", "block"), ("id", ""), ("c1", "1"), ("n", "n"), ("bits", "bits"), ("root", "root"))])
-    rest = side("a").join(side("b"), (F.col("ablock") == F.col("bblock")) & (F.col("aroot") < F.col("broot")) & _may_link("a", "b"))
-    done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("b1").alias("a1"), F.col("a").alias("b"), F.col("a1").alias("b1")))
-    rest = materialise(rest.select("a", "a1", "b", "b1").distinct().join(done, ["a", "a1", "b", "b1"], "left_anti"), "rest")
+    rest = materialise(_open_pairs(placed, classes, components(links)).join(asked, ["a1", "b1"], "left_anti"), "rest")
     more = materialise(verify(docs, rest), "links") if rest.limit(1).count() else links.limit(0)
     return rows, classes, links.unionByName(more)
 
 
+def _open_pairs(placed: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, a1, b, b1) that share a block, are not connected and may be linked."""
+    counts = placed.groupBy("block", "root").agg(F.count("*").alias("members"))
+    main = counts.groupBy("block").agg(F.max_by(F.struct("root", "members"), F.struct("members", "root")).alias("main"), F.count("*").alias("roots"))
+    shut = placed.join(main.filter("roots > 1").select("block", F.col("main.root").alias("main"), "main.members"), "block")
+    left = materialise(shut.filter("root <> main"), "left")
+    # each set that is left, with each main component it meets: the component's size against its members in shared blocks
+    sizes = known.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "main")
+    met = left.groupBy("id", "c1", "n", "main").agg(F.sum("members").alias("near")).join(sizes, "main", "left")
+    met = materialise(met.withColumn("whole", F.coalesce("size", F.lit(1)) <= F.col("near")), "met")
+    cast = lambda df, p: df.select(*[F.col(c).alias(p + s) for c, s in (("id", ""), ("c1", "1"), ("n", "n"), ("bits", "bits"))], *[c for c in df.columns if c not in ("id", "c1", "n", "bits")])
+    bits = classes.select("id", "c1", "bits")
+    everyone = classes.select("id", "c1", "n", "bits").join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    a = cast(met.filter("whole").select("id", "c1", "n", "main").join(bits, ["id", "c1"]), "a")
+    b = cast(everyone, "b")
+    names = ["a", "a1", "b", "b1"]
+    apart = a.join(b, (F.col("main") == F.col("root")) & _may_link("a", "b")).select(*names)
+    # where the component is the larger: its members in the block; and those that are left among themselves
+    wide = left.join(met.filter("not whole").select("id", "c1", "main"), ["id", "c1", "main"], "left_semi").select("block", "id", "c1", "n")
+    inside = placed.join(main.select("block", F.col("main.root").alias("root")), ["block", "root"]).join(wide.select("block").distinct(), "block", "left_semi").select("block", "id", "c1", "n")
+    tell = lambda df, p: cast(df.join(bits, ["id", "c1"]), p)
+    others = left.select("block", "id", "c1", "n", "root")
+    x, y = tell(others, "a"), tell(others, "b").withColumnsRenamed({"block": "bblock", "root": "broot"})
+    among = x.join(y, (F.col("block") == F.col("bblock")) & (F.col("root") < F.col("broot")) & _may_link("a", "b")).select(*names)
+    within = tell(wide, "a").join(tell(inside, "b").withColumnRenamed("block", "bblock"), (F.col("block") == F.col("bblock")) & _may_link("a", "b")).select(*names)
+    rest = apart.unionByName(among).unionByName(within)
+    ordered = [F.when(F.col("a1") < F.col("b1"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("a1", "b1"), ("b", "a"), ("b1", "a1"))]
+    return rest.select(*ordered).distinct()
+
+
+def shared_blocks(signed: DataFrame) -> DataFrame:
+    """(block, k, c1, m): the members of blocks, at most k of them, and the signatures they have in the block."""
+    group = Window.partitionBy("sig")
+    member = F.shiftright(F.xxhash64("c1"), 16)
+    shared = signed.select("sig", "c1", F.count("*").over(group).alias("k"), F.try_sum(member).over(group).alias("sum"), F.min("c1").over(group).alias("lo"), F.max("c1").over(group).alias("hi"))
+    weight = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, SHARED).otherwise(1)
+    named = shared.filter("lo < hi").select(F.coalesce(F.xxhash64("k", "sum"), "sig").alias("block"), "k", "c1", weight.alias("m"))
+    return named.groupBy("block", "k", "c1").agg(F.sum("m").alias("m"))
+
+
+def small_pairs(blocks: DataFrame) -> DataFrame:
+    """(a1, b1) that share SHARED signatures in blocks of at most SMALL_BLOCK members."""
+    sets = blocks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("c1", "m"))).alias("sets"))
+    after = lambda i: F.slice("sets", i + 2, SMALL_BLOCK)
+    both = F.flatten(F.transform("sets", lambda x, i: F.transform(after(i), lambda y: F.struct(x["c1"].alias("a1"), y["c1"].alias("b1"), F.least(x["m"], y["m"]).alias("m")))))
+    pairs = sets.select(F.explode(both).alias("p")).select("p.*")
+    return pairs.groupBy("a1", "b1").agg(F.sum("m").alias("m")).filter(F.col("m") >= SHARED).select("a1", "b1")
+
+
+def hub_pairs(blocks: DataFrame) -> DataFrame:
+    """(a1, b1): each set with the hub it shares most signatures with; a block's hub is its member whose signatures
+    have the most members."""
+    common = blocks.groupBy("c1").agg(F.sum(F.col("m").cast("double") * F.col("k")).alias("weight"))
+    hubs = blocks.select("block", "c1").join(common, "c1").groupBy("block").agg(F.max_by("c1", F.struct("weight", "c1")).alias("hub"))
+    met = blocks.join(hubs, "block").filter("c1 <> hub").groupBy("c1", "hub").agg(F.sum("m").alias("m"))
+    own = met.groupBy("c1").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
+    return own.select(F.least("c1", "hub").alias("a1"), F.greatest("c1", "hub").alias("b1"))
+
+
+def _probable(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, a1, b, b1) of the pairs (a1, b1) whose sizes and bitmaps allow a link."""
+    facts_of = lambda p, *more: classes.select(F.col("c1").alias(f"{p}1"), F.col("id").alias(p), F.col("n").alias(f"{p}n"), *[F.col(c).alias(f"{p}{c}") for c in more])
+    sized = pairs.select("a1", "b1").join(facts_of("a"), "a1").join(facts_of("b"), "b1")
+    sized = sized.filter((F.col("an") * 4 >= F.col("bn") * 3) & (F.col("bn") * 4 >= F.col("an") * 3)).select("a", "a1", "b", "b1")
+    met = sized.join(facts_of("a", "bits"), ["a", "a1"]).join(facts_of("b", "bits"), ["b", "b1"])
+    return materialise(met.filter(_may_link("a", "b")).select("a", "a1", "b", "b1"), "pairs")
+
+
 def _placed(blocks: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of blocks with their facts and the root that `links` give them."""
+    """(block, m, c1, id, n, root): the members of blocks with their class and the root that `links` give it."""
     known = components(links).withColumnRenamed("v", "id")
-    members = blocks.select("block", "c1").join(classes.select("c1", "id", "n", "bits"), "c1")
+    members = blocks.select("block", "m", "c1").join(classes.select("c1", "id", "n"), "c1")
     return members.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
     """Pairs that follow each other in a block, in a random order of the turn, and are not connected yet."""
-    names = {"id": "", "c1": "1", "n": "n", "bits": "bits", "root": "root"}
     w = Window.partitionBy("block").orderBy(F.xxhash64("id", F.lit(turn)), "id", "c1")
-    row = F.struct(*names)
-    both = placed.select(row.alias("p"), F.lag(row).over(w).alias("q")).filter("q is not null and p.root <> q.root")
-    flat = both.select(*[F.col(f"p.{k}").alias(f"a{v}") for k, v in names.items()], *[F.col(f"q.{k}").alias(f"b{v}") for k, v in names.items()])
-    return flat.filter(_may_link("a", "b")).select("a", "a1", "b", "b1").distinct()
+    both = placed.select("c1", "root", F.lag("c1").over(w).alias("c0"), F.lag("root").over(w).alias("root0")).filter("root <> root0 and c0 <> c1")
+    return both.select(F.least("c0", "c1").alias("a1"), F.greatest("c0", "c1").alias("b1")).distinct()
 
 
 def join_components(docs: DataFrame) -> DataFrame:

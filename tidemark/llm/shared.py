@@ -66,26 +66,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex reachable from each vertex of edges (a, b).
 
     Alternates the large-star and small-star contractions until no edge changes; each
-    round is two shuffles of at most as many edges as before, a hub's edges are only
-    ever aggregated with min(), and each round's edges go to the shared folder.
+    round is two shuffles of at most as many edges as before, and each round's edges go to
+    the shared folder.  A hub's smallest neighbour is found with a map-side min(); its edges
+    meet it in a join that Spark may split.
     """
-    spark = edges.sparkSession
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = Window.partitionBy("a")
-        large = (
-            both.withColumn("m", F.least(F.min("b").over(low), F.col("a")))
-            .filter("b > a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .distinct()
-        )
-        small = large.withColumn("m", F.min("b").over(low))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m")).join(large, "a")
         after = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         after = materialise(after, "edges")
         mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
         if now.agg(*mark).first() == after.agg(*mark).first():
             break
         now = after
-        release(spark)
     return after.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
