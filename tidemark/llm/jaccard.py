@@ -44,7 +44,13 @@ from . import text as T
 from .shared import components, materialise, release
 
 SHINGLE = 5
-BAND_RATIO = 2
+BAND_RATIO = 3
+#: Signatures and the sets' keys beside them have 48 bits: chance collisions only add candidates, which are verified.
+#: The low bytes of the one and the high bytes of the other are zero, which shuffles well.
+SIGNATURE_BITS = ~np.uint64((1 << 16) - 1)
+KEY_BITS = (1 << 48) - 1
+#: Set in the signatures of one-deletion bands.
+DELETION = 1 << 16
 #: Segments of a band for each segment that a set has to index.
 SPREAD = 1.5
 SLOT_BITS = 20
@@ -179,7 +185,7 @@ class Signer:
         self.lows = np.array([b.low for b in plan])
 
     def sign(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, number of the set) of everything the sets index; odd signatures are of one-deletion bands."""
+        """(signature, number of the set) of everything the sets index; those of one-deletion bands have DELETION set."""
         n = np.diff(first)
         own = np.searchsorted(self.lows, n, "right") - 1
         parts = []
@@ -215,7 +221,7 @@ class Signer:
             row, col = np.nonzero(blank)
             everything = np.concatenate([everything, T.mix(T.mix((col + (k << 32)).astype(np.uint64)))])
             owner = np.concatenate([owner, row])
-            pair = np.unique(np.stack([owner.astype(np.uint64), everything | np.uint64(1)], 1), axis=0)
+            pair = np.unique(np.stack([owner.astype(np.uint64), (everything & SIGNATURE_BITS) | np.uint64(DELETION)], 1), axis=0)
             return pair[:, 1], sets[pair[:, 0].astype(np.int64)]
         signature = T.mix(sums + salt)
         slot = (mine >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -236,11 +242,11 @@ class Signer:
             row, col = row[order < short[row]], col[order < short[row]]
             signature = np.concatenate([signature, T.mix(T.mix((col + (k << 32)).astype(np.uint64)))])
             owner = np.concatenate([owner, row])
-        return signature & ~np.uint64(1), sets[owner]
+        return signature & SIGNATURE_BITS & ~np.uint64(DELETION), sets[owner]
 
 
 def signatures(docs: DataFrame, signer: Signer) -> DataFrame:
-    """(sig, c1) of all sets; a task passes equal sets on once."""
+    """(sig, key) of all sets; a task passes equal sets on once."""
     shipped = docs.sparkSession.sparkContext.broadcast(signer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +263,9 @@ def signatures(docs: DataFrame, signer: Signer) -> DataFrame:
             n = np.diff(first)[fresh]
             at = np.repeat(first[fresh] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             sig, which = shipped.value.sign(h[at], np.append(0, np.cumsum(n)))
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(c1[fresh][which])], ["sig", "c1"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array((c1[fresh] & KEY_BITS)[which])], ["sig", "key"])
 
-    return docs.select("text").mapInArrow(run, "sig long, c1 long")
+    return docs.select("text").mapInArrow(run, "sig long, key long")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -328,13 +334,16 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = materialise(
         rows.filter("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits")),
         "classes",
-    )
+    ).withColumn("key", F.col("c1").bitwiseAND(F.lit(KEY_BITS)))
     largest = rows.agg(F.max("n")).first()[0] or 0
+    release(spark)
     blocks = materialise(shared_blocks(signatures(docs, Signer(bands(largest), *frequent_slots(facts)))), "blocks")
     release(spark)
     large = blocks.filter(F.col("k") > SMALL_BLOCK)
     first = small_pairs(blocks.filter(F.col("k") <= SMALL_BLOCK)).unionByName(hub_pairs(large)).distinct()
-    asked = materialise(first, "asked")
+    named = lambda p: classes.select(F.col("key").alias(f"{p}0"), F.col("c1").alias(f"{p}1"), F.col("n").alias(f"{p}n"))
+    met = first.join(named("a"), "a0").join(named("b"), "b0").filter((F.col("an") * 4 >= F.col("bn") * 3) & (F.col("bn") * 4 >= F.col("an") * 3))
+    asked = materialise(met.select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct(), "asked")
     links = materialise(verify(docs, _probable(asked, classes)), "links")
     release(spark)
     # most of a large group is connected by holding neighbours in a random order against each other
@@ -371,9 +380,10 @@ def _open_pairs(placed: DataFrame, classes: DataFrame, known: DataFrame) -> Data
     wide = left.join(met.filter("not whole").select("id", "c1", "main"), ["id", "c1", "main"], "left_semi").select("block", "id", "c1", "n")
     inside = placed.join(main.select("block", F.col("main.root").alias("root")), ["block", "root"]).join(wide.select("block").distinct(), "block", "left_semi").select("block", "id", "c1", "n")
     tell = lambda df, p: cast(df.join(bits, ["id", "c1"]), p)
-    others = left.select("block", "id", "c1", "n", "root")
-    x, y = tell(others, "a"), tell(others, "b").withColumnsRenamed({"block": "bblock", "root": "broot"})
-    among = x.join(y, (F.col("block") == F.col("bblock")) & (F.col("root") < F.col("broot")) & _may_link("a", "b")).select(*names)
+    several = left.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("block")
+    told = left.select("block", "id", "c1", "n", "root").join(several, "block", "left_semi").join(bits, ["id", "c1"])
+    side = lambda p: told.select(*[F.col(c).alias(f"{p}{s}") for c, s in (("block", "block"), ("id", ""), ("c1", "1"), ("n", "n"), ("bits", "bits"), ("root", "root"))])
+    among = side("a").join(side("b"), (F.col("ablock") == F.col("bblock")) & (F.col("aroot") < F.col("broot")) & _may_link("a", "b")).select(*names)
     within = tell(wide, "a").join(tell(inside, "b").withColumnRenamed("block", "bblock"), (F.col("block") == F.col("bblock")) & _may_link("a", "b")).select(*names)
     rest = apart.unionByName(among).unionByName(within)
     ordered = [F.when(F.col("a1") < F.col("b1"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("a1", "b1"), ("b", "a"), ("b1", "a1"))]
@@ -381,32 +391,35 @@ def _open_pairs(placed: DataFrame, classes: DataFrame, known: DataFrame) -> Data
 
 
 def shared_blocks(signed: DataFrame) -> DataFrame:
-    """(block, k, c1, m): the members of blocks, at most k of them, and the signatures they have in the block."""
+    """(block, k, key, m): the members of blocks, at most k of them, and the signatures they have in the block;
+    sets that share too few in all of their blocks are left out."""
     group = Window.partitionBy("sig")
-    member = F.shiftright(F.xxhash64("c1"), 16)
-    shared = signed.select("sig", "c1", F.count("*").over(group).alias("k"), F.try_sum(member).over(group).alias("sum"), F.min("c1").over(group).alias("lo"), F.max("c1").over(group).alias("hi"))
-    weight = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, SHARED).otherwise(1)
-    named = shared.filter("lo < hi").select(F.coalesce(F.xxhash64("k", "sum"), "sig").alias("block"), "k", "c1", weight.alias("m"))
-    return named.groupBy("block", "k", "c1").agg(F.sum("m").alias("m"))
+    member = F.shiftright(F.xxhash64("key"), 16)
+    shared = signed.select("sig", "key", F.count("*").over(group).alias("k"), F.try_sum(member).over(group).alias("sum"), F.min("key").over(group).alias("lo"), F.max("key").over(group).alias("hi"))
+    weight = F.when(F.col("sig").bitwiseAND(F.lit(DELETION)) != 0, SHARED).otherwise(1)
+    named = shared.filter("lo < hi").select(F.coalesce(F.xxhash64("k", "sum"), "sig").alias("block"), "k", "key", weight.alias("m"))
+    blocks = materialise(named.groupBy("block", "k", "key").agg(F.sum("m").alias("m")), "members")
+    enough = blocks.groupBy("key").agg(F.sum("m").alias("all")).filter(F.col("all") >= SHARED).select("key")
+    return blocks.join(enough, "key", "left_semi")
 
 
 def small_pairs(blocks: DataFrame) -> DataFrame:
-    """(a1, b1) that share SHARED signatures in blocks of at most SMALL_BLOCK members."""
-    sets = blocks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("c1", "m"))).alias("sets"))
+    """(a0, b0) of keys that share SHARED signatures in blocks of at most SMALL_BLOCK members."""
+    sets = blocks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("key", "m"))).alias("sets"))
     after = lambda i: F.slice("sets", i + 2, SMALL_BLOCK)
-    both = F.flatten(F.transform("sets", lambda x, i: F.transform(after(i), lambda y: F.struct(x["c1"].alias("a1"), y["c1"].alias("b1"), F.least(x["m"], y["m"]).alias("m")))))
+    both = F.flatten(F.transform("sets", lambda x, i: F.transform(after(i), lambda y: F.struct(x["key"].alias("a0"), y["key"].alias("b0"), F.least(x["m"], y["m"]).alias("m")))))
     pairs = sets.select(F.explode(both).alias("p")).select("p.*")
-    return pairs.groupBy("a1", "b1").agg(F.sum("m").alias("m")).filter(F.col("m") >= SHARED).select("a1", "b1")
+    return pairs.groupBy("a0", "b0").agg(F.sum("m").alias("m")).filter(F.col("m") >= SHARED).select("a0", "b0")
 
 
 def hub_pairs(blocks: DataFrame) -> DataFrame:
-    """(a1, b1): each set with the hub it shares most signatures with; a block's hub is its member whose signatures
+    """(a0, b0) of keys: each set with the hub it shares most signatures with; a block's hub is its member whose signatures
     have the most members."""
-    common = blocks.groupBy("c1").agg(F.sum(F.col("m").cast("double") * F.col("k")).alias("weight"))
-    hubs = blocks.select("block", "c1").join(common, "c1").groupBy("block").agg(F.max_by("c1", F.struct("weight", "c1")).alias("hub"))
-    met = blocks.join(hubs, "block").filter("c1 <> hub").groupBy("c1", "hub").agg(F.sum("m").alias("m"))
-    own = met.groupBy("c1").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
-    return own.select(F.least("c1", "hub").alias("a1"), F.greatest("c1", "hub").alias("b1"))
+    common = blocks.groupBy("key").agg(F.sum(F.col("m").cast("double") * F.col("k")).alias("weight"))
+    hubs = blocks.select("block", "key").join(common, "key").groupBy("block").agg(F.max_by("key", F.struct("weight", "key")).alias("hub"))
+    met = blocks.join(hubs, "block").filter("key <> hub").groupBy("key", "hub").agg(F.sum("m").alias("m"))
+    own = met.groupBy("key").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
+    return own.select(F.least("key", "hub").alias("a0"), F.greatest("key", "hub").alias("b0"))
 
 
 def _probable(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -419,9 +432,9 @@ def _probable(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _placed(blocks: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(block, m, c1, id, n, root): the members of blocks with their class and the root that `links` give it."""
+    """(block, c1, id, n, root): the members of blocks with their class and the root that `links` give it."""
     known = components(links).withColumnRenamed("v", "id")
-    members = blocks.select("block", "m", "c1").join(classes.select("c1", "id", "n"), "c1")
+    members = blocks.select("block", "key").join(classes.select("key", "c1", "id", "n"), "key").drop("key")
     return members.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
