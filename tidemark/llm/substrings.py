@@ -5,7 +5,8 @@ id.  Sorting every suffix of a corpus is avoided by sampling: each window of LEN
 picks one GRAM-byte anchor inside it by content alone (mod-minimisers), so equal windows
 pick equal anchors at equal offsets.  Anchors that only one text has are dropped; the
 others carry suffix tuples (anchor, bytes to the right, bytes to the left, document,
-place).  These are sorted on disk by Spark's external sorter, which merges spilled runs
+place).  A task that has seen a tuple's bytes in a smaller document decides it at once, so
+that a passage that very many documents share moves about one tuple for each task.  The others are sorted on disk by Spark's external sorter, which merges spilled runs
 through a priority queue.  From the order of the suffixes at the anchors the order of the
 suffixes one byte to the left is induced by the preceding byte, again and again, and with
 it the common-prefix values; neighbours that share LENGTH bytes are equal windows.
@@ -29,6 +30,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,10 @@ SIDE = LENGTH - GRAM
 #: Suffix tuples of one anchor that are induced in memory.
 MEMORY_ROWS = 400_000
 BATCH_ROWS = 200_000
+#: Tuples whose bytes a task remembers while it reads texts.
+SEEN_ROWS = 200_000
+#: A bit for each window that holds an anchor.
+ALL_SHIFTS = (1 << (SIDE + 1)) - 1
 CHUNK_BYTES = 1 << 19
 
 
@@ -63,15 +69,15 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if windows <= 0:
         return none, none, none.astype(np.uint64)
     width = LENGTH - SMALL + 1
-    bits = np.uint64(max(1, int(len(raw)).bit_length()))
-    key = (small >> bits << bits) | np.arange(len(small), dtype=np.uint64)
-    span = 1
-    low = key
+    # the place of the least hash, the first of equal ones, in each window: of content alone
+    low, first, span = small, np.arange(len(small), dtype=np.int32), 1
     while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
+        later = low[span:] < low[:-span]
+        low, first = np.where(later, low[span:], low[:-span]), np.where(later, first[span:], first[:-span])
         span *= 2
-    low = np.minimum(low[:windows], low[width - span : width - span + windows])
-    first = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    more = width - span
+    later = low[more : more + windows] < low[:windows]
+    first = np.where(later, first[more : more + windows], first[:windows]).astype(np.int64)
     start = np.arange(windows)
     doc = np.searchsorted(offs, start, "right") - 1
     inside = start + LENGTH <= offs[doc + 1]
@@ -83,6 +89,11 @@ def text_class() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def second_class() -> Column:
+    """Further 64 bits that name a text."""
+    return F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
+
+
 def shared_anchors(docs: DataFrame) -> DataFrame:
     """(cls, gram) of the anchors that two different texts have."""
 
@@ -108,9 +119,12 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 
 
 def suffix_tuples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, doc, place, left, right): shared anchors with SIDE bytes to each side, fewer at the ends of a text."""
+    """(gram, doc, place, left, right, mask): shared anchors with SIDE bytes to each side, fewer at the ends of a text.
+
+    A tuple whose bytes the task has met in a smaller document is decided: its mask is set, and it has no sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for batch in T.chunks(batches, limit=CHUNK_BYTES):
             raw, offs = T.flatten(batch.column(1))
             place, doc, gram = anchors(raw, offs)
@@ -122,15 +136,31 @@ def suffix_tuples(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             place, doc, gram = place[keep], doc[keep], gram[keep]
             body = raw.tobytes()
             lo, hi = offs[doc], offs[doc + 1]
-            left = [body[a:b] for a, b in zip(np.maximum(lo, place - SIDE).tolist(), place.tolist(), strict=True)]
-            right = [body[a:b] for a, b in zip((place + GRAM).tolist(), np.minimum(hi, place + LENGTH).tolist(), strict=True)]
-            ids = batch.column(0).take(pa.array(doc))
-            columns = [pa.array(gram.view(np.int64)), ids, pa.array((place - lo).astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["gram", "doc", "place", "left", "right"])
+            begin, end = np.maximum(lo, place - SIDE), np.minimum(hi, place + LENGTH)
+            whole = (end - begin == SIDE + LENGTH).tolist()
+            ids = batch.column(0).take(pa.array(doc)).to_pylist()
+            decided = np.zeros(len(place), bool)
+            for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+                if whole[k]:
+                    least = seen.setdefault(body[a:b], ids[k])
+                    if least < ids[k]:
+                        decided[k] = True
+                    elif least > ids[k]:
+                        seen[body[a:b]] = ids[k]
+            if len(seen) > SEEN_ROWS:  # what is forgotten is only decided later
+                seen.clear()
+            at = (place - lo).astype(np.int32)
+            left = [None if d else body[a:b] for a, b, d in zip(begin.tolist(), place.tolist(), decided.tolist(), strict=True)]
+            right = [None if d else body[a:b] for a, b, d in zip((place + GRAM).tolist(), end.tolist(), decided.tolist(), strict=True)]
+            # decided tuples go anywhere
+            key = np.where(decided, T.mix(gram + at.astype(np.uint64) + doc.astype(np.uint64)), gram)
+            mask = pa.array(np.full(len(at), ALL_SHIFTS, np.int32), mask=~decided)
+            columns = [pa.array(key.view(np.int64)), pa.array(ids, pa.int64()), pa.array(at), pa.array(left, pa.binary()), pa.array(right, pa.binary()), mask]
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "doc", "place", "left", "right", "mask"])
 
     texts = docs.select("doc_id", text_class().alias("cls"), F.coalesce("text", F.lit("")).alias("text"))
     met = texts.join(wanted, ["doc_id", "cls"]).select("doc_id", "text", "grams")
-    return met.mapInArrow(run, "gram long, doc long, place int, left binary, right binary")
+    return met.mapInArrow(run, "gram long, doc long, place int, left binary, right binary, mask int")
 
 
 class DiskQueue:
@@ -248,15 +278,10 @@ def induce_on_disk(rows: Iterable[tuple[int, int, bytes, bytes]]) -> Iterator[tu
 
 
 def repeats(tuples: DataFrame) -> DataFrame:
-    """(doc, places) of the suffix tuples with a window that is a repeat; a row for each document in a block of tuples."""
+    """(doc, place, mask) of the suffix tuples with a window that is a repeat."""
 
-    def packed(doc: np.ndarray, place: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-        by = np.lexsort((place, doc))
-        doc, place, mask = doc[by], place[by], mask[by]
-        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-        items = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(mask.astype(np.int32))], ["place", "mask"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), items)
-        return pa.RecordBatch.from_arrays([pa.array(doc[head]), lists], ["doc", "places"])
+    def rows_of(doc: np.ndarray, place: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(mask.astype(np.int32))], ["doc", "place", "mask"])
 
     def padded(values: pa.Array, reverse: bool) -> tuple[np.ndarray, np.ndarray]:
         raw, offs = np.frombuffer(values.buffers()[2] or b"", np.uint8), np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
@@ -275,13 +300,26 @@ def repeats(tuples: DataFrame) -> DataFrame:
         right, n_right = padded(column(4), False)
         group = np.cumsum(np.append(0, gram[1:] != gram[:-1]))
         mask = induce(doc, left, right, n_left, n_right, group)
-        return packed(doc[mask > 0], column(2).to_numpy()[mask > 0], mask[mask > 0])
+        return rows_of(doc[mask > 0], column(2).to_numpy()[mask > 0], mask[mask > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
-        stream = iter(batches)
+        done_before: list[pa.RecordBatch] = []
+
+        def undecided() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = batch.column(5).is_valid()
+                if known.true_count:
+                    some = batch.filter(known)
+                    done_before.append(pa.RecordBatch.from_arrays([some.column(k) for k in (1, 2, 5)], ["doc", "place", "mask"]))
+                    batch = batch.filter(pc.invert(known))
+                yield batch
+
+        stream = undecided()
         for batch in stream:
+            yield from done_before
+            done_before.clear()
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -318,31 +356,33 @@ def repeats(tuples: DataFrame) -> DataFrame:
                 if out:
                     yield _batch(out)
                 held, rows = rest, sum(b.num_rows for b in rest)
+            yield from done_before
+            done_before.clear()
         if rows:
             yield whole(pa.Table.from_batches(held))
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        return packed(*map(np.array, zip(*out, strict=True)))
+        return rows_of(*map(np.array, zip(*out, strict=True)))
 
     spark = tuples.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return tuples.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, places array<struct<place:int,mask:int>>")
+    return tuples.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "doc long, place int, mask int")
 
 
 def removal_marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, whole, places): texts to remove as wholes, and places with bits of repeated windows."""
+    """(doc_id, cls, more, whole, places): texts to remove as wholes, and places with bits of repeated windows."""
     spark = docs.sparkSession
-    named = docs.filter("doc_id is not null").select("doc_id", text_class().alias("cls"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
-    firsts = materialise(named.groupBy("cls", "n").agg(F.min("doc_id").alias("first")), "firsts")
+    named = docs.filter("doc_id is not null").select("doc_id", text_class().alias("cls"), second_class().alias("more"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
+    firsts = materialise(named.groupBy("cls", "more", "n").agg(F.min("doc_id").alias("first")), "firsts")
     shared = shared_anchors(docs)
     release(spark)
     wanted = shared.join(firsts.select("cls", F.col("first").alias("doc_id")), "cls").groupBy("doc_id", "cls").agg(F.collect_list("gram").alias("grams"))
     found = materialise(repeats(suffix_tuples(docs, wanted)), "repeats")
     release(spark)
     # a text's places are as many as its length allows
-    by_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.flatten(F.collect_list("places")).alias("places"))
-    inner = firsts.select(F.col("first").alias("doc_id"), "cls").join(by_doc, "doc_id").select("doc_id", "cls", F.lit(False).alias("whole"), "places")
-    copies = named.filter(F.col("n") >= LENGTH).join(firsts, ["cls", "n"]).filter("doc_id > first").select("doc_id", "cls", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<place:int,mask:int>>").alias("places")).distinct()
+    by_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("place", "mask")).alias("places"))
+    inner = firsts.select(F.col("first").alias("doc_id"), "cls", "more").join(by_doc, "doc_id").select("doc_id", "cls", "more", F.lit(False).alias("whole"), "places")
+    copies = named.filter(F.col("n") >= LENGTH).join(firsts, ["cls", "more", "n"]).filter("doc_id > first").select("doc_id", "cls", "more", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<place:int,mask:int>>").alias("places")).distinct()
     return materialise(inner.unionByName(copies), "marks")
 
 
@@ -383,6 +423,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [batch.column(0), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(kept, pa.binary()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class().alias("cls"), F.coalesce("text", F.lit("")).alias("text"))
-    met = texts.join(marks, ["doc_id", "cls"], "left").select("doc_id", "text", "whole", "places")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_class().alias("cls"), second_class().alias("more"), F.coalesce("text", F.lit("")).alias("text"))
+    met = texts.join(marks, ["doc_id", "cls", "more"], "left").select("doc_id", "text", "whole", "places")
     return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,stop:int>>")
