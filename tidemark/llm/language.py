@@ -34,7 +34,7 @@ from .shared import materialise, scratch
 
 ORDER = 4
 BITS = 15
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: 4-grams that come to the driver, or are settled, at once.
 PIECE = 2_000_000
 #: One training row in so many is kept for calibration.
@@ -336,18 +336,21 @@ def calibrate(model: Model, rows: DataFrame) -> None:
     model.limit = float(max(LIMIT, 2 * far / model.spread))
 
 
-OUT = "lang_pred string, score double, rejected boolean"
+OUT = "__tm_lang string, __tm_score double, __tm_rejected boolean"
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep` of `docs` with lang_pred, score and rejected, from the text alone."""
+    """Columns `keep` of `docs` with __tm_lang, __tm_score and __tm_rejected, from the text alone."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c != "text"] + [c for c in keep if c == "text"]
+    whole = "text" in keep
+    rows = docs.select(*keep) if whole else docs.select(*keep, "text")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         langs = np.array([*model.langs, "und"], object)
-        for batch in T.chunks(batches, "__tm_text", CHUNK_BYTES):
+        for batch in T.chunks(batches, "text", CHUNK_BYTES):
             entropy, n = model.entropies(*T.flatten(batch.column(batch.num_columns - 1)))
             some = (n > 0) & bool(model.langs)
             best = np.where(some, entropy.argmin(1) if model.langs else 0, -1)
@@ -355,20 +358,21 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             low = entropy.min(1) if model.langs else np.zeros(len(n))
             gone = ~some | (model.strangeness(low, n) > model.limit)
             added = [pa.array(langs[best], pa.string()), pa.array(score), pa.array(gone)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+            passed = batch.num_columns if whole else batch.num_columns - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:passed], *added], [*batch.schema.names[:passed], "__tm_lang", "__tm_score", "__tm_rejected"])
 
-    return docs.select(*keep, F.col("text").alias("__tm_text")).mapInArrow(run, f"{names}, {OUT}")
+    return rows.mapInArrow(run, f"{names}, {OUT}")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected: learned from the rows that are not held out."""
     model = train(docs.select("doc_id", "text", "lang").filter(fold(F.col("doc_id")) != 2))
     out = predict(docs, model, ["doc_id"])
-    return out.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), F.col("__tm_lang").alias("lang_pred"), F.col("__tm_score").alias("score"), F.col("__tm_rejected").alias("rejected"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that are rejected: no letter, or unlike every learned language."""
     model = train(docs.select("doc_id", "text", "lang").filter(fold(F.col("doc_id")) != 2))
     out = predict(docs.select(*docs.columns), model, docs.columns)
-    return out.filter(~F.col("rejected")).select(*docs.columns)
+    return out.filter(~F.col("__tm_rejected")).select(*docs.columns)
