@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import components, materialise, release
+from .shared import components, materialise, release, text_batches
 
 SHINGLE = 5
 BAND_RATIO = 3
@@ -329,6 +329,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts of the documents, classes of equal sets with their representative `id`, and links (a, b) between
     representatives; the links connect all that is connected."""
     spark: SparkSession = docs.sparkSession
+    text_batches(spark)
     facts = materialise(describe(docs), "facts")
     rows = facts.filter("slot is null")
     classes = materialise(
@@ -352,8 +353,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         links = links.unionByName(materialise(verify(docs, _probable(more, classes)), "links"))
         asked = asked.unionByName(more)
         release(spark)
-    # the rest: every pair in a block that is not connected yet
-    placed = materialise(_placed(blocks, classes, links), "placed")
+    # the rest: every pair in a large block that is not connected yet; in small ones all pairs have been counted
+    placed = materialise(_placed(large, classes, links), "placed")
     rest = materialise(_open_pairs(placed, classes, components(links)).join(asked, ["a1", "b1"], "left_anti"), "rest")
     more = materialise(verify(docs, rest), "links") if rest.limit(1).count() else links.limit(0)
     return rows, classes, links.unionByName(more)
@@ -366,12 +367,13 @@ def _open_pairs(placed: DataFrame, classes: DataFrame, known: DataFrame) -> Data
     shut = placed.join(main.filter("roots > 1").select("block", F.col("main.root").alias("main"), "main.members"), "block")
     left = materialise(shut.filter("root <> main"), "left")
     # each set that is left, with each main component it meets: the component's size against its members in shared blocks
-    sizes = known.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "main")
-    met = left.groupBy("id", "c1", "n", "main").agg(F.sum("members").alias("near")).join(sizes, "main", "left")
-    met = materialise(met.withColumn("whole", F.coalesce("size", F.lit(1)) <= F.col("near")), "met")
+    everyone = classes.select("id", "c1", "n", "bits").join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = everyone.groupBy(F.col("root").alias("main")).agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    met = left.groupBy("id", "c1", "n", "main").agg(F.sum("members").alias("near")).join(sizes, "main")
+    met = met.filter((F.col("n") * 3 <= F.col("most") * 4) & (F.col("n") * 4 >= F.col("least") * 3))
+    met = materialise(met.withColumn("whole", F.col("size") <= F.col("near")), "met")
     cast = lambda df, p: df.select(*[F.col(c).alias(p + s) for c, s in (("id", ""), ("c1", "1"), ("n", "n"), ("bits", "bits"))], *[c for c in df.columns if c not in ("id", "c1", "n", "bits")])
     bits = classes.select("id", "c1", "bits")
-    everyone = classes.select("id", "c1", "n", "bits").join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     a = cast(met.filter("whole").select("id", "c1", "n", "main").join(bits, ["id", "c1"]), "a")
     b = cast(everyone, "b")
     names = ["a", "a1", "b", "b1"]

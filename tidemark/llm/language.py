@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import materialise, scratch
+from .shared import materialise, scratch, text_batches
 
 ORDER = 4
 BITS = 15
@@ -288,6 +288,7 @@ def gathered(grams: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame) -> Model:
     """A calibrated model from the rows of `docs` (text, lang, doc_id)."""
+    text_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     aside = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(CALIBRATION_PART)) == 0
     table = materialise(count_grams(rows.filter(~aside)), "grams")

@@ -15,7 +15,11 @@ def scratch(spark: SparkSession) -> str:
 
     The session's setting is read; only where it is unset (as in tests) a folder is set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "/tmp/checkpoints"
     return f"{root.rstrip('/')}/tm-{uuid.uuid4().hex}"
 
 
@@ -27,6 +31,14 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow carry at most so many rows at once from here on in this session: rows hold whole texts, and a batch is
+    held several times on both sides of a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer referenced."""
     for _ in range(2):  # the driver's references go first, then what they held in the JVM

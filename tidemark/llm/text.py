@@ -8,6 +8,7 @@ least 0x80 and belongs to the word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ import pyarrow as pa
 #: is handled alone and whole.
 CHUNK_BYTES = 1 << 20
 
+#: The C library's call, where it has one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -71,6 +75,13 @@ def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `limit` bytes of text each; documents are never cut."""
     for batch in batches:
@@ -83,6 +94,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def words(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
