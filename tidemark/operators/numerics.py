@@ -174,8 +174,8 @@ def caviar_path(losses: np.ndarray, p: np.ndarray, start: float, asymmetric: boo
     return out
 
 
-def caviar_fit(losses: np.ndarray, level: float, asymmetric: bool, steps: int = 200, expectile: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters and path that minimise the quantile (or expectile) loss."""
+def caviar_fit(losses: np.ndarray, level: float, asymmetric: bool, steps: int = 200, expectile: float | None = None, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and path that minimise the quantile (or expectile) loss, searched from `first` if given."""
     start = float(np.quantile(losses[: max(50, len(losses) // 10)], level))
 
     def loss(p: np.ndarray) -> float:
@@ -189,7 +189,8 @@ def caviar_fit(losses: np.ndarray, level: float, asymmetric: bool, steps: int =
             return float((np.where(e > 0, expectile, 1 - expectile) * e * e).mean())
         return float((((e > 0) - (1 - level)) * e).mean()) if level > 0.5 else float(((level - (e < 0)) * e).mean())
 
-    first = np.array([0.1 * start, 0.8, 0.2, 0.2] if asymmetric else [0.1 * start, 0.8, 0.2])
+    if first is None:
+        first = np.array([0.1 * start, 0.8, 0.2, 0.2] if asymmetric else [0.1 * start, 0.8, 0.2])
     best, _ = nelder_mead(loss, first, steps)
     return best, caviar_path(losses, best, start, asymmetric)
 
@@ -204,7 +205,9 @@ def expectile(x: np.ndarray, tau: float, steps: int = 80) -> float:
 
 
 def gas_t_path(losses: np.ndarray, p: np.ndarray, nu: float) -> np.ndarray:
-    """Log scales driven by the Student-t score: f' = w + b f + a s."""
+    """Log scales driven by the Student-t score: f' = w + b f + a s.
+
+    The score is that of the unit-variance density used for the fit, hence nu - 2."""
     w, b, a = p
     f = math.log(losses.std())
     out = np.empty(len(losses) + 1)
@@ -262,6 +265,99 @@ def plateau_shape(losses: np.ndarray, sizes: list[int]) -> float:
     return float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
 
 
+def block_grid(n: int) -> np.ndarray:
+    """Block sizes between n**0.2 and the smaller of n**0.55 and n / 15, evenly spaced in logarithms."""
+    low = max(5, math.ceil(n**0.2))
+    high = min(n, max(low + 4, min(int(n**0.55), n // 15)))
+    return np.unique(np.rint(np.geomspace(low, high, min(32, max(10, high - low + 1)))).astype(int))
+
+
+def ols_hc0(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Intercept, slope and the slope's heteroscedasticity-robust (HC0) standard error."""
+    c = x - x.mean()
+    s = (c * c).sum()
+    slope = (c * y).sum() / s
+    e = y - y.mean() - slope * c
+    return float(y.mean() - slope * x.mean()), float(slope), float(math.sqrt((c * c * e * e).sum()) / s)
+
+
+def plateau_window(x: np.ndarray, y: np.ndarray, least: int = 5, trim: float = 0.15, bend: float = 2.0) -> tuple[int, int, float]:
+    """(start, stop, score) of the window of points that lies best on one line: least (mean squared residual
+    + bend * mean change of slope) / sqrt(points), all windows at once from running sums."""
+    n = len(x)
+    cut = min(int(n * trim), max(n - least, 0))
+    low, high = (cut, n - cut) if n - 2 * cut >= least else (0, n)
+    total = lambda v: np.append(0.0, np.cumsum(v))
+    sx, sy, sxx, sxy, syy = (total(v) for v in (x, y, x * x, x * y, y * y))
+    turns = total(np.abs(np.diff(np.diff(y) / np.diff(x))))
+    a, b = np.array([(i, j) for i in range(low, high - least + 1) for j in range(i + least, high + 1)]).T
+    k = b - a
+    of = lambda t: t[b] - t[a]
+    vx, vy, vxy = of(sxx) - of(sx) ** 2 / k, of(syy) - of(sy) ** 2 / k, of(sxy) - of(sx) * of(sy) / k
+    score = (np.maximum(vy - vxy**2 / vx, 0) / k + bend * (turns[b - 2] - turns[a]) / (k - 2)) / np.sqrt(k)
+    best = int(score.argmin())
+    return int(a[best]), int(b[best]), float(score[best])
+
+
+def block_shape(losses: np.ndarray) -> dict[str, float]:
+    """Shape by block maxima: slope of log median sliding maximum on log block size over the plateau window."""
+    points = []
+    for b in block_grid(len(losses)):
+        m = float(np.median(np.lib.stride_tricks.sliding_window_view(losses, b).max(1)))
+        if m > 0:
+            points.append((math.log(b), math.log(m)))
+    x, y = np.array(points).T
+    start, stop, score = plateau_window(x, y)
+    _, slope, se = ols_hc0(x[start:stop], y[start:stop])
+    return {"shape": slope, "standard_error": se, "score": score, "points": float(stop - start), "low_block": float(round(math.exp(x[start]))), "high_block": float(round(math.exp(x[stop - 1])))}
+
+
+def gpd_scale(excess: np.ndarray, xi: float, steps: int = 100) -> tuple[float, bool]:
+    """Scale of greatest likelihood of a generalised Pareto distribution of fixed shape, by golden section on its
+    logarithm, and whether all excesses lie inside the support."""
+
+    def loss(t: float) -> float:
+        scale = math.exp(t)
+        if abs(xi) < 1e-6:
+            return len(excess) * t + excess.sum() / scale
+        z = 1 + xi * excess / scale
+        return len(excess) * t + (1 + 1 / xi) * np.log(z).sum() if (z > 0).all() else math.inf
+
+    low, high = math.log(excess.mean()) - 5, math.log(excess.mean()) + 5
+    if xi < 0:
+        low = max(low, math.log(-xi * excess.max() * (1 + 1e-9)))
+    g = (math.sqrt(5) - 1) / 2
+    for _ in range(steps):
+        a, b = high - g * (high - low), low + g * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    scale = math.exp((low + high) / 2)
+    return scale, xi >= 0 or bool(excess.max() < -scale / xi)
+
+
+def gpd_quantiles(u: float, xi: float, scale: float, share: float, level: float) -> tuple[float, float]:
+    """VaR and ES at the level of a generalised Pareto tail that holds `share` of the losses above u."""
+    ratio = (1 - level) / share
+    var = u + (scale / xi * (ratio**-xi - 1) if abs(xi) > 1e-6 else -scale * math.log(ratio))
+    return var, max(var, (var + scale - xi * u) / (1 - xi)) if xi < 1 else math.nan
+
+
+def gas_pot_tail(losses: np.ndarray, level: float, threshold_q: float = 0.9, nu: float = 6.0, steps: int = 150) -> dict[str, float]:
+    """VaR and ES of the next loss: a score-driven scale, and a generalised Pareto tail on the losses over it."""
+    mu = losses.mean()
+
+    def loss(p: np.ndarray) -> float:
+        if not (0 <= p[1] < 0.999 and 0 <= p[2] < 0.5):
+            return 1e10
+        f = gas_t_path(losses, p, nu)[:-1]
+        return float(-(t_log_density((losses - mu) / np.exp(f), nu) - f).sum())
+
+    p, _ = nelder_mead(loss, np.array([0.05 * math.log(losses.std()), 0.95, 0.05]), steps, 0.05)
+    f = gas_t_path(losses, p, nu)
+    tail = gpd_tail((losses - mu) / np.exp(f[:-1]), threshold_q, level)
+    sd = math.exp(f[-1])
+    return {"var": mu + sd * tail["var"], "es": mu + sd * tail["es"], "xi": tail["xi"], "threshold": tail["threshold"], "scale_next": sd}
+
+
 class QuantileBoost:
     """Histogram gradient boosting with pinball (or squared) loss; leaves hold the residuals' quantile (or mean)."""
 

@@ -131,14 +131,20 @@ def forward_fill_overlay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def averaged_carry(spark: SparkSession, sf: str) -> DataFrame:
-    """Missing values become the mean of the previous filled value and the last known one."""
-    g = V.gaps(spark, sf).withColumn("x", F.when(F.dayofmonth("d") % 3 == 0, S("gap")))
-    w = R.series([], "d").rowsBetween(Window.unboundedPreceding, 0)
-    history = F.collect_list(F.struct("x", F.lit(1).alias("one"))).over(R.latest(R.series([], "d"), 40))
-    start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("a"))
-    step = lambda acc, p: F.struct(F.coalesce(p["x"], (acc["v"] + acc["a"]) / 2).alias("v"), F.coalesce(p["x"], acc["a"]).alias("a"))
-    filled = F.aggregate(history, start, step, lambda acc: acc["v"])
-    return g.select(text("d").alias("d"), r(filled).alias("filled"), r(F.last("x", ignorenulls=True).over(w)).alias("last"))
+    """Missing values become the mean of the previous filled value and a second model's value of the day.
+
+    In a run of missing values after a known one x0, the i-th is (x0 + sum of a_j 2**(j-1), j up to i) / 2**i.
+    """
+    w = R.series([], "d")
+    anchor = F.avg("gap").over(R.prior(w, 20))
+    g = V.gaps(spark, sf).select("d", F.when(F.dayofmonth("d") % 3 == 0, S("gap")).alias("x"), anchor.alias("a"))
+    g = g.withColumn("run", F.count("x").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("run").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    i = F.row_number().over(Window.partitionBy("run").orderBy("d")) - 1
+    g = g.withColumns({"i": i, "x0": F.max("x").over(within)})
+    g = g.withColumn("sums", F.sum(F.when(S("i") > 0, S("a") * F.pow(F.lit(2.0), S("i") - 1)).otherwise(0.0)).over(within))
+    filled = (S("x0") + S("sums")) / F.pow(F.lit(2.0), S("i"))
+    return g.select(text("d").alias("d"), r(filled).alias("filled"), r("x0").alias("last"))
 
 
 def model_comparison_mean_sd(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +186,7 @@ def reason_explode(spark: SparkSession, sf: str) -> DataFrame:
     from .panel import target_missing_reasons
 
     t = target_missing_reasons(spark, sf).filter("missing_reasons <> ''").select("ticker", "d", F.explode(F.split("missing_reasons", ";")).alias("reason"))
-    return t.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("d").alias("days"), F.min("d").alias("first"), F.array_join(F.slice(F.array_sort(F.collect_set("ticker")), 1, 3), ",").alias("tickers"))
+    return t.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("d").alias("days"), F.min("d").alias("first"), F.array_join(F.array_sort(F.collect_set("ticker")), ",").alias("tickers"))
 
 
 def status_histogram_by_group(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,8 +210,8 @@ def es_companions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def caviar_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """The symmetric-absolute-value recursion with fixed parameters, as a fold over each day's last 250 losses."""
-    h = F.collect_list("loss").over(R.prior(R.series(["side"], "d"), 250))
+    """The symmetric-absolute-value recursion with fixed parameters, as a fold over all losses before each day."""
+    h = F.collect_list("loss").over(R.prior(R.series(["side"], "d")))
     path = F.aggregate(h, F.lit(0.5), lambda v, x: 0.05 + 0.8 * v + 0.25 * F.abs(x))
     return V.losses(spark, sf).select(text("d").alias("d"), "side", r(path).alias("var"))
 
@@ -318,14 +324,17 @@ SQL = {
     "severity_vs_anchor": f"WITH {METRICS} SELECT m.side, m.model, round(m.severity, 6) AS severity, round(m.severity - a.severity, 6) AS delta FROM metrics m JOIN metrics a ON a.side = m.side AND a.model = 'historical'",
     "diagonal_union": f"WITH {METRICS} SELECT side, model, CAST(rows AS DOUBLE) AS rows, 'a' AS suite, CAST(NULL AS DOUBLE) AS mean_q FROM metrics UNION ALL SELECT side, model, NULL, 'b', round(mean_q, 6) FROM metrics WHERE model <> 'ewma'",
     "reason_explode": f"""WITH r AS ({_reasons()}), x AS (SELECT ticker, d, unnest(string_split(missing_reasons, ';')) AS reason FROM r WHERE missing_reasons <> '')
-      SELECT reason, count(*) AS n, count(DISTINCT d) AS days, min(d) AS first, array_to_string(list_slice(list(DISTINCT ticker ORDER BY ticker), 1, 3), ',') AS tickers FROM x GROUP BY reason""",
+      SELECT reason, count(*) AS n, count(DISTINCT d) AS days, min(d) AS first, array_to_string(list(DISTINCT ticker ORDER BY ticker), ',') AS tickers FROM x GROUP BY reason""",
     "status_histogram_by_group": f"""WITH {V.SCORED}, s AS (SELECT side, model, CASE WHEN fz_loss IS NULL THEN 'invalid' WHEN hit THEN 'ok_hit' ELSE 'ok' END AS status FROM scored)
       SELECT side, model, status, count(*) AS n, count(*) FILTER (WHERE status LIKE 'ok%') AS n_ok FROM s GROUP BY 1, 2, 3""",
     "rank_export": f"WITH {METRICS} SELECT side, row_number() OVER (PARTITION BY side ORDER BY mean_fz) AS rank, model, round(mean_fz, 5) AS mean_fz, side || '__' || model || '__0.95' AS shard FROM metrics",
     "es_companions": f"""WITH {V.FORECASTS}, h AS (SELECT d, side, var, coalesce(list(loss) OVER w, []) AS hl, coalesce(list(var) OVER w, []) AS hv FROM forecasts WHERE model = 'ewma' WINDOW w AS (PARTITION BY side ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
       z AS (SELECT *, list_filter(list_transform(range(1, len(hl) + 1), lambda i: hl[i] - hv[i]), lambda e: e > 0) AS ex, list_filter(list_transform(range(1, len(hl) + 1), lambda i: CASE WHEN hl[i] > hv[i] THEN hl[i] / hv[i] END), lambda e: e IS NOT NULL) AS ra FROM h)
       SELECT {D}, side, round(CASE WHEN len(ex) = 0 THEN var ELSE var + list_avg(ex) END, 5) AS excess_es, round(CASE WHEN len(ra) >= 10 THEN var * list_avg(ra) END, 5) AS ratio_es FROM z""",
-    "caviar_filter": f"""WITH {V.LOSSES}, h AS (SELECT d, side, coalesce(list(loss) OVER (PARTITION BY side ORDER BY d ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING), []) AS h FROM losses)
+    "averaged_carry": f"""WITH RECURSIVE {V.GAPS}, g AS (SELECT d, CASE WHEN day(d) % 3 = 0 THEN gap END AS x, avg(gap) OVER (ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS a, row_number() OVER (ORDER BY d) AS k FROM gaps),
+      f AS (SELECT d, k, x AS filled, x AS last FROM g WHERE k = 1 UNION ALL SELECT g.d, g.k, coalesce(g.x, (f.filled + g.a) / 2), coalesce(g.x, f.last) FROM f JOIN g ON g.k = f.k + 1)
+      SELECT CAST(d AS VARCHAR) AS d, round(filled, 6) AS filled, round(last, 6) AS last FROM f""",
+    "caviar_filter": f"""WITH {V.LOSSES}, h AS (SELECT d, side, coalesce(list(loss) OVER (PARTITION BY side ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS h FROM losses)
       SELECT {D}, side, round(list_reduce(list_prepend(CAST(0.5 AS DOUBLE), h), lambda v, x: 0.05 + 0.8 * v + 0.25 * abs(x)), 6) AS var FROM h""",
     "oof_folds": f"""WITH {V.LOSSES}, k AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY d) - 1 AS rn FROM losses) SELECT side, CAST(floor((rn - {V.MIN_TRAIN}) / 200) AS BIGINT) AS fold, count(*) AS n, CAST(min(d) AS VARCHAR) AS first, CAST(max(d) AS VARCHAR) AS last, round(avg(loss), 6) AS mean
       FROM k WHERE rn >= {V.MIN_TRAIN} GROUP BY 1, 2""",

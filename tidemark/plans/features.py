@@ -173,7 +173,7 @@ def hill_mean_excess_survival(spark: SparkSession, sf: str) -> DataFrame:
     pos = V.losses(spark, sf).filter("loss > 0")
     down = Window.partitionBy("side").orderBy(F.desc("loss"))
     c = pos.select("side", "loss", F.row_number().over(down).alias("k"), F.avg(F.log("loss")).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("above"), F.avg("loss").over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("mean_above"), (1 - F.cume_dist().over(Window.partitionBy("side").orderBy("loss"))).alias("survival"))
-    return c.filter("k between 9 and 200").select("side", S("k").cast("long").alias("k"), r(S("above") - F.log("loss")).alias("hill"), r(S("mean_above") - S("loss")).alias("mean_excess"), r("survival").alias("survival"))
+    return c.filter("k >= 9").select("side", S("k").cast("long").alias("k"), r(S("above") - F.log("loss")).alias("hill"), r(S("mean_above") - S("loss")).alias("mean_excess"), r("survival").alias("survival"))
 
 
 def target_summary_jb(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,7 +271,7 @@ SQL = {
       c AS (SELECT *, sum(CAST(n AS INTEGER)) OVER (PARTITION BY side ORDER BY d) AS c FROM x) SELECT side, CAST(min(d) AS VARCHAR) AS first, CAST(max(d) AS VARCHAR) AS last, count(*) AS days, round(max(loss), 6) AS worst FROM c GROUP BY side, c""",
     "hill_mean_excess_survival": f"""WITH {V.LOSSES}, c AS (SELECT side, loss, row_number() OVER w AS k, avg(ln(loss)) OVER p AS above, avg(loss) OVER p AS ma, 1 - cume_dist() OVER (PARTITION BY side ORDER BY loss) AS survival FROM losses WHERE loss > 0
         WINDOW w AS (PARTITION BY side ORDER BY loss DESC), p AS (PARTITION BY side ORDER BY loss DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-      SELECT side, k, round(above - ln(loss), 6) AS hill, round(ma - loss, 6) AS mean_excess, round(survival, 6) AS survival FROM c WHERE k BETWEEN 9 AND 200""",
+      SELECT side, k, round(above - ln(loss), 6) AS hill, round(ma - loss, 6) AS mean_excess, round(survival, 6) AS survival FROM c WHERE k >= 9""",
     "target_summary_jb": f"""WITH {V.LOSSES}, m AS (SELECT side, count(*) AS n, avg(loss) AS mean, stddev_samp(loss) AS sd, min(loss) AS lo, max(loss) AS hi, arg_max(CAST(d AS VARCHAR), loss) AS worst_day,
         {', '.join(f"quantile_cont(loss, {p}) AS q{int(100 * p):02d}" for p in (0.01, 0.05, 0.5, 0.95, 0.99))} FROM losses GROUP BY side),
       s AS (SELECT side, avg(pow((loss - mean) / sd, 3)) AS skew, avg(pow((loss - mean) / sd, 4)) - 3 AS kurt FROM losses JOIN m USING (side) GROUP BY side)

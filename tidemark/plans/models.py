@@ -105,6 +105,92 @@ def caviar_fit(spark: SparkSession, sf: str) -> DataFrame:
     return _fit(spark, sf, "side string, model string, persistence double, next_var double, next_es double, breach_rate double", fit)
 
 
+def block_maxima_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """Tail shape by medians of sliding block maxima over the best plateau, with a robust standard error."""
+
+    def fit(side, x, _):
+        from ..operators.numerics import block_shape
+
+        return [{"side": side, **block_shape(x)}]
+
+    return _fit(spark, sf, "side string, shape double, standard_error double, score double, points double, low_block double, high_block double", fit)
+
+
+def evt_shape_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """The tail under the shape of greatest likelihood and under the block-maxima shape, with the scale refitted to it; neither
+    stands in for the other."""
+
+    def fit(side, x, _):
+        from ..operators.numerics import block_shape, gpd_fit, gpd_quantiles, gpd_scale
+
+        u = float(np.quantile(x, 0.9))
+        excess = x[x > u] - u
+        rows = []
+        for variant, xi in (("plain_mle", gpd_fit(excess)[0]), ("unibm", block_shape(x)["shape"])):
+            xi = float(np.clip(xi, -0.5, 0.5))
+            scale, inside = gpd_scale(excess, xi)
+            var, es = gpd_quantiles(u, xi, scale, len(excess) / len(x), 0.99)
+            rows.append({"side": side, "variant": variant, "xi": xi, "scale": scale, "status": "ok" if inside else "support_violation", "var": var, "es": es})
+        return rows
+
+    return _fit(spark, sf, "side string, variant string, xi double, scale double, status string, var double, es double", fit)
+
+
+def gas_pot_tail(spark: SparkSession, sf: str) -> DataFrame:
+    def fit(side, x, _):
+        from ..operators.numerics import gas_pot_tail as solve
+
+        return [{"side": side, **solve(x, V.LEVEL)}]
+
+    return _fit(spark, sf, "side string, var double, es double, xi double, threshold double, scale_next double", fit)
+
+
+def rolling_origin_caviar(spark: SparkSession, sf: str) -> DataFrame:
+    """One forecast a day: refitted at each month's first day from the last parameters, the state updated daily."""
+
+    def fit(side, x, days):
+        from ..operators.numerics import caviar_fit as solve
+        from ..operators.numerics import caviar_path
+
+        rows = []
+        for model, asymmetric in (("caviar_sav", False), ("caviar_as", True)):
+            p = None
+            for at, to in _refits(days):
+                p, path = solve(x[:at], V.LEVEL, asymmetric, 200 if p is None else 25, first=p)
+                hit = (x[:at] > path[:-1]) & (path[:-1] > 0)
+                times = max(1.0, float((x[:at][hit] / path[:-1][hit]).mean())) if hit.sum() >= 10 else 1.0
+                v = caviar_path(x[at:to], p, path[-1], asymmetric)[:-1]
+                ok = np.isfinite(v)
+                rows += [{"d": d, "side": side, "model": model, "loss": a, "var": b, "es": b * times, "status": "ok" if o else "not_finite"} for d, a, b, o in zip(days[at:to], x[at:to], v, ok, strict=True)]
+        return rows
+
+    return _fit(spark, sf, "d string, side string, model string, loss double, var double, es double, status string", fit)
+
+
+def cross_suite_dm(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of models on the days that all of them have: mean difference of losses, block-bootstrap p-values to both
+    sides and joint exceptions."""
+    from .evaluation import scored
+
+    s = scored(spark, sf).select("side", "d", "model", "q_loss", "hit").filter("q_loss is not null")
+    models = s.select("model").distinct().count()
+    common = s.groupBy("side", "d").agg(F.count("*").alias("k")).filter(S("k") == models).select("side", "d")
+    s = s.join(common, ["side", "d"])
+    a, b = (s.select("side", "d", S("model").alias(f"{p}_model"), S("q_loss").alias(f"{p}_loss"), S("hit").alias(f"{p}_hit")) for p in ("a", "b"))
+    pairs = a.join(b, ["side", "d"]).filter("a_model < b_model").withColumn("diff", S("a_loss") - S("b_loss")).withColumn("both", S("a_hit") & S("b_hit"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from ..operators.numerics import block_bootstrap_p
+
+        x = pdf.sort_values("d")["diff"].to_numpy(float)
+        mean, less, block = block_bootstrap_p(x)
+        _, greater, _ = block_bootstrap_p(-x)
+        first = pdf.iloc[0]
+        return pd.DataFrame([{"side": first.side, "a_model": first.a_model, "b_model": first.b_model, "days": len(x), "mean_difference": mean, "p_less": less, "p_greater": greater, "block": block, "joint_exceptions": int(pdf.both.sum())}])
+
+    return pairs.groupBy("side", "a_model", "b_model").applyInPandas(run, "side string, a_model string, b_model string, days long, mean_difference double, p_less double, p_greater double, block long, joint_exceptions long")
+
+
 def gas_t_fit(spark: SparkSession, sf: str) -> DataFrame:
     def fit(side, x, _):
         from ..operators.numerics import gas_t_fit as solve
@@ -186,7 +272,11 @@ def _place(spark: SparkSession, name: str) -> str:
     """A folder below the shared one that the session names."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "/tmp/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -238,7 +328,7 @@ def stateful_filter_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 Q = {f.__name__: f for f in (
-    black_scholes_iv, pot_gpd_tail, gpd_stability, evi_anchor, garch_t_tail, caviar_fit, gas_t_fit, expectile_grid, gbm_quantile_tail, gbm_location_scale,
+    black_scholes_iv, pot_gpd_tail, gpd_stability, evi_anchor, garch_t_tail, caviar_fit, gas_t_fit, gas_pot_tail, block_maxima_shape, evt_shape_variants, rolling_origin_caviar, cross_suite_dm, expectile_grid, gbm_quantile_tail, gbm_location_scale,
     scan_partition_prune, csv_alias_and_null_marker, normalize_bars_rows, stateful_filter_stream,
 )} | {"table_signature": signature}
 

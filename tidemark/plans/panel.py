@@ -137,24 +137,26 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     w = R.series(["ticker"], "d")
     b = V.bars(spark, sf).withColumn("v", X.log_return(R.last_known("close", w), S("close"))).select("d", F.concat(F.lit("bar_"), X.safe_name(S("ticker"))).alias("feature"), S("v").alias("value"), S("d").alias("available"))
     m = asof_join(V.daily(spark, sf).select("d"), V.macro(spark, sf), "d", "week", columns=["level", "available"], available="available", tolerance_days=20, suffix="")
-    s = V.surface(spark, sf).groupBy("d").agg(F.avg("iv").alias("value"))
+    # whole hundredths: their mean does not depend on the order of summation
+    li = V.table(spark, sf, "lineitem").select(V.day("l_shipdate").alias("d"), F.round(S("l_discount") * 100).cast("long").alias("iv"))
+    s = li.groupBy("d").agg((F.sum("iv") / (F.count("iv") * 100)).alias("value"))
     out = b.unionByName(m.select("d", F.lit("macro_level").alias("feature"), S("level").alias("value"), "available"))
     out = out.unionByName(V.daily(spark, sf).select("d").join(s, "d", "left").select("d", F.lit("option_iv").alias("feature"), "value", F.date_add("d", 1).alias("available")))
     return out.withColumn("cutoff", S("d"))
 
 
 def pit_panel_long(spark: SparkSession, sf: str) -> DataFrame:
-    return _features(spark, sf).select(text("d").alias("d"), "feature", r("value").alias("value"), text("available").alias("available"))
+    return _features(spark, sf).select(text("d").alias("d"), "feature", r("value", 10).alias("value"), text("available").alias("available"))
 
 
 def pit_panel_wide(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["macro_level", "option_iv"]
-    # values known after the cutoff never enter
-    usable = _features(spark, sf).filter("available <= cutoff or feature = 'option_iv'").filter(S("feature").isin(names))
-    wide = usable.groupBy("d").pivot("feature", names).agg(F.first("value"))
-    out = V.gaps(spark, sf).join(wide, "d", "left")
+    """The panel by day: values known after the day's cutoff never enter; options of a day are known on the next."""
+    f = _features(spark, sf)
+    macro = f.filter("feature = 'macro_level' and available <= cutoff").select("d", S("value").alias("macro_level"))
+    options = f.filter("feature = 'option_iv' and value is not null").select(S("d").alias("day"), S("value").alias("option_iv"), "available")
+    out = asof_join(V.gaps(spark, sf).join(macro, "d", "left"), options, "d", "day", columns=["option_iv", "available"], available="available")
     clean = S("gap").isNotNull() & (S("d") >= F.lit("1996-01-01").cast("date"))
-    return out.select(text("d").alias("d"), r("gap").alias("gap"), *[r(n, 8).alias(n) for n in names], F.coalesce(clean, F.lit(False)).alias("forecast_sample"))
+    return out.select(text("d").alias("d"), r("gap").alias("gap"), r("macro_level", 8).alias("macro_level"), r("option_iv", 10).alias("option_iv"), text("available").alias("option_available"), F.coalesce(clean, F.lit(False)).alias("forecast_sample"))
 
 
 def feature_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,7 +232,7 @@ mac AS (SELECT d, CASE WHEN date_diff('day', week, d) <= 20 THEN level END AS va
 features AS (
   SELECT d, 'bar_' || trim(regexp_replace(lower(ticker), '[^a-z0-9]', '_', 'g'), '_') AS feature, ln(close) - ln(prev) AS value, d AS available FROM rets
   UNION ALL SELECT d, 'macro_level', value, available FROM mac
-  UNION ALL SELECT daily.d, 'option_iv', o.value, daily.d + 1 FROM daily LEFT JOIN (SELECT d, avg(iv) AS value FROM surface GROUP BY d) o ON o.d = daily.d)"""
+  UNION ALL SELECT daily.d, 'option_iv', o.value, daily.d + 1 FROM daily LEFT JOIN (SELECT d, sum(CAST(round(iv * 100) AS BIGINT)) / (count(iv) * 100) AS value FROM surface GROUP BY d) o ON o.d = daily.d)"""
 COVER = f"""{FEATURES}, cover AS (SELECT feature, CASE WHEN feature LIKE 'bar\\_%' ESCAPE '\\' THEN 'bars' WHEN feature LIKE 'macro\\_%' ESCAPE '\\' THEN 'macro' ELSE 'options' END AS source,
   count(value) AS non_missing, round(1 - count(value) / (SELECT count(*) FROM daily), 6) AS missing_rate,
   CAST(min(d) FILTER (WHERE value IS NOT NULL) AS VARCHAR) AS first_valid, CAST(max(d) FILTER (WHERE value IS NOT NULL) AS VARCHAR) AS last_valid FROM features GROUP BY feature)"""
@@ -289,10 +291,10 @@ SQL = {
       x AS (SELECT p_partkey, ticker, regexp_extract(ticker, '^O:(SPY|EWJ|SP)([0-9]{6})([CP])([0-9]{8})$', 1) AS u, regexp_extract(ticker, '^O:(SPY|EWJ|SP)([0-9]{6})([CP])([0-9]{8})$', 2) AS e FROM t)
       SELECT p_partkey, ticker, u AS underlying, CAST(strptime('20' || e, '%Y%m%d')::DATE AS VARCHAR) AS expiry, CASE WHEN ticker[length(ticker) - 8] = 'C' THEN 'call' ELSE 'put' END AS kind,
         CAST(right(ticker, 8) AS DOUBLE) / 1000 AS strike, date_diff('day', DATE '2020-01-01', strptime('20' || e, '%Y%m%d')::DATE) AS dte FROM x""",
-    "pit_panel_long": f"WITH {FEATURES} SELECT CAST(d AS VARCHAR) AS d, feature, round(value, 6) AS value, CAST(available AS VARCHAR) AS available FROM features",
+    "pit_panel_long": f"WITH {FEATURES} SELECT CAST(d AS VARCHAR) AS d, feature, round(value, 10) AS value, CAST(available AS VARCHAR) AS available FROM features",
     "pit_panel_wide": f"""WITH {FEATURES}, g AS (SELECT *, ln(lv) - ln(lag(lv) OVER (ORDER BY d)) AS gap FROM daily)
-      SELECT CAST(g.d AS VARCHAR) AS d, round(gap, 6) AS gap, round(a.value, 8) AS macro_level, round(b.value, 8) AS option_iv, coalesce(gap IS NOT NULL AND g.d >= DATE '1996-01-01', FALSE) AS forecast_sample
-      FROM g LEFT JOIN features a ON a.d = g.d AND a.feature = 'macro_level' LEFT JOIN features b ON b.d = g.d AND b.feature = 'option_iv'""",
+      SELECT CAST(g.d AS VARCHAR) AS d, round(gap, 6) AS gap, round(a.value, 8) AS macro_level, round(b.value, 10) AS option_iv, CAST(b.available AS VARCHAR) AS option_available, coalesce(gap IS NOT NULL AND g.d >= DATE '1996-01-01', FALSE) AS forecast_sample
+      FROM g ASOF LEFT JOIN (SELECT value, available FROM features WHERE feature = 'option_iv' AND value IS NOT NULL) b ON g.d >= b.available LEFT JOIN features a ON a.d = g.d AND a.feature = 'macro_level'""",
     "feature_coverage": f"WITH {COVER} SELECT * FROM cover",
     "effective_start": f"WITH {COVER} SELECT source, max(first_valid) AS start, count(*) AS features FROM cover GROUP BY source",
     "field_coverage_policy": f"""WITH {V.BARS}, l AS (SELECT CASE WHEN d < DATE '1998-01-01' THEN 'before' ELSE 'after' END AS sample, unnest(['open', 'high', 'close']) AS feature, unnest([open, CASE WHEN volume > 1 THEN high END, close]) AS value FROM bars)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, extras, features, models, panel
+from . import audit, evaluation, extras, features, models, panel
 
-GROUPS = [panel, features, evaluation, models, extras]
+GROUPS = [panel, features, evaluation, models, extras, audit]
 
 
 def entry(spark: SparkSession) -> DataFrame:
