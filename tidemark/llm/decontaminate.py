@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE = 16
 #: Benchmark text in one broadcast; larger benchmarks become several, used one after the other.
 BLOCK_BYTES = 8 << 20
@@ -316,39 +316,52 @@ def excise(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = [lambda b=b: b.value for b in blocks]
 
-        def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(parts).combine_chunks()
-            texts = table.column(at).to_pylist()
-            gone = np.zeros(len(texts), bool)
-            todo = np.arange(len(texts))
-            while len(todo):
-                shard = Shard()
-                for batch in T.chunks([pa.RecordBatch.from_arrays([pa.array(todo, pa.int64()), pa.array([texts[i] for i in todo], pa.string())], ["doc_id", "text"])]):
-                    shard.add(batch)
-                found = shard.result(get)
-                again = []
-                for i, n, h, spans in zip(todo.tolist(), found.column(1).to_pylist(), found.column(2).to_pylist(), found.column(4).to_pylist(), strict=True):
+        def settle(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = np.cumsum([0, *(p.num_rows for p in parts)])
+            gone, texts = np.zeros(first[-1], bool), {}
+
+            def text(i: int) -> str:
+                k = int(np.searchsorted(first, i, "right")) - 1
+                return texts[i] if i in texts else parts[k].column(at)[i - int(first[k])].as_py()
+
+            shard = Shard()
+            for k, p in enumerate(parts):
+                shard.add(pa.RecordBatch.from_arrays([pa.array(np.arange(first[k], first[k + 1])), p.column(at)], ["doc_id", "text"]))
+            while shard.docs:
+                found, again = shard.result(get), []
+                for i, n, h, spans in zip(*(found.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True):
                     if h:
                         gone[i] |= h == n
-                        raw, pieces, last = texts[i].encode(), [], 0
+                        raw, pieces, last = text(i).encode(), [], 0
                         for span in spans:
                             pieces.append(raw[last : span["start"]])
                             last = span["stop"]
                         texts[i] = b"".join([*pieces, raw[last:]]).decode()
                         again.append(i)
-                todo = np.array(again, np.int64)
-            table = table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type))
-            return table.filter(pa.array(~gone)).combine_chunks()
+                # removal may have brought further windows together
+                shard = Shard()
+                if again:
+                    for batch in T.chunks([pa.RecordBatch.from_arrays([pa.array(again, pa.int64()), pa.array([texts[i] for i in again], pa.string())], ["doc_id", "text"])]):
+                        shard.add(batch)
+            for k, p in enumerate(parts):
+                mine = [i for i in texts if first[k] <= i < first[k + 1]]
+                if mine:
+                    body = p.column(at).to_pylist()
+                    for i in mine:
+                        body[i - int(first[k])] = texts[i]
+                    columns = [pa.array(body, c.type) if j == at else c for j, c in enumerate(p.columns)]
+                    p = pa.RecordBatch.from_arrays(columns, schema=p.schema)
+                yield p.filter(pa.array(~gone[first[k] : first[k + 1]]))
 
         held, size = [], 0
         for batch in T.chunks(batches, names[at]):
             held.append(batch)
             size += batch.nbytes
             if size >= SHARD_BYTES:
-                yield from settle(held).to_batches()
+                yield from settle(held)
                 held, size = [], 0
         if held:
-            yield from settle(held).to_batches()
+            yield from settle(held)
 
     out = docs.mapInArrow(clean, docs.schema)
     if "n_chars" in names:
