@@ -8,7 +8,7 @@ the calibrated threshold selects the redactions.  The trees are compiled to SQL
 expressions, so that scoring stays inside Spark.
 
 Cases: null text is empty; a text without matches has no spans; repeated rows are
-searched each; very long texts are searched whole.  Patterns over digits or addresses are
+searched each; very long texts, and texts with very many matches, are searched whole.  Patterns over digits or addresses are
 written so that the engine's stack and time stay bounded on long runs.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -34,13 +35,14 @@ CARD = r"[0-9][\x20\-0-9]+"
 LOOSE_SEPARATOR = r"(?<![0-9])[\x20-](?=[0-9])|[\x20-](?![0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-# Wider candidates: kind and pattern.
+# Wider candidates: kind and pattern.  Runs have no upper length, so that no tail of one stays behind.
 WIDER = [
-    ("email", r"\b[A-Za-z][A-Za-z0-9._-]{1,40} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,40} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}\b"),
+    ("email", r"(?<![A-Za-z0-9._-])[A-Za-z][A-Za-z0-9._-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}\b"),
     ("phone", r"(?<![\w+.-])\(?0?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w.-])"),
     ("ssn", r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("secret", r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\b ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,80}"),
+    ("secret", r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\b ?[=:] ?[\"']?[A-Za-z0-9+/_=-]{8,}+"),
+    ("secret", r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)[A-Za-z0-9_-]{12,}+"),
 ]
 ALL_KINDS = [*KINDS, "iban", "secret", "ssn"]
 
@@ -64,22 +66,26 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), add) % 10 == 0
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running values of an array under an associative `combine`, in log2(size) passes over it."""
+    passes = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    step = lambda acc, k: F.transform(acc, lambda x, i: F.coalesce(combine(x, F.get(acc, i - F.pow(F.lit(2), k).cast("int"))), x))
+    return F.aggregate(passes, values, step)
+
+
 def located(text: Column, pattern: str) -> Column:
     """The matches of a pattern in order, as structs (start, body): starts add up the lengths of
-    the pieces between matches and of the matches before."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,body:string>>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(pieces, i))
-        body = F.get(found, i)
-        row = F.struct(start.alias("start"), body.alias("body"))
-        return F.struct((start + F.length(body)).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+    the pieces between matches and of the matches before.
 
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,body:string>>")).otherwise(
-        F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step, lambda acc: acc["out"])
-    )
+    The arrays are arguments of functions and not named inside lambdas, which would work them out
+    again for each element."""
+    pieces = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, body: F.struct((F.length(gap) + F.coalesce(F.length(body), F.lit(0))).alias("size"), body.alias("body")),
+    )
+    ends = running(F.transform(pieces, lambda p: p["size"]), lambda x, y: x + y)
+    rows = F.zip_with(pieces, ends, lambda p, e: F.struct((e - F.length(p["body"])).alias("start"), p["body"].alias("body")))
+    return F.filter(rows, lambda x: x["body"].isNotNull())
 
 
 def _as_spans(kind: str, rows: Column) -> Column:
@@ -150,6 +156,8 @@ def training_rows(n: int = 4000, seed: int = 7) -> list[tuple[list[float], int]]
             body = f"{rng.choice(['DE', 'FR', 'ES', 'GB'])}{digits(2)} " + " ".join(digits(4) for _ in range(4)) if good else f"AB{digits(2)} " + " ".join(word(4).upper() for _ in range(3))
         else:
             body = f"{rng.choice(['password', 'token', 'secret'])}={''.join(rng.choice('0123456789abcdef') for _ in range(18))}" if good else f"token: {word(9)}"
+            if good and rng.random() < 0.4:
+                body = rng.choice(["AKIA", "ghp_", "sk-"]) + "".join(rng.choice("0123456789ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(rng.choice([16, 24])))
         frame = rng.choice(cues if good and rng.random() < 0.9 else others)
         rows.append((python_features(kind, body, frame), int(good)))
     return rows
@@ -234,12 +242,17 @@ def wider_spans(text: Column, rate: float = 0.3) -> Column:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Per document: the base spans of each kind and all spans, as arrays of (start, rank, stop, body)
-    sorted by start, then kind; a wider span that overlaps a base one gives way to it."""
+    sorted by start, then kind; a wider span that lies inside a base one gives way to it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", text.alias("text"), *[c.alias(k) for k, c in base_spans(text).items()], wider_spans(text).alias("wider"))
     found = found.withColumn("base", F.array_sort(F.concat(*KINDS)))
-    clear = F.filter("wider", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    return found.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", clear))))
+    marked = lambda spans, own: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), F.lit(own).alias("wider"), x.alias("span")))
+    both = F.array_sort(F.array_distinct(F.concat(marked(F.col("base"), 0), marked(F.col("wider"), 1))))
+    found = found.withColumn("both", F.when(F.size("wider") > 0, both))
+    # the furthest end of the base spans that start no later
+    reach = running(F.transform("both", lambda x: F.when(x["wider"] == 0, x["span"]["stop"]).otherwise(0)), F.greatest)
+    kept = F.filter(F.zip_with("both", reach, lambda x, e: F.when((x["wider"] == 0) | (e < x["span"]["stop"]), x["span"])), lambda x: x.isNotNull())
+    return found.withColumn("spans", F.when(F.size("wider") > 0, F.array_sort(F.array_distinct(kept))).otherwise(F.array_distinct("base"))).drop("both")
 
 
 def listed(spans: Column) -> Column:
