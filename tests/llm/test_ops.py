@@ -6,6 +6,8 @@ import random
 import re
 import zlib
 from fractions import Fraction
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -298,6 +300,18 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: 10 for k in range(10, 41)} | {k: 100 for k in range(100, 130)} | {2: 2, 3: 2}
 
 
+def test_discard_deletes_scratch_folders_only(spark, tmp_path):
+    kept = str(tmp_path / "table")
+    spark.range(3).write.parquet(kept)
+    shared.discard(spark.read.parquet(kept))
+    assert spark.read.parquet(kept).count() == 3
+    scratch = shared.materialise(spark.range(3))
+    folder = Path(urlparse(scratch.inputFiles()[0]).path).parent.parent
+    assert folder.name.startswith("tm-") and folder.exists()
+    shared.discard(scratch)
+    assert not folder.exists()
+
+
 # sharding and mixing
 
 

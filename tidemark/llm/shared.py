@@ -31,6 +31,16 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the scratch folder of a materialised frame that nothing reads any more; other folders stay."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+        if not folder.rsplit("/", 1)[-1].startswith("tm-"):
+            continue
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow carry at most so many rows at once from here on in this session: rows hold whole texts, and a batch is
     held several times on both sides of a worker."""
@@ -79,10 +89,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star contractions until no edge changes; each
     round is two shuffles of at most as many edges as before, and each round's edges go to
-    the shared folder.  A hub's smallest neighbour is found with a map-side min(); its edges
-    meet it in a join that Spark may split.
+    the shared folder, where they take the place of the round before.  A hub's smallest neighbour
+    is found with a map-side min(); its edges meet it in a join that Spark may split.
     """
+    marks = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = now.agg(*marks).first()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -90,8 +102,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("a").agg(F.min("b").alias("m")).join(large, "a")
         after = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         after = materialise(after, "edges")
-        mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-        if now.agg(*mark).first() == after.agg(*mark).first():
+        before, mark = mark, after.agg(*marks).first()
+        discard(now)
+        if mark == before:
             break
         now = after
     return after.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
