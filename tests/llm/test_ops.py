@@ -300,6 +300,17 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: 10 for k in range(10, 41)} | {k: 100 for k in range(100, 130)} | {2: 2, 3: 2}
 
 
+def test_components_take_in_later_edges(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(240)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = shared.components(table(edges[:120]))
+    rooted = lambda df: {r.v: r.root for r in df.collect()}
+    want = rooted(shared.components(table(edges)))
+    assert rooted(shared.components(table(edges[120:]), first)) == want
+    assert rooted(shared.components(table([]), first)) == rooted(first) != want
+
+
 def test_discard_deletes_scratch_folders_only(spark, tmp_path):
     kept = str(tmp_path / "table")
     spark.range(3).write.parquet(kept)

@@ -326,8 +326,8 @@ def frequent_slots(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Facts of the documents, classes of equal sets with their representative `id`, and links (a, b) between
-    representatives; the links connect all that is connected."""
+    """Facts of the documents, classes of equal sets with their representative `id`, and (v, root) of the
+    representatives that are linked."""
     spark: SparkSession = docs.sparkSession
     text_batches(spark)
     facts = materialise(describe(docs), "facts")
@@ -348,16 +348,18 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links = materialise(verify(docs, _probable(asked, classes)), "links")
     release(spark)
     # most of a large group is connected by holding neighbours in a random order against each other
+    known = components(links)
     for turn in range(CHAINS):
-        more = materialise(_neighbours(_placed(large, classes, links), turn).join(asked, ["a1", "b1"], "left_anti"), "asked")
-        links = links.unionByName(materialise(verify(docs, _probable(more, classes)), "links"))
+        more = materialise(_neighbours(_placed(large, classes, known), turn).join(asked, ["a1", "b1"], "left_anti"), "asked")
+        known = components(materialise(verify(docs, _probable(more, classes)), "links"), known)
         asked = asked.unionByName(more)
         release(spark)
     # the rest: every pair in a large block that is not connected yet; in small ones all pairs have been counted
-    placed = materialise(_placed(large, classes, links), "placed")
-    rest = materialise(_open_pairs(placed, classes, components(links)).join(asked, ["a1", "b1"], "left_anti"), "rest")
-    more = materialise(verify(docs, rest), "links") if rest.limit(1).count() else links.limit(0)
-    return rows, classes, links.unionByName(more)
+    placed = materialise(_placed(large, classes, known), "placed")
+    rest = materialise(_open_pairs(placed, classes, known).join(asked, ["a1", "b1"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        known = components(materialise(verify(docs, rest), "links"), known)
+    return rows, classes, known
 
 
 def _open_pairs(placed: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
@@ -433,11 +435,10 @@ def _probable(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return materialise(met.filter(_may_link("a", "b")).select("a", "a1", "b", "b1"), "pairs")
 
 
-def _placed(blocks: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(block, c1, id, n, root): the members of blocks with their class and the root that `links` give it."""
-    known = components(links).withColumnRenamed("v", "id")
+def _placed(blocks: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    """(block, c1, id, n, root): the members of blocks with their class and its root in `known` (v, root)."""
     members = blocks.select("block", "key").join(classes.select("key", "c1", "id", "n"), "key").drop("key")
-    return members.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return members.join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
@@ -449,8 +450,7 @@ def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
 
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document: the smallest doc_id that links reach."""
-    rows, classes, links = link(docs)
-    roots = components(links)
+    rows, classes, roots = link(docs)
     ids = classes.join(roots.withColumnRenamed("v", "id"), "id", "left").select("c1", "c2", "n", F.coalesce("root", "id").alias("root"))
     out = rows.join(ids, ["c1", "c2", "n"], "left")
     # rows with equal doc_id are one document

@@ -84,14 +84,17 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str, per_task: i
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the smallest vertex reachable from each vertex of edges (a, b).
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(v, root): the smallest vertex reachable from each vertex of edges (a, b); with `known`, an earlier
+    result of this function, by those edges and by the ones that it came from.
 
     Alternates the large-star and small-star contractions until no edge changes; each
     round is two shuffles of at most as many edges as before, and each round's edges go to
     the shared folder, where they take the place of the round before.  A hub's smallest neighbour
     is found with a map-side min(); its edges meet it in a join that Spark may split.
     """
+    if known is not None:
+        edges = edges.select("a", "b").unionByName(known.select(F.col("v").alias("a"), F.col("root").alias("b")))
     marks = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = now.agg(*marks).first()
