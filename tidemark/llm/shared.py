@@ -88,26 +88,28 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(v, root): the smallest vertex reachable from each vertex of edges (a, b); with `known`, an earlier
     result of this function, by those edges and by the ones that it came from.
 
-    Alternates the large-star and small-star contractions until no edge changes; each
-    round is two shuffles of at most as many edges as before, and each round's edges go to
+    Alternates the large-star and small-star contractions until only stars are left; each
+    round is a few shuffles of at most as many edges as before, and each round's edges go to
     the shared folder, where they take the place of the round before.  A hub's smallest neighbour
     is found with a map-side min(); its edges meet it in a join that Spark may split.
     """
     if known is not None:
         edges = edges.select("a", "b").unionByName(known.select(F.col("v").alias("a"), F.col("root").alias("b")))
-    marks = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = now.agg(*marks).first()
-    while True:
+    while not _only_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m")).join(large, "a")
         after = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         after = materialise(after, "edges")
-        before, mark = mark, after.agg(*marks).first()
         discard(now)
-        if mark == before:
-            break
         now = after
-    return after.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+    return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether distinct edges (a, b) with a > b are stars: each vertex has one smaller neighbour, or only larger ones."""
+    end = lambda v, up: edges.select(F.col(v).alias("v"), F.lit(up).alias("up"))
+    ends = end("a", 1).unionByName(end("b", 0)).groupBy("v").agg(F.sum("up").alias("smaller"), F.min("up").alias("least"))
+    return ends.filter("smaller > 1 or (smaller = 1 and least = 0)").agg(F.count("*")).first()[0] == 0
