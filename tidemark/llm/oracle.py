@@ -63,5 +63,20 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN root ON root.v = d.doc_id
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, k, array_to_string(list_slice(w, k, k + 34), ' ') AS body FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)),
+again AS (SELECT body FROM windows GROUP BY body HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS p FROM windows JOIN again USING (body)),
+places AS (SELECT r, w[p] AS word, p FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM places ANTI JOIN gone USING (r, p) GROUP BY r),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_jaccard_join": OP3, "op4_sharding": OP4}
+    return {"op1_decontaminate": OP1, "op3_jaccard_join": OP3, "op4_sharding": OP4, "op11_windows": OP11}
