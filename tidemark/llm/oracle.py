@@ -78,5 +78,29 @@ FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)
 """
 
 
+def _op12(rounds: int = 6) -> str:
+    """Parts as rows (vec_id, p, x): rounds of exhaustive assignment and floored means, written out one after the other."""
+    steps = [r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (SELECT r, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS x FROM v, (SELECT unnest(range(8)) AS p)),
+places AS (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS k),
+book0 AS (SELECT p, e, x AS c FROM parts JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v QUALIFY e < 16) USING (r))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS (
+  SELECT r, p, arg_min(struct_pack(e := e, d := d), struct_pack(d := d, e := e)) AS best
+  FROM (SELECT r, p, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM parts JOIN book{k} USING (p)) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS c
+  FROM (SELECT p, best.e AS e, k, CAST(sum(x[k]) AS BIGINT) AS s, count(*) AS n FROM near{k} JOIN parts USING (r, p), places GROUP BY ALL) GROUP BY p, e),
+book{k + 1} AS (SELECT p, e, coalesce(mean{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN mean{k} USING (p, e))""")
+    return ",\n".join(steps) + f""",
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN coded USING (r), digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_jaccard_join": OP3, "op4_sharding": OP4, "op11_windows": OP11}
+    return {"op1_decontaminate": OP1, "op3_jaccard_join": OP3, "op4_sharding": OP4, "op11_windows": OP11, "op12_codes": _op12()}

@@ -101,6 +101,13 @@ def op11_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress, digest
+
+    out, books = compress(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -114,4 +121,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_substrings": op10_substrings,
         "op11_windows": op11_windows,
+        "op12_codes": op12_codes,
     }
