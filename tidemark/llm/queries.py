@@ -108,6 +108,12 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"))[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -122,4 +128,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substrings": op10_substrings,
         "op11_windows": op11_windows,
         "op12_codes": op12_codes,
+        "op13_alignment": op13_alignment,
     }
