@@ -15,7 +15,7 @@ Words recur, so a text is encoded in pieces: it is cut before a space that follo
 white space nor a character that may be one.  Neither tokenizer has a token over such a cut: the
 byte-level one never has a space after other characters in one of its words, and the
 other's vocabulary is searched for one (where there is one, texts are encoded whole).
-Each piece is encoded once for each task that remembers it.
+Each piece is encoded once for each task that remembers it, new ones many at a time.
 
 Cases: null and empty texts, and texts whose tokens do not give back the same bytes, have no
 tokens: counts of 0 and an empty digest; strings of special tokens are plain text; repeated
@@ -91,18 +91,18 @@ class Pair:
             _models[folder, a, b] = Pair(first, second, a_bytes, b_bytes, cut)
         return _models[folder, a, b]
 
-    def encode(self, pieces: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids by both tokenizers of pieces that begin with a space; the second one adds that space itself."""
-        first = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        rest = [p[1:] for p in pieces]
-        second = self.b.encode(rest, num_threads=1)
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_b(self, texts: list[str]) -> list[list[int]]:
+        """Of texts that begin with a space, which this tokenizer adds itself."""
         alone = [self.b.piece_to_id(WORD_START)]
-        return [(x, y if r else alone) for x, y, r in zip(first, second, rest, strict=True)]
+        return [ids if len(t) > 1 else alone for t, ids in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1), strict=True)]
 
 
 def cuts(raw: np.ndarray) -> np.ndarray:
     """Places of spaces that follow a character which is not white space for either tokenizer."""
-    before, second, third = (np.append(np.zeros(k, np.uint8), raw[:-k]) for k in (1, 2, 3))
+    before, second, third = (np.append(np.zeros(k, np.uint8), raw)[: len(raw)] for k in (1, 2, 3))
     plain = (before > 32) & (before < 127)
     wide = (before >= 128) & (second != 0xC2) & ~(((third >= 0xE1) & (third <= 0xE3)) & ((second == 0x9A) | (second == 0x80) | (second == 0x81) | (second == 0x96)))
     return np.flatnonzero((raw == 32) & (plain | wide))
@@ -113,6 +113,7 @@ class Remembered:
 
     def __init__(self, pair: Pair):
         self.pair = pair
+        self.sizes = [np.array([len(x) for x in table], np.int64) for table in (pair.a_bytes, pair.b_bytes)]
         self.clear()
 
     def clear(self) -> None:
@@ -122,19 +123,42 @@ class Remembered:
         self.good = array("b")
 
     def learn(self, pieces: list[bytes]) -> None:
-        held, size = [], 0
-        for k, p in enumerate(pieces):
-            held.append(p)
-            size += len(p)
-            if size >= CALL_BYTES or k + 1 == len(pieces):
-                for piece, ids in zip(held, self.pair.encode([h.decode() for h in held]), strict=True):
-                    self.at[piece] = len(self.good)
-                    same = all(b"".join(map(table.__getitem__, x)) == piece for table, x in zip((self.pair.a_bytes, self.pair.b_bytes), ids, strict=True))
-                    self.good.append(same)
-                    for which in (0, 1):
-                        self.ids[which].extend(ids[which])
-                        self.offs[which].append(len(self.ids[which]))
-                held, size = [], 0
+        """New pieces; those that the first tokenizer would cut between anyhow go to it as one text."""
+        last = [p.decode()[-1:].isspace() for p in pieces]
+        for together in (True, False):
+            held, size = [], 0
+            for p in (p for p, alone in zip(pieces, last, strict=True) if (self.pair.cut and not alone) == together):
+                held.append(p)
+                size += len(p)
+                if size >= CALL_BYTES:
+                    self._learn(held, together)
+                    held, size = [], 0
+            if held:
+                self._learn(held, together)
+
+    def _learn(self, pieces: list[bytes], together: bool) -> None:
+        texts, body = [p.decode() for p in pieces], b"".join(pieces)
+        sizes = np.array([len(p) for p in pieces])
+        found = [None, self.pair.encode_b(texts)]
+        if together:
+            (ids,) = self.pair.encode_a(["".join(texts)])
+            upto = np.append(0, np.cumsum(self.sizes[0][ids]))
+            at = np.searchsorted(upto, np.append(0, np.cumsum(sizes)))
+            if b"".join(map(self.pair.a_bytes.__getitem__, ids)) == body and (upto[at[1:]] == np.cumsum(sizes)).all():
+                found[0] = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        found[0] = found[0] or self.pair.encode_a(texts)
+        good = np.ones(len(pieces), bool)
+        for which, table in enumerate((self.pair.a_bytes, self.pair.b_bytes)):
+            counts = np.array([len(x) for x in found[which]])
+            flat = [k for x in found[which] for k in x]
+            owner = np.repeat(np.arange(len(pieces)), counts)
+            if (np.bincount(owner, self.sizes[which][flat], len(pieces)) != sizes).any() or b"".join(map(table.__getitem__, flat)) != body:
+                good &= [b"".join(map(table.__getitem__, x)) == p for x, p in zip(found[which], pieces, strict=True)]
+            ends = len(self.ids[which]) + np.cumsum(counts)
+            self.ids[which].extend(flat)
+            self.offs[which].extend(ends.tolist())
+        self.at.update(zip(pieces, range(len(self.good), len(self.good) + len(pieces)), strict=True))
+        self.good.extend(good.astype(int).tolist())
 
     def encode(self, pieces: list[bytes], owner: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For both tokenizers the ids of n texts end to end, and how many each has; `owner` has the text of each piece."""
@@ -156,7 +180,7 @@ class Remembered:
 
 
 def encoded(docs: DataFrame, folder: str, a: str, b: str) -> DataFrame:
-    """(part, ids, n_a, n_b, a, b): batches of documents with the token ids of both tokenizers, two or four bytes each."""
+    """(part, ids, n_a, n_b, a, b): batches of documents with the token ids of both tokenizers, two or four bytes each, compressed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +201,7 @@ def encoded(docs: DataFrame, folder: str, a: str, b: str) -> DataFrame:
             (ids_a, n_a), (ids_b, n_b) = known.encode(pieces, owner, n)
             column = lambda x: pa.array([x], pa.list_(pa.int64()))
             ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(0))
-            blob = [pa.array([x.astype(w).tobytes()], pa.binary()) for x, w in zip((ids_a, ids_b), widths, strict=True)]
+            blob = [pa.array([pa.compress(x.astype(w).tobytes(), codec="zstd", asbytes=True)], pa.binary()) for x, w in zip((ids_a, ids_b), widths, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([part + k // SET], pa.int64()), ids, column(n_a), column(n_b), *blob], ["part", "ids", "n_a", "n_b", "a", "b"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"part long, ids array<{kind}>, n_a array<long>, n_b array<long>, a binary, b binary")
@@ -233,8 +257,12 @@ def _separated(n: int) -> np.ndarray:
 def _batches(table: pa.Table | pa.RecordBatch, pair: Pair) -> Iterator[tuple[pa.Array, Aligned]]:
     for row in range(table.num_rows):
         n_a, n_b, a, b = (table.column(k)[row] for k in ("n_a", "n_b", "a", "b"))
-        ids = [np.frombuffer(x.as_buffer(), np.uint16 if len(t) <= 1 << 16 else np.uint32) for x, t in ((a, pair.a_bytes), (b, pair.b_bytes))]
-        yield table.column("ids")[row].values, Aligned(pair, *ids, n_a.values.to_numpy(), n_b.values.to_numpy())
+        n_a, n_b = (n.values.to_numpy() for n in (n_a, n_b))
+        ids = []
+        for packed, n, names in ((a, n_a, pair.a_bytes), (b, n_b, pair.b_bytes)):
+            kind = np.dtype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
+            ids.append(np.frombuffer(pa.decompress(packed.as_buffer(), int(n.sum()) * kind.itemsize, codec="zstd"), kind))
+        yield table.column("ids")[row].values, Aligned(pair, *ids, n_a, n_b)
 
 
 def pair_counts(batches: DataFrame, folder: str, a: str, b: str) -> DataFrame:
