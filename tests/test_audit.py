@@ -87,14 +87,5 @@ def test_model_sequences(spark):
     shapes = q["evt_shape_variants"](spark, str(SF)).collect()
     assert {r.variant for r in shapes} == {"plain_mle", "unibm"} and all(r.es >= r.var for r in shapes)
     assert all(r.es >= r.var for r in q["gas_pot_tail"](spark, str(SF)).collect())
-    pairs = q["cross_suite_dm"](spark, str(SF)).collect()
+    pairs = q["pairwise_dm"](spark, str(SF)).collect()
     assert len(pairs) == 6 and all(0 < r.p_less <= 1 and r.p_less + r.p_greater > 0.9 for r in pairs)
-
-
-def test_daily_state_needs_no_later_losses():
-    rng = np.random.default_rng(5)
-    x = rng.normal(0, 1, 300)
-    p, path = N.caviar_fit(x[:250], 0.95, False, 20)
-    whole = N.caviar_path(x, p, path[0], False)
-    split = N.caviar_path(x[250:], p, path[-1], False)
-    assert np.allclose(whole[250:], split)

@@ -59,21 +59,6 @@ def test_asof_long_picks_each_feature_alone(spark):
     assert got == {"a": 1.0, "b": 5.0}
 
 
-def test_ewma_closed_form(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=300)
-    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "t int, x double")
-    mean, var = R.ewma_variance("x", R.series([], "t"), 0.94)
-    got = {r.t: (r.m, r.v) for r in df.select("t", mean.alias("m"), var.alias("v")).collect()}
-    for t in (50, 120, 299):
-        train = x[:t]
-        v = train.var(ddof=1)
-        for e in train:
-            v = 0.94 * v + 0.06 * (e - train.mean()) ** 2
-        assert got[t][0] == pytest.approx(train.mean())
-        assert got[t][1] == pytest.approx(v, rel=1e-9)
-
-
 def test_spaced_top_is_greedy(spark):
     rng = random.Random(5)
     rows = [("a", day(k), rng.random()) for k in range(100)]
@@ -187,20 +172,18 @@ def test_tail_numerics():
     t = numerics.gpd_tail(x, 0.9, 0.99)
     assert t["es"] >= t["var"] and abs((x > t["var"]).mean() - 0.01) < 0.004
     assert numerics.expectile(x, 0.5) == pytest.approx(x.mean(), abs=1e-6)
-    assert numerics.t_quantile(0.95, 200.0) == pytest.approx(1.645, abs=0.02)
-    mean, p, block = numerics.block_bootstrap_p(rng.normal(-1, 1, 200))
-    assert p == pytest.approx(0.001) and block == 6 and mean < 0
-    assert numerics.chi2_1_sf(3.841459) == pytest.approx(0.05, abs=1e-6)
+    z = np.linspace(-9, 9, 2001)
+    assert numerics.normal_cdf(z) == pytest.approx(np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z]), rel=1e-12)
+
+
+def test_chi_square_tail(spark):
+    x = [0.0, 1e-6, 0.5, 3.841459, 20.0, 70.0, None]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double").coalesce(1).orderBy("k").select(X.chi2_1_sf(F.col("x"))).collect()]
+    assert got[:-1] == pytest.approx([math.erfc(math.sqrt(v / 2)) for v in x[:-1]], abs=1e-12) and got[-1] is None
 
 
-def test_garch_and_boosting():
+def test_boosting():
     rng = np.random.default_rng(2)
-    h, x = 1.0, []
-    for _ in range(500):
-        x.append(math.sqrt(h) * rng.normal())
-        h = 0.05 + 0.1 * x[-1] ** 2 + 0.85 * h
-    fit = numerics.garch_t(np.array(x) / 100, 0.95, False, 80)
-    assert 0 < fit["var"] < fit["es"] and 0 < fit["persistence"] < 1
     f = rng.normal(size=(2000, 3))
     y = f[:, 0] * 2 + rng.normal(size=2000)
     q = numerics.QuantileBoost(0.9, 80).fit(f[:1500], y[:1500]).predict(f[1500:])
@@ -214,7 +197,7 @@ def test_nelder_mead():
 
 
 def test_tail_fits_use_the_whole_series(spark):
-    from tidemark.operators import numerics
+    from tidemark.operators import tails
     from tidemark.plans import models, views
 
     sf = "/root/testdata/sf0.001"
@@ -222,9 +205,9 @@ def test_tail_fits_use_the_whole_series(spark):
     series = {side: g.loss.to_numpy(float) for side, g in days.groupby("side")}
     assert all(len(x) > 600 for x in series.values())
     for r in models.gas_t_fit(spark, sf).collect():
-        assert r["loss"] == pytest.approx(numerics.gas_t_fit(series[r.side], views.LEVEL)["loss"])
+        assert r["loss"] == pytest.approx(tails.MODELS["score"].fit(series[r.side], views.LEVEL, None, {}).value)
     for r in models.garch_t_tail(spark, sf).collect():
-        assert r["loss"] == pytest.approx(numerics.garch_t(series[r.side], views.LEVEL, r.model == "gjr_garch_t")["loss"])
+        assert r["loss"] == pytest.approx(tails.MODELS["gjr_garch" if r.model == "gjr_garch_t" else "garch"].fit(series[r.side], views.LEVEL, None, {}).value)
 
 
 def test_boosted_tails_are_refitted_each_month(spark):

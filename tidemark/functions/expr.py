@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,11 +115,15 @@ def empirical_es(losses: Column, var: Column) -> Column:
     return F.when(F.size(above) == 0, var).otherwise(F.greatest(var, mean))
 
 
-def empirical_excess_es(losses: Column, vars_: Column, var: Column) -> Column:
-    """var plus the mean excess of past losses over their own forecasts; var when there is none."""
-    excess = F.filter(F.zip_with(losses, vars_, lambda x, v: x - v), lambda e: e > 0)
-    mean = F.aggregate(excess, F.lit(0.0), lambda a, x: a + x) / F.size(excess)
-    return F.when(F.size(excess) == 0, var).otherwise(var + mean)
+#: ln Gamma(n + 3/2) for the terms of erf.
+ERF_TERMS = tuple(math.lgamma(n + 1.5) for n in range(120))
+
+
+def chi2_1_sf(x: Column) -> Column:
+    """Upper tail of chi-square with one degree of freedom, for x up to 70: 1 - erf(z), erf(z) = exp(-z^2) sum of z^(2n+1) / Gamma(n + 3/2)."""
+    z2 = x / 2
+    terms = F.transform(F.array(*[F.lit(v) for v in ERF_TERMS]), lambda g, n: F.exp((n + 0.5) * F.log(z2) - z2 - g))
+    return F.when(x > 0, F.greatest(1 - F.aggregate(terms, F.lit(0.0), lambda a, t: a + t), F.lit(0.0))).when(x.isNotNull(), 1.0)
 
 
 def trimmed_mean(values: Column, share: float = 0.2) -> Column:

@@ -1,4 +1,4 @@
-"""Numerical routines for grouped Arrow functions: distributions, bootstrap, tail fits, filters, boosting.
+"""Numerical routines for grouped Arrow functions: distributions, tail fits, boosting.
 
 Each takes the arrays of one series or pair, which are bounded by the number of days.
 """
@@ -12,12 +12,20 @@ import numpy as np
 
 
 def normal_cdf(x: np.ndarray | float) -> np.ndarray:
-    return 0.5 * (1 + np.vectorize(math.erf)(np.asarray(x, float) / math.sqrt(2)))
-
-
-def chi2_1_sf(x: float) -> float:
-    """Upper tail of chi-square with one degree of freedom."""
-    return math.erfc(math.sqrt(max(x, 0.0) / 2))
+    """By the series of positive terms for small |x| and a continued fraction beyond, on whole arrays; exact to some 1e-15."""
+    x = np.asarray(x, float)
+    z = np.minimum(np.abs(x), 40.0)
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    small = np.minimum(z, 3.5)
+    term, total = small.copy(), small.copy()
+    for k in range(1, 80):
+        term = term * small * small / (2 * k + 1)
+        total += term
+    large, tail = np.maximum(z, 3.5), np.maximum(z, 3.5)
+    for k in range(80, 0, -1):
+        tail = large + k / tail
+    upper = np.where(z <= 3.5, 0.5 - density * total, density / tail)
+    return np.where(x > 0, 1 - upper, upper)
 
 
 def black_scholes(kind: np.ndarray, spot: np.ndarray, strike: np.ndarray, years: np.ndarray, rate: float, sigma: np.ndarray) -> np.ndarray:
@@ -74,21 +82,6 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, steps: int
     return simplex[k], values[k]
 
 
-def block_bootstrap_p(diff: np.ndarray, draws: int = 999, seed: int = 225) -> tuple[float, float, int]:
-    """Mean, one-sided p-value of a negative mean and block length, by a circular moving-block bootstrap
-    of the centred differences."""
-    n = len(diff)
-    if not n:
-        return float("nan"), float("nan"), 0
-    block = min(n, max(5, round(n ** (1 / 3))))
-    rng = np.random.default_rng(seed)
-    centred = diff - diff.mean()
-    starts = rng.integers(0, n, size=(draws, -(-n // block)))
-    at = (starts[:, :, None] + np.arange(block)) % n
-    means = centred[at.reshape(draws, -1)[:, :n]].mean(1)
-    return float(diff.mean()), float(((means <= diff.mean()).sum() + 1) / (draws + 1)), block
-
-
 def gpd_fit(excess: np.ndarray) -> tuple[float, float]:
     """Shape and scale of a generalised Pareto distribution by maximum likelihood."""
     mean = excess.mean()
@@ -116,85 +109,6 @@ def gpd_tail(losses: np.ndarray, threshold_q: float, level: float) -> dict[str,
     return {"threshold": u, "exceedances": float(len(excess)), "xi": xi, "scale": scale, "var": var, "es": max(es, var) if es == es else es}
 
 
-def t_log_density(z: np.ndarray, nu: float) -> np.ndarray:
-    """Of a Student-t scaled to unit variance."""
-    c = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
-    return c - (nu + 1) / 2 * np.log1p(z * z / (nu - 2))
-
-
-def t_quantile(p: float, nu: float) -> float:
-    """Of the unit-variance Student-t, by the integral of its density."""
-    grid = np.linspace(-60, 60, 240_001)
-    cdf = np.cumsum(np.exp(t_log_density(grid, nu))) * (grid[1] - grid[0])
-    return float(np.interp(p, cdf, grid))
-
-
-def garch_filter(x: np.ndarray, omega: float, alpha: float, gamma: float, beta: float) -> np.ndarray:
-    """Conditional variances, one more than observations; gamma weighs negative shocks."""
-    out = np.empty(len(x) + 1)
-    out[0] = x.var()
-    for k, e in enumerate(x):
-        out[k + 1] = omega + (alpha + gamma * (e < 0)) * e * e + beta * out[k]
-    return out
-
-
-def garch_t(losses: np.ndarray, level: float, leverage: bool, steps: int = 250) -> dict[str, float]:
-    """VaR and ES of the next loss from a (GJR-)GARCH(1,1) with Student-t errors, fitted to -100 x loss."""
-    x = -100 * losses
-    mu, v = x.mean(), x.var()
-
-    def unpack(p: np.ndarray) -> tuple[float, float, float, float, float]:
-        a, g, b = 1 / (1 + np.exp(-p[1])) * 0.3, (1 / (1 + np.exp(-p[2])) * 0.3 if leverage else 0.0), 1 / (1 + np.exp(-p[3]))
-        return math.exp(min(p[0], 20.0)), a, g, b, 2.1 + math.exp(min(p[4], 4.0))
-
-    def loss(p: np.ndarray) -> float:
-        omega, a, g, b, nu = unpack(p)
-        if a + g / 2 + b >= 0.9999:
-            return 1e10
-        h = garch_filter(x - mu, omega, a, g, b)[:-1]
-        return float(-(t_log_density((x - mu) / np.sqrt(h), nu) - 0.5 * np.log(h)).sum())
-
-    best, value = nelder_mead(loss, np.array([math.log(0.05 * v), -1.0, -1.0, 1.7, 1.5]), steps)
-    omega, a, g, b, nu = unpack(best)
-    sd = math.sqrt(garch_filter(x - mu, omega, a, g, b)[-1])
-    q = t_quantile(1 - level, nu)
-    grid = np.linspace(-60, q, 60_001)
-    tail = np.exp(t_log_density(grid, nu))
-    es = float((grid * tail).sum() / tail.sum())
-    return {"var": -(mu + sd * q) / 100, "es": -(mu + sd * es) / 100, "nu": nu, "persistence": a + g / 2 + b, "loss": value}
-
-
-def caviar_path(losses: np.ndarray, p: np.ndarray, start: float, asymmetric: bool) -> np.ndarray:
-    """VaR before each loss and one more after the last: v' = p0 + p1 v + p2 |x| (or p2 x+ + p3 x-)."""
-    out = np.empty(len(losses) + 1)
-    out[0] = start
-    for k, x in enumerate(losses):
-        push = p[2] * max(x, 0.0) + p[3] * max(-x, 0.0) if asymmetric else p[2] * abs(x)
-        out[k + 1] = p[0] + p[1] * out[k] + push
-    return out
-
-
-def caviar_fit(losses: np.ndarray, level: float, asymmetric: bool, steps: int = 200, expectile: float | None = None, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters and path that minimise the quantile (or expectile) loss, searched from `first` if given."""
-    start = float(np.quantile(losses[: max(50, len(losses) // 10)], level))
-
-    def loss(p: np.ndarray) -> float:
-        if not -0.99 < p[1] < 0.999:
-            return 1e10
-        v = caviar_path(losses, p, start, asymmetric)[:-1]
-        e = losses - v
-        if not np.isfinite(v).all():
-            return 1e10
-        if expectile is not None:
-            return float((np.where(e > 0, expectile, 1 - expectile) * e * e).mean())
-        return float((((e > 0) - (1 - level)) * e).mean()) if level > 0.5 else float(((level - (e < 0)) * e).mean())
-
-    if first is None:
-        first = np.array([0.1 * start, 0.8, 0.2, 0.2] if asymmetric else [0.1 * start, 0.8, 0.2])
-    best, _ = nelder_mead(loss, first, steps)
-    return best, caviar_path(losses, best, start, asymmetric)
-
-
 def expectile(x: np.ndarray, tau: float, steps: int = 80) -> float:
     lo, hi = float(x.min()), float(x.max())
     for _ in range(steps):
@@ -204,42 +118,6 @@ def expectile(x: np.ndarray, tau: float, steps: int = 80) -> float:
     return (lo + hi) / 2
 
 
-def gas_t_path(losses: np.ndarray, p: np.ndarray, nu: float) -> np.ndarray:
-    """Log scales driven by the Student-t score: f' = w + b f + a s.
-
-    The score is that of the unit-variance density used for the fit, hence nu - 2."""
-    w, b, a = p
-    f = math.log(losses.std())
-    out = np.empty(len(losses) + 1)
-    out[0] = f
-    mu = losses.mean()
-    for k, x in enumerate(losses):
-        z2 = (x - mu) ** 2 / math.exp(2 * f)
-        f = w + b * f + a * ((nu + 1) * z2 / (nu - 2 + z2) - 1)
-        out[k + 1] = f
-    return out
-
-
-def gas_t_fit(losses: np.ndarray, level: float, grid: tuple[float, ...] = (4.0, 6.0, 10.0), steps: int = 150) -> dict[str, float]:
-    """VaR and ES of the next loss; the degrees of freedom come from a profile over a grid."""
-    mu, best = losses.mean(), (1e18, grid[0], np.zeros(3))
-    for nu in grid:
-        def loss(p: np.ndarray, nu: float = nu) -> float:
-            if not (0 <= p[1] < 0.999 and 0 <= p[2] < 0.5):
-                return 1e10
-            f = gas_t_path(losses, p, nu)[:-1]
-            return float(-(t_log_density((losses - mu) / np.exp(f), nu) - f).sum())
-
-        p, value = nelder_mead(loss, np.array([0.05 * math.log(losses.std()), 0.95, 0.05]), steps, 0.05)
-        best = min(best, (value, nu, p), key=lambda b: b[0])
-    value, nu, p = best
-    sd = math.exp(gas_t_path(losses, p, nu)[-1])
-    q = t_quantile(level, nu)
-    grid_x = np.linspace(q, 60, 60_001)
-    tail = np.exp(t_log_density(grid_x, nu))
-    return {"var": mu + sd * q, "es": mu + sd * float((grid_x * tail).sum() / tail.sum()), "nu": nu, "loss": value}
-
-
 def hill(losses: np.ndarray, k: int) -> float:
     top = np.sort(losses[losses > 0])[::-1][: k + 1]
     return float(np.log(top[:k]).mean() - math.log(top[k]))
@@ -341,23 +219,6 @@ def gpd_quantiles(u: float, xi: float, scale: float, share: float, level: float)
     return var, max(var, (var + scale - xi * u) / (1 - xi)) if xi < 1 else math.nan
 
 
-def gas_pot_tail(losses: np.ndarray, level: float, threshold_q: float = 0.9, nu: float = 6.0, steps: int = 150) -> dict[str, float]:
-    """VaR and ES of the next loss: a score-driven scale, and a generalised Pareto tail on the losses over it."""
-    mu = losses.mean()
-
-    def loss(p: np.ndarray) -> float:
-        if not (0 <= p[1] < 0.999 and 0 <= p[2] < 0.5):
-            return 1e10
-        f = gas_t_path(losses, p, nu)[:-1]
-        return float(-(t_log_density((losses - mu) / np.exp(f), nu) - f).sum())
-
-    p, _ = nelder_mead(loss, np.array([0.05 * math.log(losses.std()), 0.95, 0.05]), steps, 0.05)
-    f = gas_t_path(losses, p, nu)
-    tail = gpd_tail((losses - mu) / np.exp(f[:-1]), threshold_q, level)
-    sd = math.exp(f[-1])
-    return {"var": mu + sd * tail["var"], "es": mu + sd * tail["es"], "xi": tail["xi"], "threshold": tail["threshold"], "scale_next": sd}
-
-
 class QuantileBoost:
     """Histogram gradient boosting with pinball (or squared) loss; leaves hold the residuals' quantile (or mean)."""
 

@@ -70,18 +70,3 @@ def spaced_top(df: DataFrame, keys: Sequence[str], time: str, value: str, k: int
     ).otherwise(acc)
     chosen = df.groupBy(*keys).agg(F.aggregate(pairs, empty, take).alias("picks"))
     return chosen.select(*keys, F.posexplode("picks").alias("rank", "p")).select(*keys, (F.col("rank") + 1).alias("rank"), F.col("p.t").alias(time), (-F.col("p.v")).alias(value))
-
-
-def ewma_variance(x: str, w: WindowSpec, decay: float) -> tuple[Column, Column]:
-    """Mean and EWMA variance of the rows before each one, each time centred on that history's mean and
-    started from its sample variance; in closed form from running sums, so linear in the series' length.
-
-    The weights decay**-i stay in range for series of up to about 10,000 rows.
-    """
-    i = F.row_number().over(w) - 1
-    p = prior(w)
-    n, mean = F.count(x).over(p), F.avg(x).over(p)
-    weight = F.pow(F.lit(decay), -i.cast("double"))
-    s0, s1, s2 = (F.sum(weight * F.pow(F.col(x), F.lit(float(k)))).over(p) for k in range(3))
-    recent = (1 - decay) * F.pow(F.lit(decay), (n - 1).cast("double")) * (s2 - 2 * mean * s1 + mean * mean * s0)
-    return mean, F.pow(F.lit(decay), n.cast("double")) * F.var_samp(x).over(p) + recent

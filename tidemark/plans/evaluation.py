@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..operators import blocks as B
 from ..operators import evaluate as E
 from ..operators import rolling as R
 from . import views as V
 from .panel import S, r, text
 
 KEY = ["side", "model"]
+TESTS = ("kupiec", "christoffersen")
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,13 +43,8 @@ def forecast_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forecast_pvalues(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.numerics import chi2_1_sf
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(kupiec_p=pdf.kupiec_lr.map(chi2_1_sf), christoffersen_p=pdf.christoffersen_lr.map(chi2_1_sf))
-
-    return _metrics(spark, sf).select(*KEY, "rows", "kupiec_lr", "christoffersen_lr").mapInPandas(run, "side string, model string, rows long, kupiec_lr double, christoffersen_lr double, kupiec_p double, christoffersen_p double")
+    m = _metrics(spark, sf)
+    return m.select(*KEY, "rows", *[r(f"{t}_lr", 5).alias(f"{t}_lr") for t in TESTS], *[r(X.chi2_1_sf(S(f"{t}_lr")), 5).alias(f"{t}_p") for t in TESTS])
 
 
 def common_sample_eviction(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,18 +73,25 @@ def incremental_information(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dm_block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """One group for each pair; its rows are the days both models have."""
-    p = E.paired(scored(spark, sf), ["side"], "model", "d", "historical", "fz_loss").select("side", "model", "d", "diff")
+    """Each model against the historical quantile: mean difference of FZ losses and its one-sided p-value by a block bootstrap."""
+    p = E.paired(scored(spark, sf), ["side"], "model", "d", "historical", "fz_loss")
+    out = E.one_sided(E.bootstrap_sums(p, KEY, "d", "diff"), KEY)
+    return out.select(*KEY, "pairs", r("mean", 5).alias("mean_diff"), r("p_less", 4).alias("p_value"), "block")
 
-    def run(pdf):
-        import pandas as pd
 
-        from ..operators.numerics import block_bootstrap_p
+def pairwise_dm(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of models on the days that all of them have: mean difference of losses, p-values to both sides, joint exceptions."""
+    s = E.on_common_days(scored(spark, sf), ["side"], "model", "d", "q_loss")
+    return _pairs(s, "q_loss")
 
-        mean, p_value, block = block_bootstrap_p(pdf.sort_values("d")["diff"].to_numpy())
-        return pd.DataFrame({"side": [pdf.side.iloc[0]], "model": [pdf.model.iloc[0]], "pairs": [len(pdf)], "mean_diff": [mean], "p_value": [p_value], "block": [block]})
 
-    return p.groupBy("side", "model").applyInPandas(run, "side string, model string, pairs long, mean_diff double, p_value double, block long")
+def _pairs(s: DataFrame, loss: str) -> DataFrame:
+    tested = E.one_sided(E.all_pairs(E.bootstrap_sums(s, KEY, "d", loss), ["side"], "model"), ["side", "a_model", "b_model"])
+    hits = s.filter("hit").select("side", "model", "d")
+    both = hits.withColumnRenamed("model", "a_model").join(hits.withColumnRenamed("model", "b_model"), ["side", "d"]).filter("a_model < b_model")
+    both = both.groupBy("side", "a_model", "b_model").agg(F.count("*").alias("joint"))
+    out = tested.join(both, ["side", "a_model", "b_model"], "left")
+    return out.select("side", "a_model", "b_model", S("pairs").alias("days"), r("mean").alias("mean_difference"), r("p_less", 4).alias("p_less"), r("p_greater", 4).alias("p_greater"), "block", F.coalesce("joint", F.lit(0)).alias("joint_exceptions"))
 
 
 def murphy_curves(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,18 +206,21 @@ def rank_export(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def es_companions(spark: SparkSession, sf: str) -> DataFrame:
-    w = R.prior(R.series(["side"], "d"))
-    f = V.forecasts(spark, sf).filter("model = 'ewma'").withColumns({"hl": F.collect_list("loss").over(w), "hv": F.collect_list("var").over(w)})
-    ratios = F.filter(F.zip_with("hl", "hv", lambda x, v: F.when(x > v, x / v)), lambda x: x.isNotNull())
-    mult = F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x) / F.size(ratios)
-    return f.select(text("d").alias("d"), "side", r(X.empirical_excess_es(S("hl"), S("hv"), S("var")), 5).alias("excess_es"), r(F.when(F.size(ratios) >= 10, S("var") * mult), 5).alias("ratio_es"))
+    """ES beside a given VaR from the exceedances before each day: by their mean excess, and by their mean ratio where there are ten."""
+    f = B.positions(V.forecasts(spark, sf).filter("model = 'ewma'"), ["side"], "d")
+    hit = S("loss") > S("var")
+    past = {"hits": hit.cast("double"), "excess": F.when(hit, S("loss") - S("var")).otherwise(0.0), "ratio": F.when(hit, S("loss") / S("var")).otherwise(0.0)}
+    f = B.running_sums(f, ["side"], past)
+    excess = S("var") + F.when(S("hits") > 0, S("excess") / S("hits")).otherwise(0.0)
+    ratio = F.when(S("hits") >= 10, S("var") * S("ratio") / S("hits"))
+    return f.select(text("d").alias("d"), "side", r(excess, 5).alias("excess_es"), r(ratio, 5).alias("ratio_es"))
 
 
 def caviar_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """The symmetric-absolute-value recursion with fixed parameters, as a fold over all losses before each day."""
-    h = F.collect_list("loss").over(R.prior(R.series(["side"], "d")))
-    path = F.aggregate(h, F.lit(0.5), lambda v, x: 0.05 + 0.8 * v + 0.25 * F.abs(x))
-    return V.losses(spark, sf).select(text("d").alias("d"), "side", r(path).alias("var"))
+    """The symmetric-absolute-value recursion with fixed parameters: each day's VaR, known before the day's loss."""
+    p = B.positions(V.losses(spark, sf), ["side"], "d")
+    f = B.linear_filter(p, ["side"], {"var": 0.05 + 0.25 * F.abs("loss")}, 0.8, 0.5)
+    return f.select(text("d").alias("d"), "side", r("var").alias("var"))
 
 
 def oof_folds(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,7 +258,7 @@ def exclusion_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 Q = {f.__name__: f for f in (
     forecast_loss_matrix, forecast_metrics, forecast_pvalues, common_sample_eviction, result_matrix_metrics, joint_exceptions, incremental_information,
-    dm_block_bootstrap, murphy_curves, stress_windows, admissibility_screen, sensitivity_compare, cumulative_gain, forward_fill_overlay, averaged_carry,
+    dm_block_bootstrap, pairwise_dm, murphy_curves, stress_windows, admissibility_screen, sensitivity_compare, cumulative_gain, forward_fill_overlay, averaged_carry,
     model_comparison_mean_sd, block_summaries, saturation_ladder, severity_vs_anchor, diagonal_union, reason_explode, status_histogram_by_group,
     rank_export, es_companions, caviar_filter, oof_folds, bins_and_labels, status_classifier, sessionize_events, exclusion_flow,
 )} | {f"var_es_{m}": _one(m) for m in ("historical", "rolling", "ewma")}
@@ -277,6 +284,20 @@ HALVES = f"{V.SCORED}, halves AS (SELECT *, CASE WHEN d < DATE '1998-06-01' THEN
 PAIRS = "pairs AS (SELECT b.side, b.model, b.d, b.q_loss - a.q_loss AS diff FROM scored b JOIN scored a ON a.side = b.side AND a.d = b.d AND a.model = 'historical' WHERE b.model <> 'historical')"
 
 
+def _bootstrap_sql(source: str, keys: str, value: str, draws: int = 999, seed: int = 225) -> str:
+    """z: keys, n, total, block, draw, drawn, by running sums."""
+    return f"""z_p AS (SELECT {keys}, row_number() OVER w - 1 AS pos, coalesce(sum({value}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, {value} AS v FROM {source} WHERE {value} IS NOT NULL WINDOW w AS (PARTITION BY {keys} ORDER BY d)),
+      z_n AS (SELECT {keys}, count(*) AS n, arg_max(before + v, pos) AS total, least(count(*), greatest(5, CAST(round(pow(count(*), 1 / 3)) AS BIGINT))) AS block FROM z_p GROUP BY {keys}),
+      z_b AS (SELECT *, unnest(range(CAST(ceil(n / block) AS BIGINT))) AS k FROM (SELECT *, unnest(range(1, {draws + 1})) AS draw FROM z_n)),
+      z_s AS (SELECT *, CAST('0x' || substr(md5('{seed}:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS start, least(block, n - k * block) AS size FROM z_b),
+      z AS (SELECT {keys}, z_s.n, total, block, draw, sum(b.before - a.before + CASE WHEN start + size >= z_s.n THEN total ELSE 0 END) AS drawn
+        FROM z_s JOIN z_p a USING ({keys}) JOIN z_p b USING ({keys}) WHERE a.pos = start AND b.pos = (start + size) % z_s.n GROUP BY ALL)"""
+
+
+def _p(side: str) -> str:
+    return f"round((count(*) FILTER (WHERE drawn / n - total / n {side} total / n) + 1) / (count(*) + 1), 4)"
+
+
 def _reasons() -> str:
     from .panel import SQL as P
 
@@ -293,6 +314,9 @@ SQL = {
     **{f"var_es_{m}": f"WITH {V.FORECASTS} SELECT {D}, side, round(var, 6) AS var, round(es, 6) AS es FROM forecasts WHERE model = '{m}'" for m in ("historical", "rolling", "ewma")},
     "forecast_loss_matrix": f"WITH {V.SCORED} SELECT {D}, side, model, round(q_loss, 6) AS q_loss, round(fz_loss, 5) AS fz_loss, hit, CASE WHEN es <= 0 THEN 'invalid_nonpositive_es' WHEN es < var THEN 'invalid_es_below_var' ELSE 'ok' END AS reason FROM scored",
     "forecast_metrics": f"WITH {METRICS} SELECT side, model, rows, hits, n00, n01, n10, n11, {', '.join(f'round({c}, 5) AS {c}' for c in ('breach_rate', 'mean_q', 'mean_fz', 'severity', 'kupiec_lr', 'christoffersen_lr'))} FROM metrics",
+    "forecast_pvalues": f"WITH {METRICS}, g AS (SELECT list(lgamma(n + 1.5) ORDER BY n) AS g FROM (SELECT unnest(range(120)) AS n)) SELECT side, model, rows, "
+    + ", ".join(f"round({t}_lr, 5) AS {t}_lr, round(CASE WHEN {t}_lr > 0 THEN greatest(0, 1 - list_sum(list_transform(g, lambda v, n: exp((n - 0.5) * ln({t}_lr / 2) - {t}_lr / 2 - v)))) ELSE 1 END, 5) AS {t}_p" for t in TESTS)
+    + " FROM metrics, g",
     "common_sample_eviction": f"""WITH {V.SCORED}, v AS (SELECT DISTINCT side, model, d FROM scored WHERE fz_loss IS NOT NULL AND (model <> 'rolling' OR dayofyear(d) % 10 <> 0)),
       a AS (SELECT side, d FROM v WHERE model = 'historical'), n AS (SELECT side, count(*) AS anchor_days FROM a GROUP BY 1), o AS (SELECT side, model, count(*) AS overlap FROM v JOIN a USING (side, d) GROUP BY 1, 2),
       s AS (SELECT *, overlap >= 0.95 * anchor_days AS kept FROM o JOIN n USING (side)), k AS (SELECT side, count(*) AS k FROM s WHERE kept GROUP BY 1),
@@ -302,6 +326,13 @@ SQL = {
       CASE WHEN count(*) < 120 THEN 'short_sample' WHEN count(*) FILTER (WHERE hit) < 10 THEN 'few_tail_events' ELSE 'ok' END AS gate, CASE WHEN count(*) FILTER (WHERE hit) >= 30 THEN 'adequate' ELSE 'low' END AS power FROM halves GROUP BY 1, 2, 3""",
     "joint_exceptions": f"WITH {V.SCORED} SELECT {D}, count(*) FILTER (WHERE hit) AS hits FROM scored GROUP BY scored.d HAVING bool_or(hit)",
     "incremental_information": f"WITH {V.SCORED}, {PAIRS} SELECT side, model, count(*) AS pairs, round(avg(-diff), 6) AS gain, count(*) FILTER (WHERE diff < -1e-9) AS wins FROM pairs GROUP BY 1, 2",
+    "dm_block_bootstrap": f"""WITH {V.SCORED}, diffs AS (SELECT b.side, b.model, b.d, b.fz_loss - a.fz_loss AS diff FROM scored b JOIN scored a ON a.side = b.side AND a.d = b.d AND a.model = 'historical' WHERE b.model <> 'historical'),
+      {_bootstrap_sql("diffs", "side, model", "diff")} SELECT side, model, n AS pairs, round(total / n, 5) AS mean_diff, {_p("<=")} AS p_value, block FROM z GROUP BY side, model, n, total, block""",
+    "pairwise_dm": f"""WITH {V.SCORED}, c AS (SELECT side, d FROM scored WHERE q_loss IS NOT NULL GROUP BY 1, 2 HAVING count(*) = (SELECT count(DISTINCT model) FROM scored)), s AS (SELECT scored.* FROM scored JOIN c USING (side, d)),
+      {_bootstrap_sql("s", "side, model", "q_loss")}, h AS (SELECT a.side, a.model AS a_model, b.model AS b_model, count(*) AS joint FROM s a JOIN s b ON a.side = b.side AND a.d = b.d AND a.model < b.model AND a.hit AND b.hit GROUP BY ALL),
+      y AS (SELECT a.side, a.model AS a_model, b.model AS b_model, a.n, a.block, a.total - b.total AS total, a.drawn - b.drawn AS drawn FROM z a JOIN z b ON a.side = b.side AND a.draw = b.draw AND a.model < b.model)
+      SELECT side, a_model, b_model, n AS days, round(total / n, 6) AS mean_difference, {_p("<=")} AS p_less, {_p(">=")} AS p_greater, block, coalesce(any_value(joint), 0) AS joint_exceptions
+      FROM y LEFT JOIN h USING (side, a_model, b_model) GROUP BY side, a_model, b_model, n, total, block""",
     "murphy_curves": f"""WITH {V.FORECASTS}, e AS (SELECT quantile_cont(loss, 0.01) AS lo, quantile_cont(loss, 0.99) AS hi FROM forecasts), g AS (SELECT k AS point, lo + (hi - lo) * k / 49 AS theta FROM e, (SELECT unnest(range(50)) AS k))
       SELECT side, model, point, round(theta, 6) AS theta, round(avg(CASE WHEN var > theta THEN (CASE WHEN loss > theta THEN 1.0 ELSE 0.0 END - 0.05) * (var - theta) ELSE 0 END), 6) + 0 AS score FROM forecasts, g GROUP BY side, model, point, theta""",
     "stress_windows": f"""WITH {V.SCORED}, c AS (SELECT side, quantile_cont(loss, 0.9) AS cut FROM scored WHERE model = 'historical' GROUP BY 1)

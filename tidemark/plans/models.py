@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import options
 from ..operators import rolling as R
 from ..operators.quality import table_signature
+from ..operators.store import materialise
 from . import views as V
 from .panel import S, r, text
 
@@ -79,30 +80,36 @@ def evi_anchor(spark: SparkSession, sf: str) -> DataFrame:
     return _fit(spark, sf, "side string, k long, hill double, dedh double, plateau double", fit)
 
 
-def garch_t_tail(spark: SparkSession, sf: str) -> DataFrame:
-    def fit(side, x, _):
-        from ..operators.numerics import garch_t
+def _fits(spark: SparkSession, sf: str, models: list[str], schema: str, rows) -> DataFrame:
+    """One group for each side and model, fitted to the whole series: `rows(side, fit, next)` gives rows of the schema, with the names'
+    forecasts (var, es) for the day after the last."""
+    from ..operators import tails
 
-        return [{"side": side, "model": m, **garch_t(x, V.LEVEL, m == "gjr_garch_t")} for m in ("garch_t", "gjr_garch_t")]
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("d").loss.to_numpy(float)
+        fit = tails.MODELS[key[1]].fit(x, V.LEVEL, None, {})
+        ahead = tails.MODELS[key[1]].forecast(x, np.zeros(1), V.LEVEL, fit)
+        return pd.DataFrame(rows(key[0], fit, {name: (float(var[0]), float(es[0])) for name, (var, es) in ahead.items()}))
 
-    return _fit(spark, sf, "side string, model string, var double, es double, nu double, persistence double, loss double", fit)
+    dealt = V.losses(spark, sf).withColumn("job", F.explode(F.array(*[F.lit(m) for m in models])))
+    return dealt.repartition(2 * len(models), "side", "job").groupBy("side", "job").applyInPandas(run, schema)
+
+
+def garch_t_tail(spark: SparkSession, sf: str) -> DataFrame:
+    def rows(side, fit, ahead):
+        name = next(n for n in ahead if n.endswith("garch_t"))
+        return [{"side": side, "model": name, "var": ahead[name][0], "es": ahead[name][1], "nu": fit.extra["nu"], "persistence": fit.extra["persistence"], "loss": fit.value}]
+
+    return _fits(spark, sf, ["garch", "gjr_garch"], "side string, model string, var double, es double, nu double, persistence double, loss double", rows)
 
 
 def caviar_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Fitted recursions with the multiplier that turns VaR into ES; care is the expectile form."""
 
-    def fit(side, x, _):
-        from ..operators.numerics import caviar_fit as solve
+    def rows(side, fit, ahead):
+        return [{"side": side, "model": n, "persistence": fit.params[1], "next_var": v, "next_es": e, "breach_rate": fit.extra["breach_rate"]} for n, (v, e) in ahead.items()]
 
-        rows = []
-        for model, asymmetric, tau in (("caviar_sav", False, None), ("caviar_as", True, None), ("care_sav", False, 0.98)):
-            p, path = solve(x, V.LEVEL, asymmetric, expectile=tau)
-            hit = x > path[:-1]
-            mult = float((x[hit] / path[:-1][hit]).mean()) if hit.any() else 1.0
-            rows.append({"side": side, "model": model, "persistence": p[1], "next_var": path[-1], "next_es": path[-1] * max(mult, 1.0), "breach_rate": hit.mean()})
-        return rows
-
-    return _fit(spark, sf, "side string, model string, persistence double, next_var double, next_es double, breach_rate double", fit)
+    return _fits(spark, sf, ["caviar_sav", "caviar_as", "care_sav"], "side string, model string, persistence double, next_var double, next_es double, breach_rate double", rows)
 
 
 def block_maxima_shape(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,67 +144,61 @@ def evt_shape_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gas_pot_tail(spark: SparkSession, sf: str) -> DataFrame:
-    def fit(side, x, _):
-        from ..operators.numerics import gas_pot_tail as solve
+    """The score-driven scale with a generalised Pareto tail on the losses over it."""
 
-        return [{"side": side, **solve(x, V.LEVEL)}]
+    def rows(side, fit, ahead):
+        var, es = ahead["gas_t_evt"]
+        return [{"side": side, "var": var, "es": es, "exceedances": fit.extra["exceedances"], "scale_next": (var - fit.params[0]) / fit.extra["evt_var"]}]
 
-    return _fit(spark, sf, "side string, var double, es double, xi double, threshold double, scale_next double", fit)
+    return _fits(spark, sf, ["score"], "side string, var double, es double, exceedances long, scale_next double", rows)
 
 
-def rolling_origin_caviar(spark: SparkSession, sf: str) -> DataFrame:
-    """One forecast a day: refitted at each month's first day from the last parameters, the state updated daily."""
+def gas_t_fit(spark: SparkSession, sf: str) -> DataFrame:
+    def rows(side, fit, ahead):
+        return [{"side": side, "var": ahead["gas_t"][0], "es": ahead["gas_t"][1], "nu": fit.extra["nu"], "loss": fit.value}]
 
-    def fit(side, x, days):
-        from ..operators.numerics import caviar_fit as solve
-        from ..operators.numerics import caviar_path
+    return _fits(spark, sf, ["score"], "side string, var double, es double, nu double, loss double", rows)
 
-        rows = []
-        for model, asymmetric in (("caviar_sav", False), ("caviar_as", True)):
-            p = None
-            for at, to in _refits(days):
-                p, path = solve(x[:at], V.LEVEL, asymmetric, 200 if p is None else 25, first=p)
-                hit = (x[:at] > path[:-1]) & (path[:-1] > 0)
-                times = max(1.0, float((x[:at][hit] / path[:-1][hit]).mean())) if hit.sum() >= 10 else 1.0
-                v = caviar_path(x[at:to], p, path[-1], asymmetric)[:-1]
-                ok = np.isfinite(v)
-                rows += [{"d": d, "side": side, "model": model, "loss": a, "var": b, "es": b * times, "status": "ok" if o else "not_finite"} for d, a, b, o in zip(days[at:to], x[at:to], v, ok, strict=True)]
-        return rows
 
-    return _fit(spark, sf, "d string, side string, model string, loss double, var double, es double, status string", fit)
+def origins(spark: SparkSession, sf: str, models: list[str] | None = None) -> DataFrame:
+    """d, side, model, refit, loss, var, es, status: forecasts of fitted models, refitted each month in jobs of their own."""
+    from ..operators import origins as O
 
+    return O.forecasts(V.losses(spark, sf), ["side"], "d", "loss", models, V.LEVEL)
 
-def cross_suite_dm(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pair of models on the days that all of them have: mean difference of losses, block-bootstrap p-values to both
-    sides and joint exceptions."""
-    from .evaluation import scored
 
-    s = scored(spark, sf).select("side", "d", "model", "q_loss", "hit").filter("q_loss is not null")
-    models = s.select("model").distinct().count()
-    common = s.groupBy("side", "d").agg(F.count("*").alias("k")).filter(S("k") == models).select("side", "d")
-    s = s.join(common, ["side", "d"])
-    a, b = (s.select("side", "d", S("model").alias(f"{p}_model"), S("q_loss").alias(f"{p}_loss"), S("hit").alias(f"{p}_hit")) for p in ("a", "b"))
-    pairs = a.join(b, ["side", "d"]).filter("a_model < b_model").withColumn("diff", S("a_loss") - S("b_loss")).withColumn("both", S("a_hit") & S("b_hit"))
+def rolling_origin_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    return origins(spark, sf).select(text("d").alias("d"), "side", "model", "refit", "loss", "var", "es", "status")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from ..operators.numerics import block_bootstrap_p
 
-        x = pdf.sort_values("d")["diff"].to_numpy(float)
-        mean, less, block = block_bootstrap_p(x)
-        _, greater, _ = block_bootstrap_p(-x)
-        first = pdf.iloc[0]
-        return pd.DataFrame([{"side": first.side, "a_model": first.a_model, "b_model": first.b_model, "days": len(x), "mean_difference": mean, "p_less": less, "p_greater": greater, "block": block, "joint_exceptions": int(pdf.both.sum())}])
+def rolling_origin_caviar(spark: SparkSession, sf: str) -> DataFrame:
+    """One forecast a day: refitted at each month's first day, the state updated daily."""
+    return origins(spark, sf, ["caviar_sav", "caviar_as"]).select(text("d").alias("d"), "side", "model", "loss", "var", "es", "status")
 
-    return pairs.groupBy("side", "a_model", "b_model").applyInPandas(run, "side string, a_model string, b_model string, days long, mean_difference double, p_less double, p_greater double, block long, joint_exceptions long")
 
+def _suites(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the fitted models and of the closed-form ones, on the days that all have valid forecasts for."""
+    from ..operators import evaluate as E
 
-def gas_t_fit(spark: SparkSession, sf: str) -> DataFrame:
-    def fit(side, x, _):
-        from ..operators.numerics import gas_t_fit as solve
+    fitted = origins(spark, sf).select("d", "side", "loss", "model", "var", "es")
+    whole = materialise(E.scored(fitted.unionByName(V.forecasts(spark, sf)), V.LEVEL), "suites")
+    return E.on_common_days(whole, ["side"], "model", "d", "fz_loss")
+
+
+def rolling_origin_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage, losses and severity of twelve models on their common days."""
+    from ..operators import evaluate as E
 
-        return [{"side": side, **solve(x, V.LEVEL)}]
+    m = E.metrics(_suites(spark, sf), ["side", "model"], "d", V.LEVEL)
+    return m.select("side", "model", "rows", "hits", *[r(c, 5).alias(c) for c in ("breach_rate", "mean_q", "mean_fz", "severity", "kupiec_lr", "christoffersen_lr")])
+
+
+def cross_suite_dm(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of the twelve models on one common sample: mean difference of FZ losses, block-bootstrap p-values to both sides and
+    joint exceptions."""
+    from .evaluation import _pairs
 
-    return _fit(spark, sf, "side string, var double, es double, nu double, loss double", fit)
+    return _pairs(_suites(spark, sf), "fz_loss")
 
 
 def expectile_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -328,7 +329,8 @@ def stateful_filter_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 Q = {f.__name__: f for f in (
-    black_scholes_iv, pot_gpd_tail, gpd_stability, evi_anchor, garch_t_tail, caviar_fit, gas_t_fit, gas_pot_tail, block_maxima_shape, evt_shape_variants, rolling_origin_caviar, cross_suite_dm, expectile_grid, gbm_quantile_tail, gbm_location_scale,
+    black_scholes_iv, pot_gpd_tail, gpd_stability, evi_anchor, garch_t_tail, caviar_fit, gas_t_fit, gas_pot_tail, block_maxima_shape, evt_shape_variants, rolling_origin_caviar,
+    rolling_origin_forecasts, rolling_origin_metrics, cross_suite_dm, expectile_grid, gbm_quantile_tail, gbm_location_scale,
     scan_partition_prune, csv_alias_and_null_marker, normalize_bars_rows, stateful_filter_stream,
 )} | {"table_signature": signature}
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import rolling as R
+from ..operators import blocks as B
+from ..operators.store import materialise
 
 MIN_TRAIN = 250
 ROLLING = 250
@@ -72,25 +73,15 @@ def minute_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    """d, side, loss, model, var, es: one-step forecasts of three models for both tails.
-
-    The history's frames make quantiles quadratic in the number of days, which does not grow with the data.
-    """
-    w = R.series(["side"], "d")
-    whole, recent = R.prior(w), R.prior(w, ROLLING)
-    q = lambda frame: F.percentile("loss", F.lit(LEVEL)).over(frame)
-    mean, variance = R.ewma_variance("loss", w, DECAY)
-    base = losses(spark, sf).withColumns({
-        "k": F.count("loss").over(whole), "v1": q(whole), "h1": F.collect_list("loss").over(whole), "v2": q(recent), "h2": F.collect_list("loss").over(recent),
-        "mean": mean, "sd": F.sqrt(F.greatest(variance, F.lit(1e-12))),
-    })
-    es3 = F.col("mean") + F.col("sd") * (X.PHI95 / (1 - LEVEL))
-    rows = F.array(
-        F.struct(F.lit("historical").alias("model"), F.col("v1").alias("var"), X.empirical_es(F.col("h1"), F.col("v1")).alias("es")),
-        F.struct(F.lit("rolling").alias("model"), F.col("v2").alias("var"), X.empirical_es(F.col("h2"), F.col("v2")).alias("es")),
-        F.struct(F.lit("ewma").alias("model"), (F.col("mean") + F.col("sd") * X.Z95).alias("var"), F.greatest(es3, F.col("mean") + F.col("sd") * X.Z95).alias("es")),
-    )
-    return base.filter(F.col("k") >= MIN_TRAIN).select("d", "side", "loss", F.explode(rows).alias("r")).select("d", "side", "loss", "r.model", "r.var", "r.es")
+    """d, side, loss, model, var, es: one-step forecasts of three models for both tails, worked out once and kept in the shared folder."""
+    series = materialise(B.moments(B.positions(losses(spark, sf), ["side"], "d"), ["side"], "loss", DECAY), "moments")
+    base = B.quantiles(series, ["side"], "loss", LEVEL, ROLLING).filter(F.col("pos") >= MIN_TRAIN)
+    sd = F.sqrt(F.greatest(F.col("ewma"), F.lit(1e-12)))
+    var3, es3 = F.col("mean") + sd * X.Z95, F.col("mean") + sd * (X.PHI95 / (1 - LEVEL))
+    row = lambda model, var, es: F.struct(F.lit(model).alias("model"), var.alias("var"), es.alias("es"))
+    rows = F.array(row("historical", F.col("q_all"), F.col("es_all")), row("rolling", F.col("q_recent"), F.col("es_recent")), row("ewma", var3, F.greatest(es3, var3)))
+    out = base.select("d", "side", "loss", F.explode(rows).alias("r")).select("d", "side", "loss", "r.model", "r.var", "r.es")
+    return materialise(out, "forecasts")
 
 
 DAILY = "daily AS (SELECT CAST(o_orderdate AS DATE) AS d, round(sum(o_totalprice), 2) AS lv, count(*) AS n FROM orders GROUP BY 1)"
