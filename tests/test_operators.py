@@ -182,15 +182,6 @@ def test_chi_square_tail(spark):
     assert got[:-1] == pytest.approx([math.erfc(math.sqrt(v / 2)) for v in x[:-1]], abs=1e-12) and got[-1] is None
 
 
-def test_boosting():
-    rng = np.random.default_rng(2)
-    f = rng.normal(size=(2000, 3))
-    y = f[:, 0] * 2 + rng.normal(size=2000)
-    q = numerics.QuantileBoost(0.9, 80).fit(f[:1500], y[:1500]).predict(f[1500:])
-    assert 0.83 < (y[1500:] <= q).mean() < 0.96
-    assert np.corrcoef(q, f[1500:, 0])[0, 1] > 0.9
-
-
 def test_nelder_mead():
     best, value = numerics.nelder_mead(lambda p: float(((p - [1, 2, 3]) ** 2).sum()), np.zeros(3), 500)
     assert value < 1e-6 and best == pytest.approx([1, 2, 3], abs=1e-2)
@@ -208,17 +199,3 @@ def test_tail_fits_use_the_whole_series(spark):
         assert r["loss"] == pytest.approx(tails.MODELS["score"].fit(series[r.side], views.LEVEL, None, {}).value)
     for r in models.garch_t_tail(spark, sf).collect():
         assert r["loss"] == pytest.approx(tails.MODELS["gjr_garch" if r.model == "gjr_garch_t" else "garch"].fit(series[r.side], views.LEVEL, None, {}).value)
-
-
-def test_boosted_tails_are_refitted_each_month(spark):
-    from tidemark.plans import models, views
-
-    losses = views.losses(spark, "/root/testdata/sf0.001").filter("side = 'left'").toPandas().sort_values("d")
-    x, days = losses.loss.to_numpy(float), losses.d.astype(str).to_numpy()
-    out = {r.d: r["var"] for r in models.gbm_quantile_tail(spark, "/root/testdata/sf0.001").filter("side = 'left'").collect()}
-    assert sorted(out) == list(days[views.MIN_TRAIN :])
-    f = models._features(x)
-    months = [k for k in range(views.MIN_TRAIN + 1, len(x)) if days[k][:7] != days[k - 1][:7]]
-    for at in (months[0], months[len(months) // 2]):
-        fitted = numerics.QuantileBoost(views.LEVEL).fit(f[:at], x[:at])
-        assert out[days[at]] == pytest.approx(fitted.predict(f[at : at + 1])[0])

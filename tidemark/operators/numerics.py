@@ -1,4 +1,4 @@
-"""Numerical routines for grouped Arrow functions: distributions, tail fits, boosting.
+"""Numerical routines for grouped Arrow functions: distributions, tail fits.
 
 Each takes the arrays of one series or pair, which are bounded by the number of days.
 """
@@ -217,58 +217,3 @@ def gpd_quantiles(u: float, xi: float, scale: float, share: float, level: float)
     ratio = (1 - level) / share
     var = u + (scale / xi * (ratio**-xi - 1) if abs(xi) > 1e-6 else -scale * math.log(ratio))
     return var, max(var, (var + scale - xi * u) / (1 - xi)) if xi < 1 else math.nan
-
-
-class QuantileBoost:
-    """Histogram gradient boosting with pinball (or squared) loss; leaves hold the residuals' quantile (or mean)."""
-
-    def __init__(self, level: float | None, trees: int = 60, rate: float = 0.1, depth: int = 3, bins: int = 16, least: int = 20):
-        self.level, self.trees, self.rate, self.depth, self.bins, self.least = level, trees, rate, depth, bins, least
-
-    def _centre(self, r: np.ndarray) -> float:
-        return float(r.mean() if self.level is None else np.quantile(r, self.level))
-
-    def _grow(self, codes: np.ndarray, g: np.ndarray, r: np.ndarray, rows: np.ndarray, depth: int) -> tuple | float:
-        best = (1e-12, 0, 0)
-        if depth and len(rows) >= 2 * self.least:
-            for f in range(codes.shape[1]):
-                c = codes[rows, f]
-                n = np.cumsum(np.bincount(c, minlength=self.bins))[:-1]
-                s = np.cumsum(np.bincount(c, weights=g[rows], minlength=self.bins))[:-1]
-                total, ok = g[rows].sum(), (n >= self.least) & (len(rows) - n >= self.least)
-                gain = np.where(ok, s**2 / np.maximum(n, 1) + (total - s) ** 2 / np.maximum(len(rows) - n, 1) - total**2 / len(rows), 0)
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), f, k)
-        if best[0] <= 1e-12:
-            return self._centre(r[rows])
-        _, f, k = best
-        left = codes[rows, f] <= k
-        return f, k, self._grow(codes, g, r, rows[left], depth - 1), self._grow(codes, g, r, rows[~left], depth - 1)
-
-    def _apply(self, tree: tuple | float, codes: np.ndarray) -> np.ndarray:
-        if not isinstance(tree, tuple):
-            return np.full(len(codes), tree)
-        f, k, a, b = tree
-        return np.where(codes[:, f] <= k, self._apply(a, codes), self._apply(b, codes))
-
-    def _codes(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(self.edges)], 1)
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> QuantileBoost:
-        x = np.nan_to_num(x)
-        self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(x.shape[1])]
-        codes = self._codes(x)
-        self.base, self.model = self._centre(y), []
-        out = np.full(len(y), self.base)
-        for _ in range(self.trees):
-            r = y - out
-            g = r if self.level is None else self.level - (r < 0)
-            tree = self._grow(codes, g, r, np.arange(len(y)), self.depth)
-            self.model.append(tree)
-            out += self.rate * self._apply(tree, codes)
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        codes = self._codes(np.nan_to_num(x))
-        return self.base + self.rate * sum(self._apply(t, codes) for t in self.model)

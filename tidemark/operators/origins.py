@@ -10,14 +10,14 @@ steps are hundreds of independent groups that Spark spreads over tasks.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tails
+from . import boosting, tails
 from .blocks import positions
 from .store import materialise
 
@@ -33,8 +33,8 @@ def refit_days(series: DataFrame, keys: Sequence[str], day: str, least: int = LE
     return months.withColumns({"refit": F.row_number().over(by), "anchor": F.min(F.struct("month", "first")).over(Window.partitionBy(*keys, year))["first"]})
 
 
-def jobs(series: DataFrame, refits: DataFrame, keys: Sequence[str], day: str, loss: str) -> DataFrame:
-    """keys, refit, first, anchor, pos, day, loss: each row once for each refit that sees or forecasts it."""
+def jobs(series: DataFrame, refits: DataFrame, keys: Sequence[str], day: str, loss: str, more: Sequence[str] = ()) -> DataFrame:
+    """keys, refit, first, anchor, pos, day, loss and `more`: each row once for each refit that sees or forecasts it."""
     spans = refits.select(*[F.col(k).alias(f"__{k}") for k in keys], "refit", "first", "stop", "anchor")
     own = refits.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("month").alias("__month"), F.col("refit").alias("__own"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
@@ -44,7 +44,7 @@ def jobs(series: DataFrame, refits: DataFrame, keys: Sequence[str], day: str, lo
     # rows of the first month before its first forecast are history of that month's refit already
     dealt = dealt.withColumn("refit", F.explode(F.sequence(F.coalesce("__own", F.lit(1)), F.col("__last")))).withColumnRenamed("refit", "__refit")
     out = dealt.join(spans, [*same, F.col("__refit") == F.col("refit")])
-    return out.select(*keys, "refit", "first", "anchor", "pos", F.col(day).alias("day"), F.col(loss).cast("double").alias("loss"))
+    return out.select(*keys, "refit", "first", "anchor", "pos", F.col(day).alias("day"), F.col(loss).cast("double").alias("loss"), *more)
 
 
 def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, int]:
@@ -117,3 +117,78 @@ def forecasts(series: DataFrame, keys: Sequence[str], day: str, loss: str, model
     starts = materialise(starts, "anchors")
     out = each.groupBy(*keys, "model", "refit").cogroup(starts.groupBy(*keys, "model", "refit")).applyInArrow(monthly, ", ".join([*by, f"day {kinds[day]}", "model string, refit int, loss double, var double, es double, status string"]))
     return out.withColumnRenamed("day", day) if day != "day" else out
+
+
+def boosted(series: DataFrame, keys: Sequence[str], day: str, loss: str, sets: Mapping[str, Sequence[str]], method: str = "quantile", level: float = 0.95, least: int = LEAST_ROWS, only: Sequence[int] | None = None, **shape) -> DataFrame:
+    """keys, day, infoset, model, refit, loss, var, es, status: boosted forecasts on the features of each information set, refitted each month.
+
+    method "quantile" boosts VaR itself, with the mean excess over the fitted VaR as ES; "location_scale" boosts mean and log absolute
+    residual, the latter brought back by the mean of |residual| / fitted scale, and takes the tail of standardised residuals;
+    "robust" takes median_mad and median_iqr from boosted quartiles in order (1.4826 x the median absolute residual, or IQR / 1.349).  A job
+    is one set and refit; `shape` goes to boosting.fit.
+    """
+    names = sorted({c for columns in sets.values() for c in columns})
+    placed = positions(series.select(*keys, day, loss, F.array(*[F.col(c).cast("double") for c in names]).alias("__x")), keys, day)
+    refits = refit_days(placed, keys, day, least)
+    kinds = dict(placed.dtypes)
+    by = [f"{k} {kinds[k]}" for k in keys]
+    at = {name: [names.index(c) for c in columns] for name, columns in sets.items()}
+    models = {"quantile": ["direct"], "location_scale": ["mean_scale"], "robust": ["median_mad", "median_iqr"]}[method]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("pos").to_numpy())
+        table = table.take(pa.array(order))
+        cut = int(np.searchsorted(table.column("pos").to_numpy(), table.column("first")[0].as_py()))
+        lists = table.column("__x").combine_chunks()
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)[:, at[key[len(keys)].as_py()]]
+        y = table.column("loss").to_numpy()
+        made = _boosted(method, x[:cut], y[:cut], x[cut:], level, shape)
+        parts, n = [], len(y) - cut
+        for name in models:
+            var, es, status = made[name]
+            columns = [pa.array([v.as_py()] * n, table.schema.field(k).type) for k, v in zip(keys, key, strict=False)]
+            columns += [table.column("day").combine_chunks()[cut:], pa.array([key[len(keys)].as_py()] * n), pa.array([name] * n), pa.array([key[len(keys) + 1].as_py()] * n, pa.int32()), pa.array(y[cut:])]
+            columns += [pa.array(v, from_pandas=True) for v in (var, es)] + [pa.array([status] * n, pa.string())]
+            parts.append(pa.Table.from_arrays(columns, [*keys, "day", "infoset", "model", "refit", "loss", "var", "es", "status"]))
+        return pa.concat_tables(parts)
+
+    each = jobs(placed, refits, keys, day, loss, ["__x"])
+    if only is not None:
+        each = each.filter(F.col("refit").isin(list(only)))
+    each = each.select("*", F.explode(F.array(*[F.lit(s) for s in sets])).alias("infoset")).repartition(4 * series.sparkSession.sparkContext.defaultParallelism, *keys, "infoset", "refit")
+    out = each.groupBy(*keys, "infoset", "refit").applyInArrow(run, ", ".join([*by, f"day {kinds[day]}", "infoset string, model string, refit int, loss double, var double, es double, status string"]))
+    return out.withColumnRenamed("day", day) if day != "day" else out
+
+
+def _tail(z: np.ndarray, level: float) -> tuple[float, float, str]:
+    """Quantile, mean above it, and whether enough values lie there."""
+    q = float(np.quantile(z, level))
+    above = z[z > q]
+    return (q, float(above.mean()), "ok") if len(above) >= tails.LEAST_EXCEEDANCES else (q, np.nan, "few_exceedances")
+
+
+def _boosted(method: str, x: np.ndarray, y: np.ndarray, ahead: np.ndarray, level: float, shape: dict) -> dict[str, tuple[np.ndarray, np.ndarray, str]]:
+    fitted = lambda target, q: (lambda m: (m.predict(x), m.predict(ahead)))(boosting.fit(x, target, q, **shape))
+    if method == "quantile":
+        inside, var = fitted(y, level)
+        over = y - inside
+        enough = (over > 0).sum() >= tails.LEAST_EXCEEDANCES
+        return {"direct": (var, var + over[over > 0].mean() if enough else np.full(len(var), np.nan), "ok" if enough else "few_exceedances")}
+    if method == "location_scale":
+        mean, mean_ahead = fitted(y, None)
+        size = np.abs(y - mean)
+        scale, scale_ahead = (np.exp(v) for v in fitted(np.log(size + 1e-6), None))
+        smear = float((size / scale).mean())
+        floor = 1e-4
+        q, s, status = _tail((y - mean) / np.maximum(scale * smear, floor), level)
+        out = np.maximum(scale_ahead * smear, floor)
+        return {"mean_scale": (mean_ahead + q * out, mean_ahead + s * out, status)}
+    quarters = [fitted(y, q) for q in (0.25, 0.5, 0.75)]
+    inside, outside = (np.sort(np.stack([q[k] for q in quarters]), 0) for k in (0, 1))
+    deviation = 1.4826 * float(np.median(np.abs(y - inside[1])))
+    made = {}
+    for name, scale, scale_ahead in (("median_mad", np.full(len(y), deviation), np.full(len(ahead), deviation)), ("median_iqr", (inside[2] - inside[0]) / 1.349, (outside[2] - outside[0]) / 1.349)):
+        scale, scale_ahead = np.maximum(scale, 1e-4), np.maximum(scale_ahead, 1e-4)
+        q, s, status = _tail((y - inside[1]) / scale, level)
+        made[name] = (outside[1] + q * scale_ahead, outside[1] + s * scale_ahead, status)
+    return made

@@ -212,59 +212,6 @@ def expectile_grid(spark: SparkSession, sf: str) -> DataFrame:
     return _fit(spark, sf, "side string, tau double, expectile double, breach_rate double", fit).withColumn("distance", F.abs(S("breach_rate") - (1 - V.LEVEL)))
 
 
-def _features(x: np.ndarray) -> np.ndarray:
-    """Lags and rolling spreads that are known before each value."""
-    s = pd.Series(x)
-    cols = [s.shift(k) for k in (1, 2, 5)] + [s.shift(1).rolling(w, min_periods=5).std() for w in (10, 20, 60)] + [s.shift(1).abs().rolling(10, min_periods=5).max()]
-    return np.nan_to_num(np.column_stack(cols))
-
-
-def _refits(days: np.ndarray) -> list[tuple[int, int]]:
-    """(first, stop) of the days that one fit forecasts: from each month's first day on, after MIN_TRAIN days."""
-    at = [k for k in range(V.MIN_TRAIN, len(days)) if k == V.MIN_TRAIN or days[k][:7] != days[k - 1][:7]]
-    return list(zip(at, [*at[1:], len(days)], strict=True))
-
-
-def gbm_quantile_tail(spark: SparkSession, sf: str) -> DataFrame:
-    """Direct quantile boosting, refitted at the start of each month on all days before it."""
-
-    def fit(side, x, days):
-        from ..operators.numerics import QuantileBoost
-
-        f, rows = _features(x), []
-        for at, to in _refits(days):
-            v = QuantileBoost(V.LEVEL).fit(f[:at], x[:at]).predict(f[at:to])
-            above = x[:at][x[:at] > np.quantile(x[:at], V.LEVEL)]
-            ratio = above.mean() / np.quantile(x[:at], V.LEVEL)
-            rows += [{"d": d, "side": side, "loss": a, "var": b, "es": max(b, b * ratio)} for d, a, b in zip(days[at:to], x[at:to], v, strict=True)]
-        return rows
-
-    return _fit(spark, sf, "d string, side string, loss double, var double, es double", fit)
-
-
-def gbm_location_scale(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted mean and log absolute residual with smearing; quartiles give the robust form; the tail is empirical."""
-
-    def fit(side, x, days):
-        from ..operators.numerics import QuantileBoost
-
-        f, rows = _features(x), []
-        for at, to in _refits(days):
-            mean = QuantileBoost(None, 40).fit(f[:at], x[:at])
-            resid = x[:at] - mean.predict(f[:at])
-            log_scale = QuantileBoost(None, 40).fit(f[:at], np.log(np.abs(resid) + 1e-6))
-            smear = np.abs(resid).mean() / np.exp(log_scale.predict(f[:at])).mean()
-            scale = lambda z: np.maximum(1e-4, np.exp(log_scale.predict(z)) * smear)  # noqa: E731, B023
-            z = np.quantile(resid / scale(f[:at]), V.LEVEL)
-            quartiles = np.sort(np.stack([QuantileBoost(q, 30).fit(f[:at], x[:at]).predict(f[at:to]) for q in (0.25, 0.5, 0.75)]), 0)
-            iqr = np.maximum(1e-4, (quartiles[2] - quartiles[0]) / 1.349)
-            v = mean.predict(f[at:to]) + scale(f[at:to]) * z
-            rows += [{"d": d, "side": side, "loss": a, "var": b, "robust_location": m, "robust_scale": s} for d, a, b, m, s in zip(days[at:to], x[at:to], v, quartiles[1], iqr, strict=True)]
-        return rows
-
-    return _fit(spark, sf, "d string, side string, loss double, var double, robust_location double, robust_scale double", fit)
-
-
 def signature(spark: SparkSession, sf: str) -> DataFrame:
     return table_signature(V.table(spark, sf, "orders"))
 
@@ -330,7 +277,7 @@ def stateful_filter_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 Q = {f.__name__: f for f in (
     black_scholes_iv, pot_gpd_tail, gpd_stability, evi_anchor, garch_t_tail, caviar_fit, gas_t_fit, gas_pot_tail, block_maxima_shape, evt_shape_variants, rolling_origin_caviar,
-    rolling_origin_forecasts, rolling_origin_metrics, cross_suite_dm, expectile_grid, gbm_quantile_tail, gbm_location_scale,
+    rolling_origin_forecasts, rolling_origin_metrics, cross_suite_dm, expectile_grid,
     scan_partition_prune, csv_alias_and_null_marker, normalize_bars_rows, stateful_filter_stream,
 )} | {"table_signature": signature}
 

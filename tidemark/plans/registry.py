@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, evaluation, extras, features, models, panel
+from . import audit, boosted, evaluation, extras, features, models, panel
 
-GROUPS = [panel, features, evaluation, models, extras, audit]
+GROUPS = [panel, features, evaluation, models, extras, audit, boosted]
 
 
 def entry(spark: SparkSession) -> DataFrame:
