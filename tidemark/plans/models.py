@@ -262,23 +262,10 @@ def normalize_bars_rows(spark: SparkSession, sf: str) -> DataFrame:
     return b.groupBy("ticker", text("bar_date").alias("bar_date")).agg(F.count("*").alias("n"), F.count_if("is_regular").alias("regular"), F.count("low").alias("positive_lows"), F.date_format(F.max("end_utc"), "yyyy-MM-dd HH:mm").alias("last_end"))
 
 
-def stateful_filter_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The recursive filter over the events table as a stream; one number of state for each type."""
-    from ..streaming.availability import filtered_quantile
-
-    source = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(sf)
-    out = filtered_quantile(source.select("event_type", S("ts").cast("timestamp").alias("ts"), "value"), "event_type", "ts", "value")
-    path = _place(spark, "stream")
-    q = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.read.schema("event_type string, ts timestamp, value double, forecast double").parquet(f"{path}/out")
-    return got.groupBy("event_type").agg(F.count("*").alias("n"), r(F.avg("forecast"), 4).alias("mean_forecast"), F.count_if(S("value") > S("forecast")).alias("hits"))
-
-
 Q = {f.__name__: f for f in (
     black_scholes_iv, pot_gpd_tail, gpd_stability, evi_anchor, garch_t_tail, caviar_fit, gas_t_fit, gas_pot_tail, block_maxima_shape, evt_shape_variants, rolling_origin_caviar,
     rolling_origin_forecasts, rolling_origin_metrics, cross_suite_dm, expectile_grid,
-    scan_partition_prune, csv_alias_and_null_marker, normalize_bars_rows, stateful_filter_stream,
+    scan_partition_prune, csv_alias_and_null_marker, normalize_bars_rows,
 )} | {"table_signature": signature}
 
 SQL = {

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, boosted, evaluation, extras, features, models, panel
+from . import audit, boosted, evaluation, extras, features, models, panel, publication, streams
 
-GROUPS = [panel, features, evaluation, models, extras, audit, boosted]
+GROUPS = [panel, features, evaluation, models, extras, audit, boosted, publication, streams]
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Structured Streaming forms of availability, windows and filters."""
+"""Structured Streaming forms of availability and windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +19,3 @@ def session_clusters(stream: DataFrame, keys: list[str], event: str, gap: str, l
 
 def sliding_sums(stream: DataFrame, keys: list[str], event: str, value: str, width: str, step: str, late: str) -> DataFrame:
     return stream.withWatermark(event, late).groupBy(*keys, F.window(event, width, step).alias("w")).agg(F.sum(value).alias("total"), F.count("*").alias("events"))
-
-
-def filtered_quantile(stream: DataFrame, key: str, event: str, value: str, p: tuple[float, float, float] = (0.05, 0.8, 0.25), start: float = 0.5) -> DataFrame:
-    """A recursive quantile filter per key, v' = p0 + p1 v + p2 |x|: each row comes out with the forecast made
-    before it was seen; the state is one number for each key."""
-
-    def step(k: tuple, batches: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        v = state.get[0] if state.exists else start
-        for pdf in batches:
-            pdf = pdf.sort_values(event)
-            out = []
-            for x in pdf[value]:
-                out.append(v)
-                v = p[0] + p[1] * v + p[2] * abs(x)
-            yield pd.DataFrame({key: k[0], event: pdf[event], value: pdf[value], "forecast": out})
-        state.update((v,))
-
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {event} timestamp, {value} double, forecast double", "v double", "append", "NoTimeout")
