@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 
 def asof_join(
     left: DataFrame,
@@ -63,6 +65,27 @@ def asof_join(
     return found.select("__left.*", *[F.when(fresh, F.col(f"__best.p_{c}")).alias(f"{c}{suffix}") for c in columns])
 
 
+def interval_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, by: Sequence[str] = (), bucket_days: int = 32, how: str = "inner") -> DataFrame:
+    """Each interval with the points (dates) of its key from `low` to `high`, both included; with how="left" intervals without points stay.
+
+    An interval goes to every bucket of days that it touches, a point to its own; both meet in an equi-join on key and bucket, so
+    that neither side is broadcast and no pair of far apart rows is formed.  The columns of both sides have distinct names but for the keys.
+    """
+    number = lambda c: F.floor(F.unix_date(F.col(c)) / bucket_days)
+    cut = intervals
+    if how == "left":  # numbers that are the same in both uses
+        cut = materialise(intervals.withColumn("__id", F.monotonically_increasing_id()), "intervals")
+    spread = cut.withColumn("__bucket", F.explode(F.when(F.col(low) <= F.col(high), F.sequence(number(low), number(high))).otherwise(F.array())))
+    right = points.withColumn("__b", number(point)).withColumnsRenamed({k: f"__p_{k}" for k in by})
+    met = spread.join(right, [F.col("__bucket") == F.col("__b"), *[F.col(k).eqNullSafe(F.col(f"__p_{k}")) for k in by]]).filter(F.col(point).between(F.col(low), F.col(high)))
+    met = met.drop("__bucket", "__b", *[f"__p_{k}" for k in by])
+    if how == "inner":
+        return met
+    extra = [c for c in points.columns if c not in by]
+    found = met.select("__id", *extra)
+    return cut.join(found, "__id", "left").drop("__id")
+
+
 def asof_long(left: DataFrame, features: DataFrame, left_time: str, cutoff: str | None = None, available: str | None = None, tolerance_days: int | None = None) -> DataFrame:
     """Every feature picks its own newest non-null usable row: (left columns, feature, value, source_time).
 

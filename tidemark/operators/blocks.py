@@ -87,6 +87,41 @@ def linear_filter(df: DataFrame, keys: Sequence[str], pushes: Mapping[str, Colum
     return out.drop("__b", "__j", *[f"__{p}_{k}" for p in "xlc" for k in pushes])
 
 
+def sliding_sums(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], window: int, pos: str = "pos") -> DataFrame:
+    """Add the sum of each expression over the last `window` rows, the current one among them; fewer at the start.
+
+    Blocks of `window` rows: what a window has is the end of one block and the start of the next, each a running sum inside its block,
+    once forwards and once backwards.  At most 2 x window values are ever added up, so the rounding error of a sum stays below
+    2 x window x 2^-53 times the sum of absolute values, however long the series.
+    """
+    rows = df.withColumns({"__b": F.floor(F.col(pos) / window), **{f"__x_{k}": v for k, v in sums.items()}})
+    ahead = Window.partitionBy(*keys, "__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "__b").orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumns({f"__{name}_{k}": F.coalesce(F.sum(f"__x_{k}").over(frame), F.lit(0.0)) for k in sums for name, frame in (("a", ahead), ("z", back))})
+    # the window of row i starts at row i - window + 1, in the block before unless row i ends its own
+    ends = both.filter((F.col(pos) % window) > 0).select(*keys, (F.col(pos) + window - 1).alias("__at"), *[F.col(f"__z_{k}").alias(f"__e_{k}") for k in sums])
+    out = _meet(both.withColumn("__at", F.col(pos)), ends, [*keys, "__at"], "left")
+    out = out.withColumns({k: F.col(f"__a_{k}") + F.coalesce(F.col(f"__e_{k}"), F.lit(0.0)) for k in sums})
+    return out.drop("__b", "__at", *[f"__{p}_{k}" for p in "xaze" for k in sums])
+
+
+def sliding_moments(df: DataFrame, keys: Sequence[str], x: str, window: int, pos: str = "pos") -> DataFrame:
+    """Add n, mean, sd (ddof 1), skew and kurt of the last `window` values of x: mean(((x - mean) / sd)^k), less 3 for k = 4; sd 0 gives nulls.
+
+    Powers are taken of values less the key's mean.
+    """
+    centre = df.groupBy(*keys).agg(F.avg(x).alias("__m"))
+    z = F.col(x) - F.col("__m")
+    rows = sliding_sums(_meet(df, centre, keys) if keys else df.crossJoin(centre), keys, {"__s0": F.when(F.col(x).isNotNull(), 1.0), **{f"__s{k}": F.pow(z, F.lit(float(k))) for k in range(1, 5)}}, window, pos)
+    n = F.when(F.col("__s0") > 0, F.col("__s0"))
+    m, r2, r3, r4 = (F.col(f"__s{k}") / n for k in range(1, 5))
+    m2, m3, m4 = r2 - m * m, r3 - 3 * m * r2 + 2 * m * m * m, r4 - 4 * m * r3 + 6 * m * m * r2 - 3 * m * m * m * m
+    variance = F.when(n > 1, F.greatest(m2, F.lit(0.0)) * n / (n - 1))
+    sd = F.when(variance > 1e-24, F.sqrt(variance))
+    out = rows.withColumns({"n": F.col("__s0").cast("long"), "mean": m + F.col("__m"), "sd": F.sqrt(variance), "skew": m3 / (sd * sd * sd), "kurt": m4 / (sd * sd * sd * sd) - 3})
+    return out.drop("__m", *[f"__s{k}" for k in range(5)])
+
+
 def moments(df: DataFrame, keys: Sequence[str], x: str, decay: float, pos: str = "pos", size: int = BLOCK) -> DataFrame:
     """Add mean and ewma: of the rows before each one the mean, and the EWMA variance centred on it that starts from the sample variance
     (both null where they have no rows, or one)."""
@@ -142,12 +177,13 @@ def _interpolated(tree: RankTree, lo: np.ndarray, hi: np.ndarray, n: np.ndarray,
 
 def quantiles(df: DataFrame, keys: Sequence[str], x: str, level: float, window: int, pos: str = "pos", size: int = BLOCK, bins: int = BINS) -> DataFrame:
     """Add q_all, es_all, q_recent, es_recent: the interpolated quantile of x over all rows before each one and over the last `window` of
-    them, each with the mean of the values above it (the quantile where there are none).
+    them, each with the mean of the values above it (the quantile where there are none); and above_all, above_recent, how many these are.
 
     A block needs those earlier values only whose ranks its rows can ask for: counts by block and value bin tell which bins hold them, and
     these values come to the block as (value, count); the rest is known by its count and sum.  Rows without x are not allowed.
     """
     names, kinds = df.columns, {f.name: f.dataType.simpleString() for f in df.schema}
+    added = ["q_all", "es_all", "q_recent", "es_recent", "above_all", "above_recent"]
     spread = df.groupBy(*keys).agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__sd"))
     rows = _meet(df, spread, keys) if keys else df.crossJoin(spread)
     scaled = F.coalesce((F.col(x) - F.col("__m")) / F.when(F.col("__sd") > 0, F.col("__sd")), F.lit(0.0))
@@ -191,10 +227,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, level: float, window:
         tree = RankTree(np.append(value[old], v), np.append(weight[old], ones))
         j = np.arange(len(v))
         some = at > 0
-        out = np.full((4, len(v)), np.nan)
+        out, higher = np.full((4, len(v)), np.nan), np.zeros((2, len(v)), np.int64)
 
         def put(k: int, q: np.ndarray, more: np.ndarray, total: np.ndarray) -> None:
-            out[k, some] = q
+            out[k, some], higher[k // 2, some] = q, more
             out[k + 1, some] = np.where(more > 0, np.maximum(q, total / np.maximum(more, 1)), q)
 
         if some.any():
@@ -207,7 +243,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, level: float, window:
             lo = np.maximum(hi - window, 0)
             put(2, *_interpolated(recent, lo, hi, hi - lo, np.zeros(len(hi), np.int64), level))
         fields = table.column("__row").combine_chunks().take(pa.array(mine))
-        return pa.Table.from_arrays([*fields.flatten(), *[pa.array(o, from_pandas=True) for o in out]], [*names, "q_all", "es_all", "q_recent", "es_recent"])
+        return pa.Table.from_arrays([*fields.flatten(), *[pa.array(o, from_pandas=True) for o in out], *map(pa.array, higher)], [*names, *added])
 
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], *[f"{c} double" for c in ("q_all", "es_all", "q_recent", "es_recent")]])
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], *[f"{c} double" for c in added[:4]], *[f"{c} long" for c in added[4:]]])
     return together.groupBy(*keys, "__t").applyInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import expr as X
+from .select import order_statistics
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -68,12 +68,11 @@ def daily_summary(chain: DataFrame) -> DataFrame:
 
 
 def cross_section(chain: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median, 20 % trimmed mean, maximum, count and population spread of the values of each key."""
+    """Median, 20 % trimmed mean, maximum, count and population spread of the values of each key; a key without values has n = 0."""
+    ranked = order_statistics(chain, keys, value, {"median": 0.5}, {"trimmed": 0.2}).drop("n").withColumnsRenamed({k: f"__{k}" for k in keys})
     n = F.count(value)
-    return chain.groupBy(*keys).agg(
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        X.trimmed_mean(F.collect_list(value)).alias("trimmed"),
-        F.max(value).alias("max"),
-        n.alias("n"),
-        F.when(n >= 2, F.stddev_pop(value)).alias("dispersion"),
-    )
+    plain = chain.groupBy(*keys).agg(F.max(value).alias("max"), n.alias("n"), F.when(n >= 2, F.stddev_pop(value)).alias("dispersion"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return plain.join(ranked, same, "left").drop(*[f"__{k}" for k in keys])

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..operators import blocks as B
 from ..operators import intraday, options
 from ..operators import rolling as R
-from ..operators.asof import asof_join
+from ..operators.asof import asof_join, interval_join
+from ..operators.store import materialise
 from . import views as V
 from .panel import S, r, text
 
@@ -24,13 +26,14 @@ def rolling_history_stats(spark: SparkSession, sf: str) -> DataFrame:
 def session_interleaved_moments(spark: SparkSession, sf: str) -> DataFrame:
     """Two values a day, open-to-high then close-to-low, in one series without nulls."""
     b = V.bars(spark, sf).filter("volume > 1").select("ticker", "d", F.posexplode(F.array(X.log_return(S("open"), S("high")), X.log_return(S("close"), S("low")))).alias("slot", "x")).filter("x is not null")
-    w = Window.partitionBy("ticker").orderBy("d", "slot")
-    f20, f120 = R.latest(w, 20), R.latest(w, 120)
-    n = F.count("x").over(f120)
-    skew = F.skewness("x").over(f120) * F.pow((n - 1) / n, F.lit(1.5))
-    kurt = (F.kurtosis("x").over(f120) + 3) * F.pow((n - 1) / n, F.lit(2.0)) - 3
-    full = F.count("x").over(f20) >= 20
-    return b.select("ticker", text("d").alias("d"), S("slot").cast("long").alias("slot"), r("x").alias("x"), r(F.when(full, F.avg("x").over(f20))).alias("mean_20"), r(F.when(full, R.semivariance(S("x"), False, f20))).alias("semi_down_20"), r(F.when(full, R.semivariance(S("x"), True, f20))).alias("semi_up_20"), r(F.when(n >= 120, skew), 5).alias("skew_120"), r(F.when(n >= 120, kurt), 5).alias("kurt_120"))
+    p = B.positions(b.withColumn("at", F.unix_date("d") * 2 + S("slot")), ["ticker"], "at")
+    x = S("x")
+    p = B.sliding_sums(p, ["ticker"], {"s": x, "dn": F.when(x < 0, x * x), "up": F.when(x > 0, x * x), "n_dn": F.when(x < 0, 1.0), "n_up": F.when(x > 0, 1.0)}, 20)
+    m = B.sliding_moments(materialise(p, "sums"), ["ticker"], "x", 120)
+    full, long = S("pos") >= 19, S("pos") >= 119
+    share = lambda a, n: F.when(full, F.coalesce(S(a) / F.when(S(n) > 0.5, S(n)), F.lit(0.0)))
+    return m.select("ticker", text("d").alias("d"), S("slot").cast("long").alias("slot"), r("x").alias("x"), r(F.when(full, S("s") / 20)).alias("mean_20"), r(share("dn", "n_dn")).alias("semi_down_20"),
+                    r(share("up", "n_up")).alias("semi_up_20"), r(F.when(long, S("skew")), 5).alias("skew_120"), r(F.when(long, S("kurt")), 5).alias("kurt_120"))
 
 
 def parkinson_rolling(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,13 +98,13 @@ def nearest_atm_contract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iv_cross_section(spark: SparkSession, sf: str) -> DataFrame:
-    s = V.surface(spark, sf).withColumn("bucket", options.dte_bucket(S("dte")))
+    s = V.chain(spark, sf).withColumn("bucket", options.dte_bucket(S("dte")))
     out = options.cross_section(s, ["d", "bucket"], "iv")
-    return out.select(text("d").alias("d"), "bucket", r("median", 4).alias("median"), r("trimmed", 5).alias("trimmed"), "max", "n", r("dispersion", 5).alias("dispersion"))
+    return out.select(text("d").alias("d"), "bucket", r("median", 4).alias("median"), r("trimmed", 9).alias("trimmed"), "max", "n", r("dispersion", 5).alias("dispersion"))
 
 
 def option_liquidity(spark: SparkSession, sf: str) -> DataFrame:
-    s = V.surface(spark, sf).withColumn("bucket", options.dte_bucket(S("dte")))
+    s = V.chain(spark, sf).withColumn("bucket", options.dte_bucket(S("dte")))
     per_day = s.groupBy("d", "bucket").agg(F.countDistinct("contract").alias("contracts"), F.count("*").alias("quotes"))
     return per_day.groupBy("bucket").agg(F.max("contracts").alias("max_contracts"), F.sum("quotes").alias("quotes"), F.count("*").alias("days"))
 
@@ -125,20 +128,19 @@ def cross_market_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_intensity(spark: SparkSession, sf: str) -> DataFrame:
-    busy = V.table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("e")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "e").limit(150).select("e")
-    days = V.daily(spark, sf).select("d")
-    near = days.join(F.broadcast(busy), F.abs(F.date_diff("e", "d")) <= 30, "left")
+    """Events are days with more shipments than 19 of 20 days; counts and distances within 30 days of each day."""
+    n = V.table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("e")).agg(F.count("*").alias("n"))
+    busy = n.crossJoin(n.agg(F.percentile("n", F.lit(0.95)).alias("cut"))).filter("n > cut").select("e")
+    days = V.daily(spark, sf).select("d", F.date_sub("d", 30).alias("low"), F.date_add("d", 30).alias("high"))
     gap = F.date_diff("e", "d")
-    out = near.groupBy("d").agg(F.count_if(gap == 0).alias("same_day"), F.count_if(gap.between(1, 3)).alias("next_3"), F.min(F.when(gap > 0, gap)).alias("to_next"), F.min(F.when(gap < 0, -gap)).alias("since_last"))
+    out = interval_join(busy, days, "e", "low", "high", how="left").groupBy("d").agg(F.count_if(gap == 0).alias("same_day"), F.count_if(gap.between(1, 3)).alias("next_3"), F.min(F.when(gap > 0, gap)).alias("to_next"), F.min(F.when(gap < 0, -gap)).alias("since_last"))
     return out.select(text("d").alias("d"), "same_day", "next_3", F.coalesce("to_next", F.lit(30)).cast("long").alias("to_next"), F.coalesce("since_last", F.lit(30)).cast("long").alias("since_last"))
 
 
 def oos_start_search(spark: SparkSession, sf: str) -> DataFrame:
-    w = R.series(["side"], "d")
-    p = R.prior(w)
-    b = V.losses(spark, sf).withColumns({"k": F.count("loss").over(p), "q": F.percentile("loss", F.lit(0.95)).over(p), "h": F.collect_list("loss").over(p)})
-    b = b.withColumn("above", F.size(F.filter("h", lambda x: x > S("q"))))
-    ok = b.filter((S("k") >= V.MIN_TRAIN) & (S("above") >= 20))
+    """The first day with enough rows and exceedances before it, and how many such days there are."""
+    b = B.quantiles(B.positions(V.losses(spark, sf), ["side"], "d"), ["side"], "loss", V.LEVEL, V.ROLLING)
+    ok = b.filter((S("pos") >= V.MIN_TRAIN) & (S("above_all") >= 20))
     return ok.groupBy("side").agg(F.min("d").cast("string").alias("start"), F.count("*").alias("days"))
 
 
@@ -251,7 +253,7 @@ SQL = {
     "nearest_atm_contract": f"""WITH {V.SURFACE}, r AS (SELECT *, row_number() OVER (PARTITION BY d, pc ORDER BY round(abs(ln(strike / spot)), 9), dte, contract, okey) AS k FROM surface WHERE pc IS NOT NULL)
       SELECT {D}, pc, contract, strike, CAST(dte AS BIGINT) AS dte FROM r WHERE k = 1""",
     "iv_cross_section": f"""WITH {V.SURFACE}, g AS (SELECT d, {BUCKET} AS bucket, list(iv ORDER BY iv) AS h, quantile_cont(iv, 0.5) AS m, max(iv) AS mx, count(*) AS n, stddev_pop(iv) AS sd FROM surface GROUP BY 1, 2)
-      SELECT {D}, bucket, round(m, 4) AS median, round(list_avg(h[CAST(floor(n * 0.2) AS INTEGER) + 1 : n - CAST(floor(n * 0.2) AS INTEGER)]), 5) AS trimmed, mx AS max, n, round(CASE WHEN n >= 2 THEN sd END, 5) AS dispersion FROM g""",
+      SELECT {D}, bucket, round(m, 4) AS median, round(list_avg(h[CAST(floor(n * 0.2) AS INTEGER) + 1 : n - CAST(floor(n * 0.2) AS INTEGER)]), 9) AS trimmed, mx AS max, n, round(CASE WHEN n >= 2 THEN sd END, 5) AS dispersion FROM g""",
     "option_liquidity": f"WITH {V.SURFACE}, g AS (SELECT d, {BUCKET} AS bucket, count(DISTINCT contract) AS c, count(*) AS q FROM surface GROUP BY 1, 2) SELECT bucket, max(c) AS max_contracts, CAST(sum(q) AS BIGINT) AS quotes, count(*) AS days FROM g GROUP BY 1",
     "intraday_late_session": f"""WITH {V.MINUTES}, k AS (SELECT *, CAST(unnest([60, 240]) AS BIGINT) AS minutes, max(ts) OVER (PARTITION BY ticker, d) AS last FROM minutes),
       l AS (SELECT *, ln(CASE WHEN close > 0 THEN close END) - ln(CASE WHEN lag(close) OVER w > 0 THEN lag(close) OVER w END) AS ret FROM k WHERE ts >= last - INTERVAL 1 MINUTE * minutes WINDOW w AS (PARTITION BY ticker, d, minutes ORDER BY ts, id))
@@ -261,7 +263,7 @@ SQL = {
     "cross_market_features": f"""WITH {V.BARS}, b AS (SELECT ticker, d, ln(close) - ln(lag(close) OVER (PARTITION BY ticker ORDER BY d)) AS ret FROM bars),
       g AS (SELECT d, count(ret) AS n, avg(ret) AS m, stddev_samp(ret) AS sd, max(ret) FILTER (WHERE ticker LIKE '1%') AS a, max(ret) FILTER (WHERE ticker LIKE '5%') AS b FROM b GROUP BY d), h AS (SELECT *, CASE WHEN n >= 3 THEN m END AS mean FROM g)
       SELECT {D}, round(mean, 6) AS mean, round(CASE WHEN n >= 3 THEN sd END, 6) AS spread, round(a - b, 6) AS urgent_vs_low, round(mean - avg(mean) OVER (ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS shock_20 FROM h""",
-    "event_intensity": f"""WITH {V.DAILY}, busy AS (SELECT CAST(l_shipdate AS DATE) AS e, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, e LIMIT 150), j AS (SELECT d, e - d AS g FROM daily LEFT JOIN busy ON abs(e - d) <= 30)
+    "event_intensity": f"""WITH {V.DAILY}, c AS (SELECT CAST(l_shipdate AS DATE) AS e, count(*) AS n FROM lineitem GROUP BY 1), busy AS (SELECT e FROM c WHERE n > (SELECT quantile_cont(n, 0.95) FROM c)), j AS (SELECT d, e - d AS g FROM daily LEFT JOIN busy ON abs(e - d) <= 30)
       SELECT {D}, count(*) FILTER (WHERE g = 0) AS same_day, count(*) FILTER (WHERE g BETWEEN 1 AND 3) AS next_3, CAST(coalesce(min(g) FILTER (WHERE g > 0), 30) AS BIGINT) AS to_next, CAST(coalesce(min(-g) FILTER (WHERE g < 0), 30) AS BIGINT) AS since_last FROM j GROUP BY j.d""",
     "oos_start_search": f"""WITH {V.LOSSES}, p AS (SELECT side, d, count(loss) OVER w AS k, quantile_cont(loss, 0.95) OVER w AS q, list(loss) OVER w AS h FROM losses WINDOW w AS (PARTITION BY side ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT side, CAST(min(d) AS VARCHAR) AS start, count(*) AS days FROM p WHERE k >= {V.MIN_TRAIN} AND len(list_filter(h, lambda x: x > q)) >= 20 GROUP BY side""",

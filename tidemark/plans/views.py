@@ -56,13 +56,18 @@ def macro(spark: SparkSession, sf: str) -> DataFrame:
     return daily(spark, sf).groupBy(F.to_date(F.date_trunc("week", "d")).alias("week")).agg(F.min("lv").alias("level")).withColumn("available", F.date_add("week", 8))
 
 
-def surface(spark: SparkSession, sf: str) -> DataFrame:
-    """d, contract, strike, iv, oi, pc, dte, spot: an option chain from line items."""
-    li = table(spark, sf, "lineitem").select(
+def chain(spark: SparkSession, sf: str) -> DataFrame:
+    """d, contract, strike, iv, oi, pc, dte, okey: an option chain from line items."""
+    return table(spark, sf, "lineitem").select(
         day("l_shipdate").alias("d"), F.col("l_partkey").alias("contract"), F.col("l_quantity").alias("strike"), F.col("l_discount").alias("iv"),
         F.col("l_extendedprice").alias("oi"), F.when(F.col("l_returnflag") == "R", "put").when(F.col("l_returnflag") == "A", "call").alias("pc"),
         (F.col("l_linenumber") * 15).alias("dte"), F.col("l_orderkey").alias("okey"),
     )
+
+
+def surface(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain with the day's spot."""
+    li = chain(spark, sf)
     spot = li.groupBy("d").agg(F.avg("strike").alias("spot"))
     return li.join(spot, "d")
 
