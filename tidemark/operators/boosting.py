@@ -204,6 +204,14 @@ def fit(x: np.ndarray, y: np.ndarray, level: float | None, trees: int = TREES, r
     return boost(Memory(binned(x, edges), y, level, bins), edges, level, trees, rate, leaves, least)
 
 
+def _codes(column: pa.Array, features: int) -> np.ndarray:
+    """(rows, features) bins of a binary column, whose values all have a byte for each feature."""
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    first = int(np.frombuffer(offsets, kind, 1, column.offset * np.dtype(kind).itemsize)[0])
+    return np.frombuffer(data, np.uint8, len(column) * features, first).reshape(-1, features)
+
+
 class Rows:
     """Counts over a table of binned rows: each one is a pass in which tasks count their own rows and the counts are added up by leaf."""
 
@@ -221,7 +229,7 @@ class Rows:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, features)
+                codes = _codes(batch.column(2), features)
                 r = batch.column(0).to_numpy() - batch.column(1).to_numpy() - sum(rate * t.predict(codes) for t, rate in later)
                 found = [v.astype(float) for v in count(codes, tree.nodes(codes), r)]
                 sums = found if sums is None else [a + b for a, b in zip(sums, found, strict=True)]
@@ -275,7 +283,9 @@ def scored(table: DataFrame, trees: Sequence[tuple[Tree, float]], features: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, features)
+            if not batch.num_rows:
+                continue
+            codes = _codes(batch.column(2), features)
             more = batch.column(1).to_numpy() + sum(rate * t.predict(codes) for t, rate in trees)
             yield batch.set_column(1, "score", pa.array(more))
 
