@@ -193,8 +193,11 @@ def bronze_projection(spark: SparkSession, sf: str) -> DataFrame:
     return typed.groupBy(S("l_linenumber").cast("long").alias("line")).agg(F.count("open").alias("opens"), F.count("iv").alias("ivs"), r(F.sum("open"), 2).alias("open_sum"), r(F.sum("iv"), 2).alias("iv_sum"))
 
 
-# The affixes of feature names.
-FEATURE_NAME = "^(n225_|cboe_|option_)|(_return|_range|_diff|_level|_days|_var|_semivar|_skew|_kurtosis|_volume_surge|_window_momentum|_count)$|_zscore_|_percentile_"
+# The affixes of this library's feature names.
+PREFIXES = ("bar_", "macro_", "option_")
+ENDINGS = ("_return", "_range", "_count")
+INSIDE = ("_zscore_",)
+FEATURE_NAME = f"^({'|'.join(PREFIXES)})|({'|'.join(ENDINGS)})$|{'|'.join(INSIDE)}"
 SUFFIXES = ["_return", "_range", "_level__source_date", "_zscore_20", "_close", "_count"]
 MEANINGS = [("_return$", "log return"), ("_range$", "log range"), ("_zscore_", "standardised level"), ("_count$", "count")]
 
