@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, boosted, evaluation, extras, features, models, panel, publication, refined, streams
+from . import audit, boosted, chains, evaluation, extras, features, models, panel, publication, refined, streams
 
-GROUPS = [panel, features, evaluation, models, extras, audit, boosted, publication, streams, refined]
+GROUPS = [panel, features, evaluation, models, extras, audit, boosted, publication, streams, refined, chains]
 
 
 def entry(spark: SparkSession) -> DataFrame:
