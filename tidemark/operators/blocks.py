@@ -9,12 +9,14 @@ accumulated along the series.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .store import materialise
 
@@ -247,3 +249,42 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, level: float, window:
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], *[f"{c} double" for c in added[:4]], *[f"{c} long" for c in added[4:]]])
     return together.groupBy(*keys, "__t").applyInArrow(run, schema)
+
+
+def _block_sizes(n: int) -> np.ndarray:
+    from .numerics import block_grid
+
+    return block_grid(n)
+
+
+def block_maxima(df: DataFrame, keys: Sequence[str], x: str, sizes: Callable[[int], Sequence[int]] = _block_sizes, pos: str = "pos", size: int = BLOCK) -> DataFrame:
+    """keys, block, v, m: how often v is the maximum of `block` consecutive rows, for each size that `sizes` gives for the key's number of rows.
+
+    The series is cut into parts at least as long as the longest block; a part also holds the rows before it that its blocks reach, so
+    a row goes to two parts and no task has a whole series.  Equal maxima are counted where they arise.
+    """
+    n = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    longest = F.udf(lambda n: int(max(sizes(n), default=1)), "long")  # once for each key
+    n = n.withColumn("__reach", longest("__n")).withColumn("__size", F.greatest(F.lit(size), F.col("__reach")))
+    rows = _meet(df.select(*keys, pos, F.col(x).cast("double").alias("__x")), n, keys)
+    last = F.least(F.floor((F.col(pos) + F.col("__reach") - 1) / F.col("__size")), F.floor((F.col("__n") - 1) / F.col("__size")))
+    rows = rows.withColumn("__part", F.explode(F.sequence(F.floor(F.col(pos) / F.col("__size")), last)))
+    schema = StructType([*[df.schema[k] for k in keys], StructField("block", LongType()), StructField("v", DoubleType()), StructField("m", LongType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        values, places = pdf["__x"].to_numpy(), pdf[pos].to_numpy()
+        start = int(pdf["__part"].iloc[0]) * int(pdf["__size"].iloc[0])
+        own = int((places < start).sum())
+        found = []
+        for b in map(int, sizes(int(pdf["__n"].iloc[0]))):
+            part = values[max(0, own - b + 1) :]
+            if len(part) >= b:
+                v, m = np.unique(np.lib.stride_tricks.sliding_window_view(part, b).max(1), return_counts=True)
+                found.append(pd.DataFrame({"block": b, "v": v, "m": m}))
+        out = pd.concat(found) if found else pd.DataFrame({"block": [], "v": [], "m": []})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[schema.names]
+
+    return rows.groupBy(*keys, "__part").applyInPandas(run, schema)

@@ -177,17 +177,19 @@ def plateau_window(x: np.ndarray, y: np.ndarray, least: int = 5, trim: float = 0
     return int(a[best]), int(b[best]), float(score[best])
 
 
-def block_shape(losses: np.ndarray) -> dict[str, float]:
-    """Shape by block maxima: slope of log median sliding maximum on log block size over the plateau window."""
-    points = []
-    for b in block_grid(len(losses)):
-        m = float(np.median(np.lib.stride_tricks.sliding_window_view(losses, b).max(1)))
-        if m > 0:
-            points.append((math.log(b), math.log(m)))
-    x, y = np.array(points).T
+def shape_of_medians(points: list[tuple[float, float]]) -> dict[str, float]:
+    """Shape from (block size, median of its maxima): slope of the logarithms over the plateau window."""
+    x, y = np.array([(math.log(b), math.log(m)) for b, m in points if m > 0]).T
     start, stop, score = plateau_window(x, y)
     _, slope, se = ols_hc0(x[start:stop], y[start:stop])
-    return {"shape": slope, "standard_error": se, "score": score, "points": float(stop - start), "low_block": float(round(math.exp(x[start]))), "high_block": float(round(math.exp(x[stop - 1])))}
+    low, high = float(round(math.exp(x[start]))), float(round(math.exp(x[stop - 1])))
+    return {"shape": slope, "standard_error": se, "score": score, "points": float(stop - start), "low_block": low, "high_block": high}
+
+
+def block_shape(losses: np.ndarray) -> dict[str, float]:
+    """Shape by block maxima: slope of log median sliding maximum on log block size over the plateau window."""
+    maxima = lambda b: np.lib.stride_tricks.sliding_window_view(losses, b).max(1)
+    return shape_of_medians([(b, float(np.median(maxima(b)))) for b in block_grid(len(losses))])
 
 
 def gpd_scale(excess: np.ndarray, xi: float, steps: int = 100) -> tuple[float, bool]:

@@ -24,12 +24,12 @@ def _match(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right, same).drop(*[f"__r_{c}" for c in on])
 
 
-def order_statistics(df: DataFrame, keys: Sequence[str], x: str, quantiles: Mapping[str, float], trims: Mapping[str, float] | None = None) -> DataFrame:
+def order_statistics(df: DataFrame, keys: Sequence[str], x: str, quantiles: Mapping[str, float], trims: Mapping[str, float] | None = None, weight: str | None = None) -> DataFrame:
     """keys, n, an interpolated quantile of x for each name in `quantiles`, and for each in `trims` the mean without the int(share * n) lowest
-    and highest values.  Nulls and NaN are left out; a group without values has no row."""
+    and highest values.  Nulls and NaN are left out; a group without values has no row.  `weight` says how many times a row counts (once)."""
     trims = dict(trims or {})
     value = F.col(x).cast("double")
-    counts = df.filter(F.col(x).isNotNull() & ~F.isnan(value)).groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("__n"))
+    counts = df.filter(F.col(x).isNotNull() & ~F.isnan(value)).groupBy(*keys, value.alias("__v")).agg((F.sum(weight) if weight else F.count("*")).alias("__n"))
     counts = counts.withColumn("__bin", F.floor(F.asinh(F.col("__v") / SCALE) * BINS))
     bins = counts.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__n"), F.sum(F.col("__n") * F.col("__v")).alias("__s"))
     group = Window.partitionBy(*keys)
@@ -59,3 +59,14 @@ def order_statistics(df: DataFrame, keys: Sequence[str], x: str, quantiles: Mapp
     out = _match(known, inside.groupBy(*keys).agg(*found), keys)
     between = lambda name, h: F.col(f"__lo_{name}") + (h - F.floor(h)) * (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))
     return out.select(*keys, total.alias("n"), *[between(n, h).alias(n) for n, h in place.items()], *[((F.col(f"__k_{n}") + F.col(f"__c_{n}")) / (hi - lo)).alias(n) for n, (lo, hi) in ends.items()])
+
+
+def exceedances(df: DataFrame, keys: Sequence[str], x: str, grid: Mapping[str, float]) -> DataFrame:
+    """keys, q, n, u, below, x: the values above the quantile u of each level in the grid, with the number of the key's values and
+    the greatest value that is not above u.  The grid is short; each value meets its key's thresholds once."""
+    cuts = order_statistics(df, keys, x, grid)
+    cells = F.array(*[F.struct(F.lit(q).alias("q"), F.col(name).alias("u")) for name, q in grid.items()])
+    cuts = cuts.select(*keys, "n", F.explode(cells).alias("__c")).select(*keys, "n", "__c.*")
+    met = _match(df.select(*keys, x), cuts, keys)
+    inner = met.filter(F.col(x) <= F.col("u")).groupBy(*keys, "q").agg(F.max(x).alias("below"))
+    return _match(met.filter(F.col(x) > F.col("u")), inner, [*keys, "q"])

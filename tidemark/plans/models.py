@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import options
 from ..operators import rolling as R
 from ..operators.quality import table_signature
+from ..operators.reports import expectiles
+from ..operators.select import exceedances, order_statistics
 from ..operators.store import materialise
 from . import views as V
 from .panel import S, r, text
@@ -45,29 +47,43 @@ def _fit(spark: SparkSession, sf: str, schema: str, fit) -> DataFrame:
     return V.losses(spark, sf).groupBy("side").applyInPandas(run, schema)
 
 
+def _over(spark: SparkSession, sf: str, grid: dict[str, float], schema: str, fit, jobs: list[str] | None = None, beside: DataFrame | None = None) -> DataFrame:
+    """One group for each side, threshold and job, with only the losses above the threshold in it: `fit(first row, excesses)` gives a row.
+    `beside` joins columns by side."""
+    e = exceedances(V.losses(spark, sf), ["side"], "loss", grid).withColumn("job", F.explode(F.array(*[F.lit(j) for j in jobs or ["one"]])))
+    if beside is not None:
+        e = e.join(beside, "side")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([fit(pdf.iloc[0], np.sort(pdf.loss.to_numpy(float)) - pdf.u.iloc[0])])
+
+    return e.repartition(2 * len(grid) * len(jobs or [0]), "side", "q", "job").groupBy("side", "q", "job").applyInPandas(run, schema)
+
+
 def pot_gpd_tail(spark: SparkSession, sf: str) -> DataFrame:
-    def fit(side, x, _):
-        from ..operators.numerics import gpd_tail
+    def fit(row, excess):
+        from ..operators.numerics import gpd_fit, gpd_quantiles
 
-        return [{"side": side, **gpd_tail(x, 0.9, 0.99)}]
+        xi, scale = gpd_fit(excess)
+        var, es = gpd_quantiles(row.u, xi, scale, len(excess) / row.n, 0.99)
+        return {"side": row.side, "threshold": row.u, "exceedances": float(len(excess)), "xi": xi, "scale": scale, "var": var, "es": es}
 
-    return _fit(spark, sf, "side string, threshold double, exceedances double, xi double, scale double, var double, es double", fit)
+    return _over(spark, sf, {"q": 0.9}, "side string, threshold double, exceedances double, xi double, scale double, var double, es double", fit)
 
 
 def gpd_stability(spark: SparkSession, sf: str) -> DataFrame:
     """Shape by threshold, with the change to the previous one; the Hill estimate and clipped shape beside it."""
 
-    def fit(side, x, _):
-        from ..operators.numerics import gpd_tail, hill
+    def fit(row, excess):
+        from ..operators.numerics import gpd_fit
 
-        rows, before = [], None
-        for q in (0.80, 0.85, 0.90, 0.925, 0.95):
-            t = gpd_tail(x, q, 0.99)
-            rows.append({"side": side, "q": q, "xi": t["xi"], "capped_xi": min(max(t["xi"], -0.5), 0.5), "delta": None if before is None else t["xi"] - before, "hill": hill(x, int(t["exceedances"]))})
-            before = t["xi"]
-        return rows
+        xi = gpd_fit(excess)[0]
+        return {"side": row.side, "q": row.q, "xi": xi, "capped_xi": min(max(xi, -0.5), 0.5), "hill": float(np.log((excess + row.u) / row.below).mean())}
 
-    return _fit(spark, sf, "side string, q double, xi double, capped_xi double, delta double, hill double", fit)
+    grid = {f"q{i}": q for i, q in enumerate((0.80, 0.85, 0.90, 0.925, 0.95))}
+    out = _over(spark, sf, grid, "side string, q double, xi double, capped_xi double, hill double", fit)
+    before = F.lag("xi").over(Window.partitionBy("side").orderBy("q"))
+    return out.select("side", "q", "xi", "capped_xi", (S("xi") - before).alias("delta"), "hill")
 
 
 def evi_anchor(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,34 +129,36 @@ def caviar_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_maxima_shape(spark: SparkSession, sf: str) -> DataFrame:
-    """Tail shape by medians of sliding block maxima over the best plateau, with a robust standard error."""
+    """Tail shape by medians of sliding block maxima over the best plateau, with a robust standard error.  Maxima come from parts of the
+    series and medians from counts; only a median for each block size reaches the fit."""
+    from ..operators import blocks as B
 
-    def fit(side, x, _):
-        from ..operators.numerics import block_shape
+    series = materialise(B.positions(V.losses(spark, sf), ["side"], "d"), "positions")
+    medians = order_statistics(B.block_maxima(series, ["side"], "loss"), ["side", "block"], "v", {"median": 0.5}, weight="m")
 
-        return [{"side": side, **block_shape(x)}]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from ..operators.numerics import shape_of_medians
+
+        points = pdf.sort_values("block")[["block", "median"]].itertuples(index=False, name=None)
+        return pd.DataFrame([{"side": pdf.side.iloc[0], **shape_of_medians(list(points))}])
 
-    return _fit(spark, sf, "side string, shape double, standard_error double, score double, points double, low_block double, high_block double", fit)
+    return medians.select("side", "block", "median").groupBy("side").applyInPandas(run, "side string, shape double, standard_error double, score double, points double, low_block double, high_block double")
 
 
 def evt_shape_variants(spark: SparkSession, sf: str) -> DataFrame:
     """The tail under the shape of greatest likelihood and under the block-maxima shape, with the scale refitted to it; neither
     stands in for the other."""
 
-    def fit(side, x, _):
-        from ..operators.numerics import block_shape, gpd_fit, gpd_quantiles, gpd_scale
+    def fit(row, excess):
+        from ..operators.numerics import gpd_fit, gpd_quantiles, gpd_scale
 
-        u = float(np.quantile(x, 0.9))
-        excess = x[x > u] - u
-        rows = []
-        for variant, xi in (("plain_mle", gpd_fit(excess)[0]), ("unibm", block_shape(x)["shape"])):
-            xi = float(np.clip(xi, -0.5, 0.5))
-            scale, inside = gpd_scale(excess, xi)
-            var, es = gpd_quantiles(u, xi, scale, len(excess) / len(x), 0.99)
-            rows.append({"side": side, "variant": variant, "xi": xi, "scale": scale, "status": "ok" if inside else "support_violation", "var": var, "es": es})
-        return rows
+        xi = float(np.clip(gpd_fit(excess)[0] if row.job == "plain_mle" else row["shape"], -0.5, 0.5))
+        scale, inside = gpd_scale(excess, xi)
+        var, es = gpd_quantiles(row.u, xi, scale, len(excess) / row.n, 0.99)
+        return {"side": row.side, "variant": row.job, "xi": xi, "scale": scale, "status": "ok" if inside else "support_violation", "var": var, "es": es}
 
-    return _fit(spark, sf, "side string, variant string, xi double, scale double, status string, var double, es double", fit)
+    schema = "side string, variant string, xi double, scale double, status string, var double, es double"
+    return _over(spark, sf, {"q": 0.9}, schema, fit, ["plain_mle", "unibm"], block_maxima_shape(spark, sf).select("side", "shape"))
 
 
 def gas_pot_tail(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,15 +219,14 @@ def cross_suite_dm(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(_suites(spark, sf), "fz_loss")
 
 
-def expectile_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The expectile level whose breach rate comes nearest to the target."""
+#: Expectile levels among which the one is sought whose breach rate comes nearest to the target.
+TAUS = (0.9, 0.95, 0.97, 0.98, 0.99, 0.995)
 
-    def fit(side, x, _):
-        from ..operators.numerics import expectile
-
-        return [{"side": side, "tau": t, "expectile": (e := expectile(x, t)), "breach_rate": float((x > e).mean())} for t in (0.9, 0.95, 0.97, 0.98, 0.99, 0.995)]
 
-    return _fit(spark, sf, "side string, tau double, expectile double, breach_rate double", fit).withColumn("distance", F.abs(S("breach_rate") - (1 - V.LEVEL)))
+def expectile_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact sample expectiles with their breach rates, and how far these are from the target."""
+    e = expectiles(V.losses(spark, sf), ["side"], "loss", TAUS)
+    return e.select("side", "tau", r("expectile").alias("expectile"), r("breach_rate").alias("breach_rate"), r(F.abs(S("breach_rate") - (1 - V.LEVEL))).alias("distance"))
 
 
 def signature(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,6 +286,13 @@ Q = {f.__name__: f for f in (
 )} | {"table_signature": signature}
 
 SQL = {
+    "expectile_grid": f"""WITH {V.LOSSES}, t AS (SELECT CAST(unnest({list(TAUS)}) AS DOUBLE) AS tau),
+      w AS (SELECT side, loss AS v, lead(loss) OVER w AS nx, row_number() OVER w AS k, sum(loss) OVER (w ROWS UNBOUNDED PRECEDING) AS s, count(*) OVER (PARTITION BY side) AS n,
+        sum(loss) OVER (PARTITION BY side) AS total FROM losses WINDOW w AS (PARTITION BY side ORDER BY loss)),
+      e AS (SELECT *, (tau * (total - s) + (1 - tau) * s) / (tau * (n - k) + (1 - tau) * k) AS e FROM w, t),
+      b AS (SELECT side, tau, e FROM e QUALIFY row_number() OVER (PARTITION BY side, tau ORDER BY greatest(v - e, coalesce(e - nx, 0), 0), v DESC) = 1),
+      g AS (SELECT side, tau, e, avg(CASE WHEN loss > e THEN 1.0 ELSE 0.0 END) AS rate FROM b JOIN losses USING (side) GROUP BY 1, 2, 3)
+      SELECT side, tau, round(e, 6) AS expectile, round(rate, 6) AS breach_rate, round(abs(rate - {1 - V.LEVEL}), 6) AS distance FROM g""",
     "scan_partition_prune": """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, o_totalprice, o_orderpriority FROM orders)
       SELECT year(d) AS year, month(d) AS month, o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM o WHERE d BETWEEN DATE '1996-03-15' AND DATE '1996-06-10' AND o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2, 3""",
     "csv_alias_and_null_marker": f"WITH {V.MACRO} SELECT CAST(week AS VARCHAR) AS week, CASE WHEN dayofyear(week) % 5 <> 0 THEN round(level, 2) END AS level FROM macro",
