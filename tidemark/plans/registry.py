@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, boosted, chains, evaluation, extras, features, models, panel, publication, refined, reports, streams
+from . import audit, boosted, chains, evaluation, extras, features, gains, models, panel, publication, refined, reports, streams
 
-GROUPS = [panel, features, evaluation, models, extras, audit, boosted, publication, streams, refined, chains, reports]
+GROUPS = [panel, features, evaluation, models, extras, audit, boosted, publication, streams, refined, chains, reports, gains]
 
 
 def entry(spark: SparkSession) -> DataFrame:
