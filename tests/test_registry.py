@@ -15,6 +15,8 @@ NAMES = [
     "daily_gap_losses", "asof_record_tolerance", "asof_per_feature", "asof_strict_latest_close", "calendar_dense_flags", "contract_roll_table", "opra_ticker_parse",
     "leakage_status_counts", "session_interleaved_moments", "option_surface_daily", "intraday_late_session", "stress_episodes", "forecast_metrics",
     "common_sample_eviction", "murphy_curves", "sessionize_events", "scan_partition_prune", "csv_alias_and_null_marker",
+    "spaced_extremes", "expectile_grid", "option_bronze_rows", "option_state_map", "volatility_index_map", "sample_audits", "threshold_diagnostics", "stress_regimes",
+    "information_saturation", "combined_start",
 ]
 
 

@@ -220,6 +220,11 @@ EXCESS = f"""{V.LOSSES}, q AS (SELECT side, quantile_cont(loss, 0.95) AS q FROM
 i AS (SELECT side, loss, row_number() OVER (PARTITION BY side ORDER BY d) AS i, count(*) OVER (PARTITION BY side) AS n FROM losses),
 t AS (SELECT side, n, i - lag(i) OVER (PARTITION BY side ORDER BY i) AS t FROM i JOIN q USING (side) WHERE loss > q)"""
 SQL = {
+    "spaced_extremes": f"""WITH {V.LOSSES}, q AS (SELECT side, quantile_cont(loss, 0.95) AS q FROM losses GROUP BY 1),
+      t AS (SELECT side, list([{{'v': loss, 'd': d}}] ORDER BY loss DESC, d) AS h FROM losses JOIN q USING (side) WHERE loss > q GROUP BY 1),
+      p AS (SELECT side, list_reduce(h, lambda a, x: CASE WHEN len(a) < 10 AND len(list_filter(a, lambda y: abs(date_diff('day', y.d, x[1].d)) < 30)) = 0 THEN list_concat(a, x) ELSE a END) AS p FROM t),
+      u AS (SELECT side, unnest(p) AS e, generate_subscripts(p, 1) AS rank FROM p)
+      SELECT side, rank, CAST(e.d AS VARCHAR) AS d, round(e.v, 6) AS loss FROM u""",
     "rolling_history_stats": f"""WITH {V.GAPS} SELECT {D}, round(lag(gap, 1) OVER w, 6) AS lag_1, round(lag(gap, 5) OVER w, 6) AS lag_5, round(avg(gap) OVER p, 6) AS mean_20, round(stddev_samp(gap) OVER p, 6) AS sd_20,
       round(quantile_cont(gap, 0.95) OVER p, 6) AS q95_20, round(avg(gap) OVER a, 6) + 0 AS mean_all, round(CASE WHEN count(gap) OVER p >= 20 THEN max(gap) OVER p END, 6) AS max_20 FROM gaps
       WINDOW w AS (ORDER BY d), p AS (ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), a AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
