@@ -107,3 +107,56 @@ def test_windows_and_availability(spark, tmp_path):
     gaps = written(spark, f"{tmp_path}/gaps", [[(0, START, START, 1.0), (0, START + dt.timedelta(minutes=5), START, 1.0), (0, START + dt.timedelta(hours=2), START, 1.0), (1, START + dt.timedelta(hours=9), START, 1.0)]], schema)
     sessions, _ = run(spark, availability.session_clusters(gaps, ["u"], "ts", "30 minutes", "1 hour"), f"{tmp_path}/3")
     assert sorted((r.u, r.w.start, r.events) for r in sessions) == [(0, START, 2), (0, START + dt.timedelta(hours=2), 1)]
+
+
+class Held:
+    """The state of one key in memory."""
+
+    def __init__(self):
+        self.data, self.timers = {}, []
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return Held()
+
+    getListState = getMapState
+    exists = lambda self: "v" in self.data
+    get = lambda self: self.data["v"]
+    getValue = lambda self, k: self.data.get(k)
+    removeKey = lambda self, k: self.data.pop(k)
+    iterator = lambda self: iter(list(self.data.items()))
+    listTimers = lambda self: iter(self.timers)
+
+    def update(self, v):
+        self.data["v"] = v
+
+    def updateValue(self, k, v):
+        self.data[k] = v
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_waiting_rows_come_up_an_hour_at_a_time(monkeypatch):
+    """A task never holds more of a key than the rows of one slot, and what it gives does not change."""
+    import pandas as pd
+
+    monkeypatch.setattr(ordered, "GATHERED", 50)
+    rng = random.Random(3)
+    us = [rng.randrange(40 * ordered.SLOT) for _ in range(400)]
+    x = [rng.gauss(0, 2) for _ in us]
+    at = lambda ms: type("Times", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    state, f = Held(), ordered.OrderedFilter("k", (0.05, 0.8, 0.25), 0.5)
+    f.init(state)
+    frame = pd.DataFrame({"us": us, "id": range(400), "x": x})
+    assert not list(f.handleInputRows(("a",), (frame[k : k + 20] for k in range(0, 400, 20)), at(-1)))
+    end = 30 * ordered.SLOT // 1000 + 1_800_000
+    out = [*f.handleExpiredTimer(("a",), at(end), None), *f.handleExpiredTimer(("a",), at(41 * ordered.SLOT // 1000), None)]
+    assert len(out) > 30 and all(len(set(o.us // ordered.SLOT)) == 1 for o in out if len(o))
+    got, v, want = pd.concat(out), 0.5, []
+    for t, k in sorted(zip(us, range(400), strict=True)):
+        want.append((t, k, v))
+        v = 0.05 + 0.8 * v + 0.25 * abs(x[k])
+    assert list(zip(got.us, got.id, got.forecast, strict=True)) == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,11 +13,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+#: Microseconds of event time whose waiting rows of a key lie together, and rows that a task gathers before it puts them there.
+SLOT, GATHERED = 3_600_000_000, 200_000
+ROW = [("us", "<i8"), ("id", "<i8"), ("x", "<f8")]
+
+
 class OrderedFilter(StatefulProcessor):
     """v' = p0 + p1 v + p2 |x|, over the rows of a key in the order of (event time, id), whatever the order in which they come.
 
-    Rows wait in a list until the watermark has passed them; a timer at the earliest of them brings them up.  A row comes out with the forecast
-    that was made before it.  Rows that come after the watermark has passed their time come out at once, without a forecast.
+    Rows wait until the watermark has passed them; a timer at the earliest of them brings them up.  They wait by slots of an hour, so that a
+    task holds the rows of one slot at a time, whatever a key has.  A row comes out with the forecast that was made before it.  Rows that come
+    after the watermark has passed their time come out at once, without a forecast.
     """
 
     def __init__(self, key: str, p: tuple[float, float, float], start: float):
@@ -25,48 +32,76 @@ class OrderedFilter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.v = handle.getValueState("v", "v double")
-        self.waiting = handle.getListState("waiting", "us long, id long, x double")
+        self.slots = handle.getMapState("slots", "slot long", "parts long, first long")
+        self.parts = handle.getMapState("parts", "slot long, part long", "rows binary")
 
-    def _out(self, key: tuple, rows: list[tuple], late: bool):
+    def _out(self, key: tuple, rows: np.ndarray, forecast: list[float] | None):
         import pandas as pd
 
-        us, ids, x, v = zip(*rows, strict=True)
-        return pd.DataFrame({self.key: [key[0]] * len(rows), "us": us, "id": ids, "x": x, "forecast": pd.Series(v, dtype="float64"), "late": late})
+        v = pd.Series([None] * len(rows) if forecast is None else forecast, dtype="float64")
+        return pd.DataFrame({self.key: [key[0]] * len(rows), "us": rows["us"], "id": rows["id"], "x": rows["x"], "forecast": v, "late": forecast is None})
 
     def _wait_for(self, first: int) -> None:
         self.handle.registerTimer(-(-first // 1000))
 
+    def _put(self, gathered: list[np.ndarray]) -> None:
+        rows = np.sort(np.concatenate(gathered), order=["us", "id"])
+        slots, at = np.unique(rows["us"] // SLOT, return_index=True)
+        for slot, some in zip(slots.tolist(), np.split(rows, at[1:]), strict=True):
+            parts, first = self.slots.getValue((slot,)) or (0, int(some["us"][0]))
+            self.parts.updateValue((slot, parts), (some.tobytes(),))
+            self.slots.updateValue((slot,), (parts + 1, min(first, int(some["us"][0]))))
+        first = int(rows["us"][0])
+        if not any(t * 1000 <= first for t in self.handle.listTimers()):
+            self._wait_for(first)
+
+    def _take(self, slot: int, parts: int) -> np.ndarray:
+        """The rows of a slot in order; they no longer wait."""
+        rows = np.concatenate([np.frombuffer(self.parts.getValue((slot, k))[0], ROW) for k in range(parts)])
+        for k in range(parts):
+            self.parts.removeKey((slot, k))
+        self.slots.removeKey((slot,))
+        return np.sort(rows, order=["us", "id"])
+
     def handleInputRows(self, key: tuple, rows: Iterator, timerValues) -> Iterator:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        late = []
+        held = []
         for pdf in rows:
-            new = list(zip(pdf.us.tolist(), pdf.id.tolist(), pdf.x.tolist(), strict=True))
-            late += [(*r, None) for r in new if r[0] <= passed]
-            if held := [r for r in new if r[0] > passed]:
-                self.waiting.appendList(held)
-                first = min(held)[0]
-                if not any(t * 1000 <= first for t in self.handle.listTimers()):
-                    self._wait_for(first)
-        if late:
-            yield self._out(key, sorted(late), True)
+            pdf = pdf[pdf.us.notna()]
+            new = np.empty(len(pdf), ROW)
+            new["us"], new["id"], new["x"] = pdf.us.astype("int64"), pdf.id.astype("int64"), pdf.x
+            late = new["us"] <= passed
+            if late.any():
+                yield self._out(key, np.sort(new[late], order=["us", "id"]), None)
+            if not late.all():
+                held.append(new[~late])
+            if sum(map(len, held)) >= GATHERED:
+                self._put(held)
+                held = []
+        if held:
+            self._put(held)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] <= passed]
-        rest = rows[len(due) :]
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self._wait_for(rest[0][0])  # the timer that has expired may still be listed
-        if due:
+        slots = sorted((k[0], v[0], v[1]) for k, v in self.slots.iterator())
+        for slot, parts, first in slots:
+            if first > passed:
+                self._wait_for(first)  # the timer that has expired may still be listed
+                break
+            rows = self._take(slot, parts)
+            due, rest = rows[rows["us"] <= passed], rows[rows["us"] > passed]
             v = self.v.get()[0] if self.v.exists() else self.start
             out = []
-            for us, k, x in due:
-                out.append((us, k, x, v))
+            for x in due["x"].tolist():
+                out.append(v)
                 v = self.p[0] + self.p[1] * v + self.p[2] * abs(x)
             self.v.update((v,))
-            yield self._out(key, out, False)
+            yield self._out(key, due, out)
+            if len(rest):
+                self.parts.updateValue((slot, 0), (rest.tobytes(),))
+                self.slots.updateValue((slot,), (1, int(rest["us"][0])))
+                self._wait_for(int(rest["us"][0]))
+                break
 
     def close(self) -> None:
         pass
