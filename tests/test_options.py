@@ -59,3 +59,12 @@ def test_daily_state_of_a_day_without_calls(spark):
     out = O.daily_state(O.silver(bronze(spark, [("2020-01-06", "1", "5")], "Date string, PCDiv string, OI string")))
     row = out.withColumn("n", F.lit(1)).first()
     assert row.option_put_call_interest is None and row.option_night_share == 0.0 and row.option_weighted_iv is None
+
+
+def test_numbers_are_cast_once_and_only_where_they_have_a_digit(spark):
+    """Typed rows of bronze rows read the doubles as they are; before, each passed through text again and its cast stood many times in the plan."""
+    raw = spark.createDataFrame([("2020-01-06", "5"), ("2020-01-07", "-"), ("2020-01-08", "Infinity"), ("2020-01-09", "1e2")], "Date string, IV string")
+    typed = O.silver(O.bronze(raw, DAY, "/x", NOW)).select("trading_date", "implied_volatility")
+    plan = typed._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("as double") == 1 and plan.count("rlike") == 1
+    assert [r[1] for r in typed.orderBy("trading_date").collect()] == [0.05, None, None, 1.0]

@@ -26,17 +26,38 @@ TEXTS = {
 }
 NIGHT = {"night_open": "EO", "night_high": "EH", "night_low": "EL", "night_close": "EC"}
 PRICES = NIGHT | {"settlement": "Settle", "theoretical": "Theo", "strike": "Strike", "underlying": "UnderPx"}
+#: Numbers that typed rows have.
+SILVER = [*PRICES.values(), "Vo", "OI", "BaseVol", "IV", "IR"]
 
 
-def _field(rows: DataFrame, short: str, long: str) -> Column:
-    """The short field's text, or the long one's where the short is missing or blank; either column may be absent."""
-    have = {c.lower(): c for c in rows.columns}
-    found = [F.col(f"`{have[n.lower()]}`").cast("string") for n in dict.fromkeys((short, long)) if n.lower() in have]
+def _field(kinds: Mapping[str, str], short: str, long: str) -> Column:
+    """The short field's text, or the long one's where the short is missing or blank; either column may be absent.  `kinds`: types by column."""
+    found = [F.col(f"`{c}`").cast("string") for c in _found(kinds, short, long)]
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in found]) if found else F.lit(None).cast("string")
 
 
-def _number(text: Column) -> Column:
-    return X.finite(text.try_cast("double"))
+def _found(kinds: Mapping[str, str], short: str, long: str) -> list[str]:
+    have = {c.lower(): c for c in kinds}
+    return [have[n.lower()] for n in dict.fromkeys((short, long)) if n.lower() in have]
+
+
+def _cast(text: Column) -> Column:
+    """A failed cast raises an error inside the JVM, which costs more than the rest of the row: what has no digit (the vendor's dashes) is not cast."""
+    return F.when(text.rlike("[0-9]"), text.try_cast("double"))
+
+
+def _number(kinds: Mapping[str, str], short: str, long: str) -> Column:
+    """The field's finite number; columns that are doubles already do not pass through text.
+
+    The steps are functions over an array of one, whose argument is worked out once.  Spark also leaves projections with such functions out
+    of whole-stage code, where all fields would stand in one method, too long for the JIT to compile.
+    """
+    found = _found(kinds, short, long)
+    if found and all(kinds[c] == "double" for c in found):
+        value = F.array(F.coalesce(*[F.col(f"`{c}`") for c in found]))
+    else:
+        value = F.transform(F.array(_field(kinds, short, long)), _cast)
+    return F.transform(value, X.finite)[0]
 
 
 def bronze(rows: DataFrame, requested: dt.date, endpoint: str, downloaded: dt.datetime, carry: Sequence[str] = ()) -> DataFrame:
@@ -45,9 +66,10 @@ def bronze(rows: DataFrame, requested: dt.date, endpoint: str, downloaded: dt.da
     A field comes from its short header, or from the long one if that is blank; what is no finite number is null, also where the
     long field holds one.  A row without a date takes the requested one.  `carry` names columns that are kept beside them.
     """
-    day = F.coalesce(_field(rows, "Date", "Date"), F.lit(requested.isoformat()))
-    texts = [_field(rows, s, long).alias(s) for s, long in TEXTS.items()]
-    numbers = [_number(_field(rows, s, long)).alias(s) for s, long in NUMBERS.items()]
+    kinds = dict(rows.dtypes)
+    day = F.coalesce(_field(kinds, "Date", "Date"), F.lit(requested.isoformat()))
+    texts = [_field(kinds, s, long).alias(s) for s, long in TEXTS.items()]
+    numbers = [_number(kinds, s, long).alias(s) for s, long in NUMBERS.items()]
     source = [F.lit(endpoint).alias("source_endpoint"), F.lit(requested.isoformat()).alias("requested_date"), F.lit(downloaded).alias("downloaded")]
     return rows.select(*carry, day.alias("Date"), *texts, *numbers, *source)
 
@@ -57,13 +79,16 @@ def silver(rows: DataFrame, zone: str = "Asia/Tokyo", carry: Sequence[str] = ())
 
     A day's row is known at three in the morning of the next day, exchange time.  Rows without a valid date are left out.
     """
-    text = lambda s: _field(rows, s, TEXTS[s])
-    number = lambda s: _number(_field(rows, s, NUMBERS[s]))
-    positive = lambda s: X.positive(number(s))
-    day = F.try_to_date(_field(rows, "Date", "Date"), "yyyy-MM-dd")
+    kinds = dict(rows.dtypes)
+    texts = [_field(kinds, s, TEXTS[s]).alias(f"__{s}") for s in TEXTS]
+    read = rows.select(*carry, _field(kinds, "Date", "Date").alias("__Date"), *texts, *[_number(kinds, s, NUMBERS[s]).alias(f"__{s}") for s in SILVER])
+    text = lambda s: F.col(f"__{s}")
+    number = text
+    positive = lambda s: F.when(number(s) > 0, number(s))
+    day = F.try_to_date(text("Date"), "yyyy-MM-dd")
     flag = F.lower(text("CCMFlag"))
     known = F.to_utc_timestamp(F.date_add("trading_date", 1).cast("timestamp") + F.expr("INTERVAL 3 HOURS"), zone)
-    return rows.select(
+    return read.select(
         *carry,
         day.alias("trading_date"),
         text("Code").alias("option_code"),
