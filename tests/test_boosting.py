@@ -80,6 +80,47 @@ def test_rows_without_values_or_choice(spark):
         boosting.fit_rows(frame(spark, x, np.full(60, np.nan)), ["f0"], "y", 0.5)
 
 
+def test_tables_of_leaves_give_the_nodes_of_a_walk():
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 16, (5000, 4)).astype(np.uint8)
+    for leaves in (1, 2, 20, 64, 65, 150):
+        tree = boosting.Tree()
+        while tree.feature.count(-1) < leaves:
+            node = int(rng.choice([k for k, f in enumerate(tree.feature) if f < 0]))
+            if len(np.unique(some := codes[tree.nodes(codes) == node], axis=0)) > 1:
+                f = int(rng.choice([k for k in range(4) if len(np.unique(some[:, k])) > 1]))
+                tree.split(node, f, int(rng.choice(np.unique(some[:, f])[:-1])))
+        look = boosting.Leaves(tree)
+        assert (np.array(look.ends)[look.places(codes.T)] == tree.nodes(codes)).all()
+
+
+def test_one_part_is_dealt_over_all_tasks_in_blocks(spark, monkeypatch):
+    """Passes over a file of one part had one task, whatever the cores, and moved single rows."""
+    monkeypatch.setattr(boosting, "BLOCK", 100)
+    x, y = data(1500, 3)
+    y[7] = np.nan
+    df = frame(spark, x, y).coalesce(1)
+    names = [f"f{k}" for k in range(5)]
+    edges = boosting.sketched_edges(df, names, 16)
+    table = boosting.binned_rows(df, names, "y", edges)
+    parts = [len(p) for p in table.rdd.glom().collect()]
+    assert sum(parts) == 15 and max(parts) <= 3
+    blocks = table.collect()
+    assert sum(b.rows for b in blocks) == 1499 and max(b.rows for b in blocks) == 100
+    pairs = sorted((v, *c) for b in blocks for v, c in zip(np.frombuffer(b.y).tolist(), np.frombuffer(b.codes, np.uint8).reshape(5, -1).T.tolist(), strict=True))
+    good = np.isfinite(y)
+    assert pairs == sorted((v, *c) for v, c in zip(y[good].tolist(), boosting.binned(x[good], edges).tolist(), strict=True))
+
+
+def test_a_quantile_tree_takes_a_pass_for_each_level_and_two_for_its_leaves(spark, monkeypatch):
+    x, y = data(600, 5)
+    passes, passed = [], boosting.Rows._passed
+    monkeypatch.setattr(boosting.Rows, "_passed", lambda self, tree, *a: passes.append(len(tree.feature)) or passed(self, tree, *a))
+    model = boosting.fit_rows(frame(spark, x, y), [f"f{k}" for k in range(5)], "y", 0.8, trees=2, rate=0.3, leaves=4, bins=16)
+    assert [sum(f < 0 for f in t.feature) for t in model.trees] == [4, 4]
+    assert passes == [1, 1, *[1, 3, 7, 7] * 2]
+
+
 def test_boosted_jobs_stand_alone_and_see_no_later_day(spark):
     rng = np.random.default_rng(4)
     days = [dt.date(2019, 1, 1) + dt.timedelta(days=k) for k in range(470)]

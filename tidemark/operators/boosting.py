@@ -7,7 +7,7 @@ quantile is read from counts in two steps, a coarse one over the range of all re
 a fine one inside the bin that holds it, so that it needs no sort and counts add up.
 
 Both sources of counts, arrays in memory and a table in Spark, serve the same growth; with quantile loss all sums are integers, so
-that both give the same trees.
+that both give the same trees.  A table's rows lie in blocks, dealt evenly over the tasks whatever the layout of the input.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BINS = 64
 STEPS = 1024
 #: Trees after which scores over a table are written anew.
 REFRESH = 10
+#: Rows in a block of a table.
+BLOCK = 20_000
 
 
 @dataclass
@@ -64,6 +66,39 @@ class Tree:
         return np.array(self.value)[self.nodes(codes)]
 
 
+class Leaves:
+    """A tree as tables: bit k of a feature's bin is set where leaf k may hold it, so that a row's leaf is the bit that all its bins share."""
+
+    def __init__(self, tree: Tree):
+        self.ends = [k for k, f in enumerate(tree.feature) if f < 0]
+        self.values = np.array(tree.value)[self.ends]
+        self.used = sorted({f for f in tree.feature if f >= 0})
+        spans: dict[int, dict[int, tuple[int, int]]] = {0: {}}  # by node and feature: its bins, end exclusive
+        for node, f in enumerate(tree.feature):
+            if f >= 0:
+                box = spans.pop(node)
+                low, high = box.get(f, (0, 256))
+                spans[tree.left[node]], spans[tree.right[node]] = box | {f: (low, tree.cut[node] + 1)}, box | {f: (tree.cut[node] + 1, high)}
+        self.words = np.zeros((-(-len(self.ends) // 64), len(self.used), 256), np.uint64)
+        for k, end in enumerate(self.ends):
+            for row, f in enumerate(self.used):
+                self.words[k // 64, row, slice(*spans[end].get(f, (0, 256)))] |= np.uint64(1 << k % 64)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """The place in `ends` of the leaf of each column of (feature, row) bins."""
+        at = np.zeros(codes.shape[1], np.int64)
+        for k, table in enumerate(self.words) if self.used else ():
+            bits = table[0][codes[self.used[0]]]
+            for row, f in enumerate(self.used[1:], 1):
+                bits &= table[row][codes[f]]
+            place = np.frexp(bits.astype(float))[1]  # 1 + the place of the bit, 0 without one
+            at += place if not k else np.where(place > 0, place + 64 * k, 0)
+        return at - 1 if self.used else at
+
+    def predict(self, codes: np.ndarray) -> np.ndarray:
+        return self.values[self.places(codes)]
+
+
 @dataclass
 class Model:
     edges: list[np.ndarray]
@@ -138,13 +173,13 @@ def grow(counts, leaf_values, level: float | None, leaves: int, least: int) -> T
     return tree
 
 
-def quantile_from(count, n: np.ndarray, low: float, high: float, level: float) -> np.ndarray:
+def quantile_from(count, leaves: int, low: float, high: float, level: float) -> np.ndarray:
     """Quantile of each leaf's residuals by counts: `count(low, width)` gives (leaf, STEPS + 2) rows below, in and above the bins of each
     leaf's range; the second call is for the bin that the first one found."""
-    rank = np.maximum(np.ceil(level * n), 1)
-    lows, widths = np.full(len(n), low), np.full(len(n), max(high - low, 1e-300))
+    lows, widths = np.full(leaves, low), np.full(leaves, max(high - low, 1e-300))
     for _ in range(2):
         upto = np.cumsum(count(lows, widths), 1)
+        rank = np.maximum(np.ceil(level * upto[:, -1]), 1)
         at = np.clip((upto >= rank[:, None]).argmax(1) - 1, 0, STEPS - 1)  # column 0 is what lies below
         lows, widths = lows + at / STEPS * widths, widths / STEPS
     return lows + widths / 2
@@ -159,16 +194,15 @@ class Memory:
         self.span = float(y.min()), float(y.max())
 
     def counts(self, tree: Tree, active: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-        self.node = tree.nodes(self.codes)
-        return histograms(self.codes, self.node, active, self.y - self.score, self.level, self.bins)
+        return histograms(self.codes, tree.nodes(self.codes), active, self.y - self.score, self.level, self.bins)
 
     def totals(self, tree: Tree, ends: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-        self.node = np.searchsorted(ends, tree.nodes(self.codes))
-        return np.bincount(self.node, minlength=len(ends)), np.bincount(self.node, self.y - self.score, len(ends))
+        node = np.searchsorted(ends, tree.nodes(self.codes))
+        return np.bincount(node, minlength=len(ends)), np.bincount(node, self.y - self.score, len(ends))
 
-    def residuals(self, tree: Tree, ends: Sequence[int], low: np.ndarray, width: np.ndarray) -> np.ndarray:
-        b = residual_bins(self.y - self.score, low[self.node], width[self.node]) + 1
-        return np.bincount(self.node * (STEPS + 2) + b, minlength=len(ends) * (STEPS + 2)).reshape(len(ends), -1)
+    def residuals(self, tree: Tree, ends: Sequence[int]):
+        node, r = np.searchsorted(ends, tree.nodes(self.codes)), self.y - self.score
+        return lambda low, width: np.bincount(node * (STEPS + 2) + residual_bins(r, low[node], width[node]) + 1, minlength=len(ends) * (STEPS + 2)).reshape(len(ends), -1)
 
     def add(self, tree: Tree, rate: float) -> None:
         self.score += rate * tree.predict(self.codes)
@@ -179,10 +213,10 @@ def boost(source, edges: list[np.ndarray], level: float | None, trees: int, rate
     low, high = source.span
 
     def values(tree: Tree, ends: Sequence[int]) -> np.ndarray:
-        n, s = source.totals(tree, ends)
         if level is None:
+            n, s = source.totals(tree, ends)
             return s / np.maximum(n, 1)
-        return quantile_from(lambda a, w: source.residuals(tree, ends, a, w), n, low, high, level)
+        return quantile_from(source.residuals(tree, ends), len(ends), low, high, level)
 
     first = Tree()
     first.value[0] = float(values(first, [0])[0])
@@ -204,37 +238,43 @@ def fit(x: np.ndarray, y: np.ndarray, level: float | None, trees: int = TREES, r
     return boost(Memory(binned(x, edges), y, level, bins), edges, level, trees, rate, leaves, least)
 
 
-def _codes(column: pa.Array, features: int) -> np.ndarray:
-    """(rows, features) bins of a binary column, whose values all have a byte for each feature."""
-    _, offsets, data = column.buffers()
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    first = int(np.frombuffer(offsets, kind, 1, column.offset * np.dtype(kind).itemsize)[0])
-    return np.frombuffer(data, np.uint8, len(column) * features, first).reshape(-1, features)
+#: A block: its rows, the bounds of y, and y, score (null for zeros) and (feature, row) bins in bytes.
+KIND = "rows int, low double, high double, y binary, score binary, codes binary"
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each block with its y, scores and bins."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            block = {name: batch.column(name)[k] for name in batch.schema.names}
+            y = np.frombuffer(block["y"].as_buffer())
+            score = np.frombuffer(block["score"].as_buffer()) if block["score"].is_valid else np.zeros(len(y))
+            codes = block["codes"].as_buffer()
+            yield block, y, score, (np.frombuffer(codes, np.uint8) if codes.size else np.zeros(0, np.uint8)).reshape(-1, len(y))
 
 
 class Rows:
-    """Counts over a table of binned rows: each one is a pass in which tasks count their own rows and the counts are added up by leaf."""
+    """Counts over a table of blocks: each one is a pass in which tasks count their own rows and the counts are added up by leaf."""
 
     def __init__(self, table: DataFrame, features: int, level: float | None, bins: int):
         self.table, self.features, self.level, self.bins = table, features, level, bins
-        self.later: list[tuple[Tree, float]] = []
-        self.span = tuple(float(v) for v in table.agg(F.min("y"), F.max("y")).first())
+        self.later: list[tuple[Leaves, float]] = []
+        self.span = tuple(float(v) for v in table.agg(F.min("low"), F.max("high")).first())
 
     def _passed(self, tree: Tree, slots: Sequence[int], sizes: tuple[int, int], count) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sums by slot of `count(codes, node, residuals)`, which gives two arrays (slot, size)."""
-        later, features = list(self.later), self.features
+        """Sums by slot of `count(codes, slot, residuals)`, which gives two arrays (slot, size); rows of other leaves have a slot after the last."""
+        later, look, kept = list(self.later), Leaves(tree), len(slots)
+        slot_of = np.array([slots.index(k) if k in slots else kept for k in look.ends])
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes = _codes(batch.column(2), features)
-                r = batch.column(0).to_numpy() - batch.column(1).to_numpy() - sum(rate * t.predict(codes) for t, rate in later)
-                found = [v.astype(float) for v in count(codes, tree.nodes(codes), r)]
+            for _, y, score, codes in _opened(batches):
+                for t, rate in later:
+                    score = score + rate * t.predict(codes)
+                found = count(codes, slot_of[look.places(codes)], y - score)
                 sums = found if sums is None else [a + b for a, b in zip(sums, found, strict=True)]
             if sums is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(slots), dtype=np.int32)), *[pa.array([row.tobytes() for row in v], pa.binary()) for v in sums]], ["slot", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(kept, dtype=np.int32)), *[pa.array([row.astype(float).tobytes() for row in v[:kept]], pa.binary()) for v in sums]], ["slot", "a", "b"])
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list[np.ndarray]] = {}
@@ -252,44 +292,54 @@ class Rows:
 
     def counts(self, tree: Tree, active: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
         level, bins, shape = self.level, self.bins, (len(active), self.features, self.bins)
-        size = self.features * self.bins
-        found = self._passed(tree, active, (size, size), lambda codes, node, r: [h.reshape(len(active), -1) for h in histograms(codes, node, active, r, level, bins)])
+        slots = len(active) + 1
+
+        def count(codes: np.ndarray, slot: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
+            if level is None:
+                at = slot * bins
+                both = [[np.bincount(at + c, w, slots * bins).reshape(slots, bins) for c in codes] for w in (None, r)]
+            else:
+                at = (slot * 2 + (r < 0)) * bins
+                split = [np.bincount(at + c, minlength=2 * slots * bins).reshape(slots, 2, bins) for c in codes]
+                both = [[v.sum(1) for v in split], [v[:, 1] for v in split]]
+            return [np.concatenate(v, 1) for v in both]
+
+        found = self._passed(tree, active, (shape[1] * bins, shape[1] * bins), count)
         return tuple(np.array([f[k] for f in found]).reshape(shape) for k in (0, 1))
 
     def totals(self, tree: Tree, ends: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-        def count(codes: np.ndarray, node: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
-            at = np.searchsorted(ends, node)
-            return [np.bincount(at, minlength=len(ends))[:, None], np.bincount(at, r, len(ends))[:, None]]
+        def count(codes: np.ndarray, slot: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
+            return [np.bincount(slot, minlength=len(ends))[:, None], np.bincount(slot, r, len(ends))[:, None]]
 
         found = self._passed(tree, ends, (1, 1), count)
         return tuple(np.array([f[k][0] for f in found]) for k in (0, 1))
 
-    def residuals(self, tree: Tree, ends: Sequence[int], low: np.ndarray, width: np.ndarray) -> np.ndarray:
-        def count(codes: np.ndarray, node: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
-            at = np.searchsorted(ends, node)
-            b = residual_bins(r, low[at], width[at]) + 1
-            return [np.bincount(at * (STEPS + 2) + b, minlength=len(ends) * (STEPS + 2)).reshape(len(ends), -1), np.zeros((len(ends), 1))]
+    def residuals(self, tree: Tree, ends: Sequence[int]):
+        def passed(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+            def count(codes: np.ndarray, slot: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
+                b = residual_bins(r, low[slot], width[slot]) + 1
+                return [np.bincount(slot * (STEPS + 2) + b, minlength=len(ends) * (STEPS + 2)).reshape(len(ends), -1), np.zeros((len(ends), 1))]
+
+            return np.array([f[0] for f in self._passed(tree, ends, (STEPS + 2, 1), count)])
 
-        return np.array([f[0] for f in self._passed(tree, ends, (STEPS + 2, 1), count)])
+        return passed
 
     def add(self, tree: Tree, rate: float) -> None:
-        self.later.append((tree, rate))
+        self.later.append((Leaves(tree), rate))
         if len(self.later) >= REFRESH:
-            self.table, self.later = materialise(scored(self.table, self.later, self.features), "scores"), []
+            self.table, self.later = materialise(scored(self.table, self.later), "scores"), []
 
 
-def scored(table: DataFrame, trees: Sequence[tuple[Tree, float]], features: int) -> DataFrame:
-    """Binned rows whose score has these trees added, in the order given."""
+def scored(table: DataFrame, trees: Sequence[tuple[Leaves, float]]) -> DataFrame:
+    """Blocks whose scores have these trees added, in the order given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = _codes(batch.column(2), features)
-            more = batch.column(1).to_numpy() + sum(rate * t.predict(codes) for t, rate in trees)
-            yield batch.set_column(1, "score", pa.array(more))
+        for block, _, score, codes in _opened(batches):
+            for t, rate in trees:
+                score = score + rate * t.predict(codes)
+            yield pa.RecordBatch.from_arrays([pa.array([score.tobytes()], pa.binary()) if name == "score" else pa.array([v.as_py()], v.type) for name, v in block.items()], list(block))
 
-    return table.mapInArrow(run, table.schema)
+    return table.mapInArrow(run, KIND)
 
 
 def sketched_edges(df: DataFrame, features: Sequence[str], bins: int = BINS, accuracy: int = 10_000) -> list[np.ndarray]:
@@ -300,19 +350,31 @@ def sketched_edges(df: DataFrame, features: Sequence[str], bins: int = BINS, acc
     return [np.unique(np.array(v, float)) if v else np.zeros(0) for v in row]
 
 
-def binned_rows(df: DataFrame, features: Sequence[str], target: str, edges: list[np.ndarray], extra: Sequence[str] = ()) -> DataFrame:
-    """y, score, codes (a byte for each feature) and further columns; rows without a finite target are left out."""
-    kinds = dict(df.dtypes)
-    chosen = df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).select(F.col(target).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(features)], *extra)
+def binned_rows(df: DataFrame, features: Sequence[str], target: str, edges: list[np.ndarray]) -> DataFrame:
+    """Blocks of the binned rows, dealt evenly over the tasks; rows without a finite target are left out."""
+    chosen = df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).select(F.col(target).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(features)])
+
+    def block(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        y, codes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        values = [len(y), float(y.min()), float(y.max()), y.tobytes(), None, codes.T.tobytes()]
+        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["rows", "low", "high", "y", "score", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            x = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(features))], 1).astype(float)
-            codes = binned(x, edges)
-            columns = [batch.column(0), pa.array(np.zeros(len(x))), pa.array([c.tobytes() for c in codes], pa.binary()), *[batch.column(1 + len(features) + k) for k in range(len(extra))]]
-            yield pa.RecordBatch.from_arrays(columns, ["y", "score", "codes", *extra])
+            for start in range(0, batch.num_rows, BLOCK):
+                piece = batch.slice(start, BLOCK)
+                if held + piece.num_rows > BLOCK:
+                    yield block(parts)
+                    parts, held = [], 0
+                x = np.stack([piece.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(features))], 1).astype(float)
+                parts.append((piece.column(0).to_numpy(), binned(x, edges)))
+                held += piece.num_rows
+        if held:
+            yield block(parts)
 
-    return chosen.mapInArrow(run, ", ".join(["y double, score double, codes binary", *[f"`{c}` {kinds[c]}" for c in extra]]))
+    return chosen.mapInArrow(run, KIND).repartition(4 * df.sparkSession.sparkContext.defaultParallelism)  # a file of one part gives work to all cores
 
 
 def fit_rows(df: DataFrame, features: Sequence[str], target: str, level: float | None, trees: int = TREES, rate: float = RATE, leaves: int = LEAVES, least: int = LEAST, bins: int = BINS) -> Model:
@@ -329,12 +391,17 @@ def fit_rows(df: DataFrame, features: Sequence[str], target: str, level: float |
 def predict_rows(df: DataFrame, features: Sequence[str], model: Model, name: str = "predicted") -> DataFrame:
     """`df` with the model's forecast of each row."""
     kinds = df.schema
+    doubles = {f.name for f in kinds if f.dataType.typeName() == "double"}  # they are there as they are
+    cast = [c for c in dict.fromkeys(features) if c not in doubles]
+    place = [len(kinds) + cast.index(c) if c in cast else kinds.names.index(c) for c in features]
+    trees = [Leaves(t) for t in model.trees]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [batch.column(len(kinds) + k).to_numpy(zero_copy_only=False) for k in range(len(features))]
-            out = model.predict(np.stack(x, 1).astype(float)) if batch.num_rows else np.zeros(0)
+            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in place], 1).astype(float)
+            codes = np.ascontiguousarray(binned(x, model.edges).T)
+            out = model.base + model.rate * sum((t.predict(codes) for t in trees), np.zeros(batch.num_rows))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kinds)], pa.array(out)], [*kinds.names, name])
 
-    given = df.select("*", *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(features)])
+    given = df.select("*", *[F.col(c).cast("double").alias(f"__x{k}") for k, c in enumerate(cast)])
     return given.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds], f"{name} double"]))
